@@ -8,12 +8,63 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.common import table
+from lattica.llm.decontaminate import CANON_TOKEN, NAME, NUM, RAW_TOKEN, REWRITES, START, UNIT, find_leaks
 from lattica.llm.packing import pack
 from lattica.llm.sharding import histogram_shards
 from lattica.llm.token_count import count_tokens
 from lattica.llm.topk import exact_top_k, quantise, usable
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _op1_tokens(source: str, key: str) -> str:
+    """SQL for the tokens of a table by place: bare value and canonical form."""
+    raw = f"translate(text, '{NUM}{UNIT}{NAME}{START}', '')"
+    canon = raw
+    for pattern, to in REWRITES:
+        canon = f"regexp_replace({canon}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
+    return f"""
+  SELECT {key}, unnest(range(len(cs))) AS p, unnest(cs) AS c, unnest(bs) AS bare FROM (
+    SELECT {key}, regexp_extract_all(lower({canon}), '{CANON_TOKEN}') AS cs, regexp_extract_all(lower({raw}), '{RAW_TOKEN}') AS bs
+    FROM {source} WHERE text IS NOT NULL AND {key} IS NOT NULL)"""
+
+
+_SLOTS = f"('{NUM}', '{UNIT}', '{NAME}')"
+
+
+def _op1_windows(tokens: str, key: str) -> str:
+    """SQL for the windows of eight tokens, with their plain words counted."""
+    return f"""
+  SELECT * FROM (
+    SELECT {key}, p, string_agg(c, ' ') OVER w AS win, count(*) OVER w AS k, count(*) FILTER (c NOT IN {_SLOTS}) OVER w AS words
+    FROM {tokens} WINDOW w AS (PARTITION BY {key} ORDER BY p ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)) WHERE k = 8"""
+
+
+OP1_SQL = f"""
+WITH dt AS ({_op1_tokens("documents", "doc_id")}),
+bt AS ({_op1_tokens("benchmark", "item_id")}),
+bw AS ({_op1_windows("bt", "item_id")} AND words >= 4),
+dw AS ({_op1_windows("dt", "doc_id")}),
+m AS (SELECT doc_id, item_id, dw.p - bw.p AS shift, bw.p AS ipos FROM dw JOIN bw USING (win)),
+s AS (
+  SELECT DISTINCT doc_id, item_id, shift, bt.bare AS i, dt.bare AS d
+  FROM (SELECT DISTINCT doc_id, item_id, shift, unnest(range(ipos, ipos + 8)) AS p FROM m) x
+  JOIN bt USING (item_id, p) JOIN dt USING (doc_id) WHERE dt.p = x.p + shift AND bt.c IN {_SLOTS}),
+ok AS (
+  SELECT doc_id, item_id, shift, bool_or(i <> d) AS changed FROM s GROUP BY ALL
+  HAVING count(*) = count(DISTINCT i) AND count(*) = count(DISTINCT d)),
+kept AS (
+  SELECT m.*, coalesce(ok.changed, FALSE) AS changed FROM m LEFT JOIN ok USING (doc_id, item_id, shift)
+  WHERE ok.doc_id IS NOT NULL OR (doc_id, item_id, shift) NOT IN (SELECT (doc_id, item_id, shift) FROM s)),
+n AS (SELECT item_id, count(DISTINCT p) AS item_windows FROM bw GROUP BY ALL)
+SELECT doc_id, item_id, count(DISTINCT ipos) AS n_windows, item_windows, bool_or(changed) AS reparameterised
+FROM kept JOIN n USING (item_id) GROUP BY doc_id, item_id, item_windows
+HAVING count(DISTINCT ipos) >= least(3, item_windows)
+"""
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -48,6 +99,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
     "op3_exact_topk": op3_exact_topk,
     "op5_sharding": op5_sharding,
@@ -55,5 +107,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_decontamination": OP1_SQL,
     "op3_exact_topk": OP3_SQL,
 }
