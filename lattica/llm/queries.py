@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import table
 from lattica.llm.decontaminate import CANON_TOKEN, NAME, NUM, RAW_TOKEN, REWRITES, START, UNIT, find_leaks
+from lattica.llm.langid import fit_languages, predict_languages
 from lattica.llm.packing import pack
+from lattica.llm.samples import held_out
 from lattica.llm.sharding import histogram_shards
 from lattica.llm.token_count import count_tokens
 from lattica.llm.topk import exact_top_k, quantise, usable
+from lattica.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,10 +92,24 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return predict_languages(docs, fit_languages(docs)).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_shards(table(spark, sf_dir, "documents"))
 
 
+TOXIC_FROM = 0.3
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = count_tokens(table(spark, sf_dir, "documents"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -102,7 +119,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
     "op3_exact_topk": op3_exact_topk,
+    "op4_language_id": op4_language_id,
     "op5_sharding": op5_sharding,
+    "op8_toxicity": op8_toxicity,
     "op10_token_counts": op10_token_counts,
 }
 
