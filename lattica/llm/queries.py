@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lattica.llm.common import table
 from lattica.llm.decontaminate import CANON_TOKEN, NAME, NUM, RAW_TOKEN, REWRITES, START, UNIT, find_leaks
@@ -16,6 +17,7 @@ from lattica.llm.sharding import histogram_shards
 from lattica.llm.token_count import count_tokens
 from lattica.llm.topk import exact_top_k, quantise, usable
 from lattica.llm.toxicity import fit_toxicity, score_toxicity
+from lattica.llm.warc import audit, layout
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +112,38 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
+def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit a damaged replica of all pages: every 97th record has a changed first byte of its payload,
+    and every 13th archive has lost what lies beyond 90 % of its bytes."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    whole = layout(pages)
+    rotten = pages.withColumn("html", F.when((F.col("page_id") % 97 == 5) & (F.octet_length("html") > 0), F.overlay("html", F.lit("#"), 1)).otherwise(F.col("html")))
+    end = F.max(F.col("offset") + F.col("length")).over(Window.partitionBy("archive"))
+    lost = (F.col("archive") % 13 == 3) & ((F.col("offset") + F.col("length")) * 10 > end * 9)
+    return audit(whole, layout(rotten).withColumn("lost", lost).where(~F.col("lost")).drop("lost")).withColumnRenamed("id", "page_id")
+
+
+OP9_SQL = """
+WITH r AS (
+  SELECT page_id, page_id // 256 AS archive, u.bad,
+         concat('WARC/1.0', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Target-URI: ', url, chr(13), chr(10),
+           'WARC-Record-ID: <urn:page:', page_id, '>', chr(13), chr(10), 'Content-Length: ', strlen(h), chr(13), chr(10), chr(13), chr(10),
+           CASE WHEN u.bad THEN concat('#', substr(h, 2)) ELSE h END, chr(13), chr(10), chr(13), chr(10)) AS rec
+  FROM (SELECT *, coalesce(html, '') AS h FROM pages) p, (VALUES (FALSE), (TRUE)) u(bad)),
+d AS (
+  SELECT page_id, archive, max(strlen(rec)) FILTER (NOT bad) AS length, max(sha256(rec)) FILTER (NOT bad) AS expected,
+         max(sha256(rec)) FILTER (bad) AS rotten
+  FROM r GROUP BY ALL),
+o AS (SELECT *, (sum(length) OVER (PARTITION BY archive ORDER BY page_id) - length)::BIGINT AS off FROM d),
+f AS (
+  SELECT *, CASE WHEN archive % 13 = 3 AND (off + length) * 10 > 9 * max(off + length) OVER (PARTITION BY archive) THEN NULL
+                 WHEN page_id % 97 = 5 THEN rotten ELSE expected END AS found
+  FROM o)
+SELECT archive, off AS "offset", length, page_id, CASE WHEN found IS NULL THEN 'missing' ELSE 'altered' END AS kind, expected, found
+FROM f WHERE found IS NULL OR found <> expected
+"""
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = count_tokens(table(spark, sf_dir, "documents"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -122,10 +156,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_sharding": op5_sharding,
     "op8_toxicity": op8_toxicity,
+    "op9_warc_fixity": op9_warc_fixity,
     "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
     "op3_exact_topk": OP3_SQL,
+    "op9_warc_fixity": OP9_SQL,
 }
