@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from lattica.llm.common import table
 from lattica.llm.decontaminate import CANON_TOKEN, NAME, NUM, RAW_TOKEN, REWRITES, START, UNIT, find_leaks
 from lattica.llm.html_extract import extract
+from lattica.llm.jaccard import jaccard_components
 from lattica.llm.labelled_pages import trained_model
 from lattica.llm.langid import fit_languages, predict_languages
 from lattica.llm.packing import pack
@@ -105,6 +106,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_shards(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"), trained_model())
 
@@ -161,6 +166,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_topk": op3_exact_topk,
     "op4_language_id": op4_language_id,
     "op5_sharding": op5_sharding,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_html_extraction": op7_html_extraction,
     "op8_toxicity": op8_toxicity,
     "op9_warc_fixity": op9_warc_fixity,
