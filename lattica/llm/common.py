@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,10 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; make a local one only where none is set (tests)."""
-    if not spark.conf.get(CHECKPOINT_DIR, None) and spark.sparkContext.getCheckpointDir() is None:
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder the cluster names; a local one is made only where none is set (tests)."""
+    named = spark.conf.get(CHECKPOINT_DIR, None)
+    if not named and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-checkpoint-"))
+    return named or spark.sparkContext.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -28,3 +31,33 @@ def cut(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Tables:
+    """Intermediate tables as Parquet in the shared checkpoint folder: compressed, and of known size to the planner.
+
+    For operators with many rounds; a table that no later step reads is dropped at once, the rest when
+    the driver's file system closes.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.base, self.n = spark, f"{ensure_checkpoint_dir(spark)}/lattica-{uuid.uuid4().hex}", 0
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.base)
+        self.fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.fs.mkdirs(path)
+        self.fs.deleteOnExit(path)
+        self.paths: dict[int, str] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.base}/{self.n}"
+        self.n += 1
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        out._kept_by = self  # the object stays, so its id does
+        return out
+
+    def drop(self, *dfs: DataFrame) -> None:
+        for df in dfs:
+            if path := self.paths.pop(id(df), None):
+                self.fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)

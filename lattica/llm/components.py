@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cut
+from lattica.llm.common import Tables
 
 
 def _min_neighbour(e: DataFrame) -> DataFrame:
@@ -13,25 +13,30 @@ def _min_neighbour(e: DataFrame) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, tables: Tables | None = None) -> DataFrame:
     """(node, component) for every node of `edges` (u, v): the least node it is linked with, itself included.
 
     Each step joins edges with per-node minima, so a node with very many neighbours is only a skewed
-    join key, never a group in one task; steps are written to the checkpoint folder and stop when
-    the edges no longer change. The number of steps grows with the logarithm of the longest path.
+    join key, never a group in one task; steps are written to the checkpoint folder, the one before is
+    dropped, and they stop when the edges no longer change. Their number grows with the logarithm of
+    the longest path.
     """
-    e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    nodes = cut(e.select(F.col("u").alias("node")).union(e.select("v")).distinct())
+    tables = tables or Tables(edges.sparkSession)
+    e = tables.keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    nodes = tables.keep(e.select(F.col("u").alias("node")).union(e.select("v")).distinct())
     last = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_min_neighbour(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.join(_min_neighbour(large), "u")
         small = down.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(down.select("u", F.col("m").alias("v"))).distinct()
-        e = cut(small)
+        before, e = e, tables.keep(small)
+        tables.drop(before)
         mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == last:
             break
         last = mark
     found = e.groupBy("u").agg(F.min("v").alias("m"))
-    return nodes.join(found, nodes["node"] == found["u"], "left").select("node", F.coalesce("m", "node").alias("component"))
+    done = tables.keep(nodes.join(found, nodes["node"] == found["u"], "left").select("node", F.coalesce("m", "node").alias("component")))
+    tables.drop(e, nodes)
+    return done

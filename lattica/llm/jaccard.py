@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattica.llm.common import cut
+from lattica.llm.common import Tables
 from lattica.llm.components import connected_components
 from lattica.llm.shingles import Shingler, signature
 
@@ -30,7 +30,7 @@ from lattica.llm.shingles import Shingler, signature
 COMMON = 200_000
 
 
-def _survey(k: int, chunk: int = 4_000_000):
+def _survey(k: int, chunk: int = 1_500_000):
     """Tasks' pass one: a row for each text (set size and signature), and locally common shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,8 +47,8 @@ def _survey(k: int, chunk: int = 4_000_000):
             return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(c[top].astype(np.int64)), pa.array(u[top].astype(np.int64)), pa.nulls(n, pa.int64())], ["doc", "n", "s1", "s2"])
 
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
                 sets = shingler.sets(part.column(1).to_pylist())
                 signs = [signature(s) for s in sets]
                 for sign, s in zip(signs, sets):
@@ -70,8 +70,8 @@ def _prefixes(k: int, percent: int, shingles: np.ndarray, level: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
                 out = []
                 for s in shingler.sets(part.column(1).to_pylist()):
                     n = len(s)
@@ -89,8 +89,8 @@ def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
                 sets = [s.astype(np.int64) for s in shingler.sets(part.column(1).to_pylist())]
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))], ["doc", "grams"])
@@ -128,63 +128,84 @@ def jaccard_components(
     ids are broadcast while they are at most `broadcast_ids` (counted), and shuffled beyond.
     """
     radius = 1 - percent / 100
+    tables = Tables(df.sparkSession)
+    keep, drop = tables.keep, tables.drop
+    bounded = lambda d: F.broadcast(d) if d.count() <= broadcast_ids else d
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    surveyed = cut(docs.mapInArrow(_survey(k), "doc long, n long, s1 long, s2 long"))
+    surveyed = keep(docs.mapInArrow(_survey(k), "doc long, n long, s1 long, s2 long"))
     rows = surveyed.where("s2 is not null")
     common = surveyed.where("s2 is null").groupBy("s1").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "s1").limit(COMMON).toPandas()
-    order = np.argsort(common["s1"].to_numpy().astype(np.uint64))
+    order = np.argsort(common["s1"].to_numpy().astype(np.int64).view(np.uint64))
     shingles = common["s1"].to_numpy().astype(np.int64).view(np.uint64)[order]
     level = np.log2(common["c"].to_numpy(float)[order] + 1).astype(np.int64)
 
-    classes = cut(rows.where("doc is not null and n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep")))
-    prefixes = docs.where("doc is not null").mapInArrow(_prefixes(k, percent, shingles, level), "doc long, cells array<long>")
+    classes = keep(rows.where("doc is not null and n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep")))
     reps = classes.select(F.col("rep").alias("doc"), "n")
-    exploded = cut(prefixes.join(reps, "doc")).select("doc", "n", F.posexplode("cells").alias("pos", "cell"))
-    shared = exploded.groupBy("cell").agg(F.min("doc").alias("pivot"), F.max("doc").alias("top")).where("pivot < top").drop("top")
-    cells = cut(exploded.join(shared, "cell").dropDuplicates(["cell", "doc"]))
+    prefixes = docs.where("doc is not null").mapInArrow(_prefixes(k, percent, shingles, level), "doc long, cells array<long>")
+    prefixes = keep(prefixes.join(reps, "doc").dropDuplicates(["doc"]))
+    placed = prefixes.select("doc", "n", F.posexplode("cells").alias("pos", "cell"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(x, y, dist, linked) of candidate pairs, by their whole sets."""
-        pairs = cut(pairs)
+        pairs = keep(pairs)
         ids = pairs.select(F.col("x").alias("doc")).union(pairs.select("y")).distinct()
-        wanted = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
-        grams = cut(docs.join(wanted, "doc", "left_semi").mapInArrow(_sets(k), "doc long, grams array<long>").join(reps, "doc").dropDuplicates(["doc"]))
+        grams = keep(docs.join(bounded(ids), "doc", "left_semi").mapInArrow(_sets(k), "doc long, grams array<long>").join(reps, "doc").dropDuplicates(["doc"]))
         a = grams.select(F.col("doc").alias("x"), F.col("grams").alias("ga"))
         b = grams.select(F.col("doc").alias("y"), F.col("grams").alias("gb"))
         both = F.size(F.array_intersect("ga", "gb"))
         counted = pairs.join(b, "y").join(a, "x").select("x", "y", both.alias("i"), (F.size("ga") + F.size("gb") - both).alias("u"))
-        return cut(counted.select("x", "y", (1 - F.col("i") / F.col("u")).alias("dist"), (100 * F.col("i") >= percent * F.col("u")).alias("linked")))
+        out = keep(counted.select("x", "y", (1 - F.col("i") / F.col("u")).alias("dist"), (100 * F.col("i") >= percent * F.col("u")).alias("linked")))
+        drop(pairs, grams)
+        return out
+
+    # Every cell's extremes tell whether it is shared; a cell of two is one pair, judged by them alone.
+    left_over = F.col("n") - F.col("pos") - 1
+    cell = placed.groupBy("cell").agg(
+        F.min("doc").alias("pivot"), F.max("doc").alias("other"), F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"), F.min(left_over).alias("left_over")
+    )
+    overlap = F.expr(f"({percent} * (least + most) + {99 + percent}) div {100 + percent}")
+    judged = (F.col("size") > 2) | (100 * F.col("least") >= percent * F.col("most")) & (1 + F.col("left_over") >= overlap)
+    cell = keep(cell.where("pivot < other").where(judged).select("cell", "pivot", "other", "size"))
+    twos = cell.where("size = 2").select(F.col("other").alias("x"), F.col("pivot").alias("y"))
+    more = cell.where("size > 2").select("cell", "pivot")
+    cells = keep(placed.join(bounded(more), "cell"))
+    drop(prefixes)
 
     # Round one: every cell's documents against its first pivot.
     first = cells.where("doc = pivot").select("cell", F.col("n").alias("np"), F.col("pos").alias("pp"))
     near = cells.where("doc <> pivot").join(first, "cell").where(_possible(percent, "n", "np", "pos", "pp"))
-    known = verified(near.select(F.col("doc").alias("x"), F.col("pivot").alias("y")).distinct())
-    links = known.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
+    known = verified(twos.union(near.select(F.col("doc").alias("x"), F.col("pivot").alias("y"))).distinct())
+    links = keep(known.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v")))
     to_first = known.select(F.col("x").alias("doc"), F.col("y").alias("pivot"), "dist")
-    left = cells.join(to_first, ["doc", "pivot"], "left").withColumn("dist", F.when(F.col("doc") == F.col("pivot"), 0.0).otherwise(F.col("dist")))
+    left = keep(cells.join(to_first, ["doc", "pivot"], "left").withColumn("dist", F.when(F.col("doc") == F.col("pivot"), 0.0).otherwise(F.col("dist"))))
+    drop(cells, cell)
 
     # Further rounds: up to `pivots` documents outside the cell's largest component against the cell.
-    components = cut(connected_components(links))
+    components = connected_components(links, tables)
     while True:
         own = F.coalesce("component", "doc").alias("comp")
-        named = left.join(components.withColumnRenamed("node", "doc"), "doc", "left").select("cell", "doc", "n", "pos", "dist", own)
+        named = keep(left.join(components.withColumnRenamed("node", "doc"), "doc", "left").select("cell", "doc", "n", "pos", "dist", own))
         mixed = named.groupBy("cell").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("cell")
-        left = cut(named.join(mixed, "cell"))
+        before, left = left, keep(named.join(mixed, "cell"))
+        drop(before, named)
         if left.isEmpty():
             break
         sizes = left.groupBy("cell", "comp").count()
-        main = sizes.groupBy("cell").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
+        main = sizes.groupBy("cell").agg(F.max(F.struct("count", "comp")).alias("top")).select("cell", F.col("top.comp").alias("main"))
         rest = left.join(main, "cell").where("comp <> main")
         turn = F.row_number().over(Window.partitionBy("cell").orderBy("doc"))
-        chosen = cut(rest.withColumn("turn", turn).where(F.col("turn") <= pivots).select("cell", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("dist").alias("dy"), F.col("comp").alias("cy")))
+        chosen = keep(rest.withColumn("turn", turn).where(F.col("turn") <= pivots).select("cell", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("dist").alias("dy"), F.col("comp").alias("cy")))
         window = F.coalesce(F.abs(F.col("dist") - F.col("dy")) <= radius + 1e-9, F.lit(True))
         pairs = left.join(chosen, "cell").where((F.col("comp") != F.col("cy")) & window & _possible(percent, "n", "ny", "pos", "py"))
         pairs = pairs.select(F.greatest("doc", "y").alias("x"), F.least("doc", "y").alias("y")).distinct()
         tested = verified(pairs.join(known, ["x", "y"], "left_anti"))
-        known = known.unionByName(tested)
-        links = cut(links.union(tested.where("linked").select("x", "y")))
-        components = cut(connected_components(links))
-        left = left.join(chosen.select("cell", F.col("y").alias("doc")), ["cell", "doc"], "left_anti").drop("comp")
+        stale = (known, links, components, left, chosen)
+        known = keep(known.union(tested))
+        links = keep(links.union(tested.where("linked").select("x", "y")))
+        components = connected_components(links, tables)
+        left = keep(left.join(chosen.select("cell", F.col("y").alias("doc")), ["cell", "doc"], "left_anti").drop("comp"))
+        drop(*stale, tested)
+    drop(known, left)
 
     degree = links.select(F.col("u").alias("rep")).union(links.select("v")).groupBy("rep").agg(F.count("*").alias("n_links"))
     found = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
