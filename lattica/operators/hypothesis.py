@@ -52,7 +52,7 @@ def t_test(
 ) -> DataFrame:
     """One-sample, paired (y) or two-sample t-test; two samples are columns x and y or the two `groups` of `group`.
 
-    One aggregation. Missing values are dropped (pairs as pairs). Without spread the statistic is NaN.
+    One aggregation. Missing values are dropped (pairs as pairs). Without spread the statistic is null.
     """
     _sides(alternative)
     by = by or []
@@ -350,7 +350,7 @@ def p_adjust(df: DataFrame, p: str, method: str = "holm", by: list[str] | None =
     if method == "none":
         return df.withColumn(out, v)
     if method == "bonferroni":
-        return df.withColumn(out, F.least(F.lit(1.0), v * n))
+        return df.withColumn(out, F.when(ok, F.least(F.lit(1.0), v * n)))
     if method == "hommel":
         keys = by or ["_family"]
         d = df if by else df.withColumn("_family", F.lit(0))

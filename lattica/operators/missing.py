@@ -50,14 +50,14 @@ def _log_lik(stats, mu: np.ndarray, sigma: np.ndarray) -> float:
     return ll
 
 
-def mvn_em(stats, k: int, max_iter: int = 2000, tol: float = 1e-9) -> tuple[np.ndarray, np.ndarray, float, int]:
+def mvn_em(stats, k: int, max_iter: int = 5000, tol: float = 1e-11) -> tuple[np.ndarray, np.ndarray, float, int]:
     """Maximum likelihood mean and covariance by EM over pattern moments; no pass over rows."""
     n = sum(s[1] for s in stats)
     seen = np.array([sum(s[1] for s in stats if j in s[0]) for j in range(k)])
     mu = sum(s[2] for s in stats) / seen
     sigma = np.diag(np.maximum(sum(np.diag(s[3]) for s in stats) / seen - mu**2, 1e-8))
-    last = -math.inf
     for it in range(1, max_iter + 1):
+        last = np.concatenate([mu, sigma.ravel()])
         t1, t2 = np.zeros(k), np.zeros((k, k))
         for o, c, s, m in stats:
             u = np.setdiff1d(np.arange(k), o)
@@ -70,11 +70,10 @@ def mvn_em(stats, k: int, max_iter: int = 2000, tol: float = 1e-9) -> tuple[np.n
             t2[np.ix_(u, u)] += c * (sigma[np.ix_(u, u)] - b[u] @ sigma[np.ix_(o, u)])
         mu = t1 / n
         sigma = t2 / n - np.outer(mu, mu)
-        ll = _log_lik(stats, mu, sigma)
-        if abs(ll - last) < tol * (1 + abs(ll)):
+        now = np.concatenate([mu, sigma.ravel()])
+        if np.abs(now - last).max() < tol * (1 + np.abs(now).max()):
             break
-        last = ll
-    return mu, sigma, ll, it
+    return mu, sigma, _log_lik(stats, mu, sigma), it
 
 
 def mvn_mle(df: DataFrame, cols: list[str]) -> DataFrame:
