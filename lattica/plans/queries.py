@@ -458,9 +458,9 @@ def partial_autocorrelation(spark, d):
     return rounded(ts.pacf(_daily(spark, d)), pacf=6)
 
 
-@register(f"WITH s AS (SELECT t, y, CASE WHEN count(*) OVER w = 5 THEN (sum(y) OVER w - (lag(y, 2) OVER (ORDER BY t) + lead(y, 2) OVER (ORDER BY t)) / 2) / 4 END AS trend FROM {_DAILY} WINDOW w AS (ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)), f AS (SELECT (t - 1) % 4 AS p, avg(y - trend) AS f FROM s GROUP BY 1), g AS (SELECT p, f - avg(f) OVER () AS seasonal FROM f) SELECT 'all' AS key, t::INT AS t, round(trend, 2) AS trend, round(seasonal, 2) AS seasonal, round(y - trend - seasonal, 2) AS remainder FROM s JOIN g ON (t - 1) % 4 = p")
+@register(f"WITH s AS (SELECT t, y, CASE WHEN count(*) OVER w = 5 THEN (sum(y) OVER w - (lag(y, 2) OVER (ORDER BY t) + lead(y, 2) OVER (ORDER BY t)) / 2) / 4 END AS trend FROM {_DAILY} WINDOW w AS (ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)), f AS (SELECT (t - 1) % 4 AS p, avg(y - trend) AS f FROM s GROUP BY 1), g AS (SELECT p, f - avg(f) OVER () AS seasonal FROM f) SELECT 'all' AS key, t::INT AS t, round(trend, 5) AS trend, round(seasonal, 5) AS seasonal, round(y - trend - seasonal, 5) AS remainder FROM s JOIN g ON (t - 1) % 4 = p")
 def seasonal_decomposition(spark, d):
-    return rounded(ts.decompose(_daily(spark, d), 4), trend=2, seasonal=2, remainder=2).drop("y")
+    return rounded(ts.decompose(_daily(spark, d), 4), trend=5, seasonal=5, remainder=5).drop("y")
 
 
 @register()
