@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -49,14 +50,20 @@ class Tables:
         self.paths: dict[int, str] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{self.base}/{self.n}"
+        """`df` written and reread; `rows` of the result is its number of rows, counted while writing."""
+        path, seen = f"{self.base}/{self.n}", Observation()
         self.n += 1
-        df.write.parquet(path)
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
+        out._rows = seen.get["rows"]
         self.paths[id(out)] = path
         out._kept_by = self  # the object stays, so its id does
         return out
 
+    @staticmethod
+    def rows(df: DataFrame) -> int:
+        return df._rows
+
     def drop(self, *dfs: DataFrame) -> None:
         for df in dfs:
             if path := self.paths.pop(id(df), None):

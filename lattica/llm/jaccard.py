@@ -130,7 +130,7 @@ def jaccard_components(
     radius = 1 - percent / 100
     tables = Tables(df.sparkSession)
     keep, drop = tables.keep, tables.drop
-    bounded = lambda d: F.broadcast(d) if d.count() <= broadcast_ids else d
+    bounded = lambda d: F.broadcast(d) if tables.rows(d) <= broadcast_ids else d
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     surveyed = keep(docs.mapInArrow(_survey(k), "doc long, n long, s1 long, s2 long"))
     rows = surveyed.where("s2 is not null")
@@ -148,14 +148,14 @@ def jaccard_components(
     def verified(pairs: DataFrame) -> DataFrame:
         """(x, y, dist, linked) of candidate pairs, by their whole sets."""
         pairs = keep(pairs)
-        ids = pairs.select(F.col("x").alias("doc")).union(pairs.select("y")).distinct()
-        grams = keep(docs.join(bounded(ids), "doc", "left_semi").mapInArrow(_sets(k), "doc long, grams array<long>").join(reps, "doc").dropDuplicates(["doc"]))
+        ids = keep(pairs.select(F.col("x").alias("doc")).union(pairs.select("y")).distinct())
+        grams = keep(docs.join(bounded(ids), "doc", "left_semi").mapInArrow(_sets(k), "doc long, grams array<long>").dropDuplicates(["doc"]))
         a = grams.select(F.col("doc").alias("x"), F.col("grams").alias("ga"))
         b = grams.select(F.col("doc").alias("y"), F.col("grams").alias("gb"))
         both = F.size(F.array_intersect("ga", "gb"))
         counted = pairs.join(b, "y").join(a, "x").select("x", "y", both.alias("i"), (F.size("ga") + F.size("gb") - both).alias("u"))
         out = keep(counted.select("x", "y", (1 - F.col("i") / F.col("u")).alias("dist"), (100 * F.col("i") >= percent * F.col("u")).alias("linked")))
-        drop(pairs, grams)
+        drop(pairs, ids, grams)
         return out
 
     # Every cell's extremes tell whether it is shared; a cell of two is one pair, judged by them alone.
@@ -167,9 +167,9 @@ def jaccard_components(
     judged = (F.col("size") > 2) | (100 * F.col("least") >= percent * F.col("most")) & (1 + F.col("left_over") >= overlap)
     cell = keep(cell.where("pivot < other").where(judged).select("cell", "pivot", "other", "size"))
     twos = cell.where("size = 2").select(F.col("other").alias("x"), F.col("pivot").alias("y"))
-    more = cell.where("size > 2").select("cell", "pivot")
+    more = keep(cell.where("size > 2").select("cell", "pivot"))
     cells = keep(placed.join(bounded(more), "cell"))
-    drop(prefixes)
+    drop(prefixes, more)
 
     # Round one: every cell's documents against its first pivot.
     first = cells.where("doc = pivot").select("cell", F.col("n").alias("np"), F.col("pos").alias("pp"))
@@ -180,31 +180,36 @@ def jaccard_components(
     left = keep(cells.join(to_first, ["doc", "pivot"], "left").withColumn("dist", F.when(F.col("doc") == F.col("pivot"), 0.0).otherwise(F.col("dist"))))
     drop(cells, cell)
 
-    # Further rounds: up to `pivots` documents outside the cell's largest component against the cell.
+    # Further rounds: documents outside the cell's largest component against the cell, `pivots` of them, or
+    # more where the cell is small: up to a million comparisons a cell.
     components = connected_components(links, tables)
     while True:
         own = F.coalesce("component", "doc").alias("comp")
         named = keep(left.join(components.withColumnRenamed("node", "doc"), "doc", "left").select("cell", "doc", "n", "pos", "dist", own))
-        mixed = named.groupBy("cell").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("cell")
+        sizes = named.groupBy("cell", "comp").count()
+        mixed = sizes.groupBy("cell").agg(F.sum("count").alias("size"), F.count("*").alias("kinds"), F.max(F.struct("count", "comp")).alias("top"))
+        mixed = mixed.where("kinds > 1").select("cell", "size", F.col("top.comp").alias("main"))
         before, left = left, keep(named.join(mixed, "cell"))
         drop(before, named)
-        if left.isEmpty():
+        if not tables.rows(left):
             break
-        sizes = left.groupBy("cell", "comp").count()
-        main = sizes.groupBy("cell").agg(F.max(F.struct("count", "comp")).alias("top")).select("cell", F.col("top.comp").alias("main"))
-        rest = left.join(main, "cell").where("comp <> main")
         turn = F.row_number().over(Window.partitionBy("cell").orderBy("doc"))
-        chosen = keep(rest.withColumn("turn", turn).where(F.col("turn") <= pivots).select("cell", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("dist").alias("dy"), F.col("comp").alias("cy")))
+        quota = F.greatest(F.lit(pivots), F.floor(F.lit(1_000_000) / F.col("size")))
+        chosen = left.where("comp <> main").withColumn("turn", turn).where(F.col("turn") <= quota)
+        chosen = keep(chosen.select("cell", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("dist").alias("dy"), F.col("comp").alias("cy")))
         window = F.coalesce(F.abs(F.col("dist") - F.col("dy")) <= radius + 1e-9, F.lit(True))
         pairs = left.join(chosen, "cell").where((F.col("comp") != F.col("cy")) & window & _possible(percent, "n", "ny", "pos", "py"))
         pairs = pairs.select(F.greatest("doc", "y").alias("x"), F.least("doc", "y").alias("y")).distinct()
         tested = verified(pairs.join(known, ["x", "y"], "left_anti"))
-        stale = (known, links, components, left, chosen)
+        found = keep(tested.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v")))
+        stale = [known, left, chosen, tested]
         known = keep(known.union(tested))
-        links = keep(links.union(tested.where("linked").select("x", "y")))
-        components = connected_components(links, tables)
-        left = keep(left.join(chosen.select("cell", F.col("y").alias("doc")), ["cell", "doc"], "left_anti").drop("comp"))
-        drop(*stale, tested)
+        if tables.rows(found):
+            stale += [links, components]
+            links = keep(links.union(found))
+            components = connected_components(links, tables)
+        left = keep(left.join(chosen.select("cell", F.col("y").alias("doc")), ["cell", "doc"], "left_anti").drop("comp", "size", "main"))
+        drop(*stale, found)
     drop(known, left)
 
     degree = links.select(F.col("u").alias("rep")).union(links.select("v")).groupBy("rep").agg(F.count("*").alias("n_links"))
