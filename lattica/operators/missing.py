@@ -178,3 +178,105 @@ def punch_holes(df: DataFrame, cols: list[str], prop: float, seed: int = 1) -> D
 
 
 __all__ = ["little_mcar", "mice", "mvn_mle", "pattern_moments", "patterns", "pd", "pool", "punch_holes"]
+
+
+def is_monotone(df: DataFrame, cols: list[str]) -> bool:
+    """Whether the columns, ordered by missing values, are each observed only where the one before is."""
+    pats = [r.pattern for r in patterns(df, cols).collect()]
+    order = sorted(range(len(cols)), key=lambda i: sum(p[i] == "0" for p in pats))
+    return all("01" not in "".join(p[i] for i in order) for p in pats)
+
+
+def _kth_nearest(pred: np.ndarray, donors: np.ndarray, rng: np.random.Generator, k: int) -> np.ndarray:
+    """For each prediction one of the k donors (sorted) nearest to it, at random."""
+    at = np.searchsorted(donors, pred)
+    lo = np.clip(at - k, 0, max(0, len(donors) - 2 * k))
+    near = lo[:, None] + np.arange(min(2 * k, len(donors)))
+    gap = np.abs(donors[near] - pred[:, None])
+    best = np.argsort(gap, axis=1, kind="stable")[:, :k]
+    return near[np.arange(len(pred)), best[np.arange(len(pred)), rng.integers(0, best.shape[1], len(pred))]]
+
+
+def mice_chains(df: DataFrame, cols: list[str], methods: dict[str, str] | None = None, m: int = 5, max_iter: int = 5, seed: int = 1, donors: int = 5, key: str | None = None, max_rows: int = 2_000_000) -> DataFrame:
+    """Multiple imputation with predictive mean matching, norm, logreg and polyreg, a chain a task.
+
+    For tables that fit a task (`max_rows`); `mice` has no such bound. Chain i draws from its own stream,
+    so results don't depend on tasks. Categorical columns hold integer codes. Returns (imputation, row, cols).
+    """
+    spark, methods = df.sparkSession, methods or {}
+    if (n := df.count()) > max_rows:
+        raise ValueError(f"{n} rows: chains hold the table in a task, up to {max_rows}")
+    pdf = df.select(*([F.col(key).alias("row")] if key else []), *(number(c).alias(c) for c in cols)).toPandas()
+    if key:
+        pdf = pdf.sort_values("row").reset_index(drop=True)
+        ids = pdf["row"].to_numpy()
+    else:
+        ids = np.arange(len(pdf))
+    data = pdf[cols].to_numpy(float)
+    shared = spark.sparkContext.broadcast((data, ids))
+
+    def draw_linear(x, t, rng):
+        a = x.T @ x
+        inv = np.linalg.inv(a + 1e-5 * np.mean(np.diag(a)) * np.eye(len(a)))
+        b = inv @ x.T @ t
+        r = t - x @ b
+        s = math.sqrt(r @ r / rng.chisquare(max(1, len(t) - len(b))))
+        return b, b + s * np.linalg.cholesky((inv + inv.T) / 2) @ rng.standard_normal(len(b)), s
+
+    def draw_softmax(x, t, rng, k):
+        b = np.zeros((k - 1) * x.shape[1])
+        for _ in range(25):
+            e = np.column_stack([np.zeros(len(x)), x @ b.reshape(k - 1, -1).T])
+            pr = np.exp(e - e.max(1, keepdims=True))
+            pr /= pr.sum(1, keepdims=True)
+            g = ((np.eye(k)[t] - pr)[:, 1:].T @ x).ravel() - 0.01 * b
+            h = 0.01 * np.eye(len(b))
+            q = x.shape[1]
+            for i in range(k - 1):
+                for j in range(k - 1):
+                    w = pr[:, i + 1] * ((i == j) - pr[:, j + 1])
+                    h[i * q : (i + 1) * q, j * q : (j + 1) * q] += x.T @ (x * w[:, None])
+            step = np.linalg.solve(h, g)
+            b = b + step
+            if np.abs(step).max() < 1e-6:
+                break
+        return (b + np.linalg.cholesky(np.linalg.inv(h)) @ rng.standard_normal(len(b))).reshape(k - 1, -1)
+
+    def chain(i: int) -> pd.DataFrame:
+        data, ids = shared.value
+        rng, z, hole = np.random.default_rng([seed, i]), data.copy(), np.isnan(data)
+        for j in range(len(cols)):
+            z[hole[:, j], j] = rng.choice(data[~hole[:, j], j], hole[:, j].sum())
+        for _ in range(max_iter):
+            for j, c in enumerate(cols):
+                h = hole[:, j]
+                if not h.any():
+                    continue
+                x = np.column_stack([np.ones(len(z)), *(z[:, o] for o in range(len(cols)) if o != j)])
+                mid, sd = x.mean(0), x.std(0)
+                mid[0], sd[sd == 0] = 0, 1
+                x, t, how = (x - mid) / sd, z[~h, j], methods.get(c, "pmm")
+                if how in ("logreg", "polyreg"):
+                    codes, t = np.unique(t, return_inverse=True)
+                    b = draw_softmax(x[~h], t, rng, len(codes))
+                    e = np.column_stack([np.zeros(h.sum()), x[h] @ b.T])
+                    pr = np.exp(e - e.max(1, keepdims=True))
+                    cum = np.cumsum(pr / pr.sum(1, keepdims=True), axis=1)
+                    z[h, j] = codes[np.minimum((rng.random(h.sum())[:, None] > cum).sum(1), len(codes) - 1)]
+                    continue
+                b, drawn, s = draw_linear(x[~h], t, rng)
+                if how == "norm":
+                    z[h, j] = x[h] @ drawn + s * rng.standard_normal(h.sum())
+                else:
+                    seen = x[~h] @ b
+                    order = np.argsort(seen, kind="stable")
+                    z[h, j] = t[order][_kth_nearest(x[h] @ drawn, seen[order], rng, donors)]
+        return pd.DataFrame(z, columns=cols).assign(imputation=i + 1, row=ids)[["imputation", "row", *cols]]
+
+    def run(batches):
+        for b in batches:
+            for i in b["id"]:
+                yield chain(int(i))
+
+    kind = df.schema[key].dataType.simpleString() if key else "long"
+    return spark.range(0, m, 1, m).mapInPandas(run, f"imputation int, row {kind}, " + ", ".join(f"{c} double" for c in cols))

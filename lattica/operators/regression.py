@@ -265,3 +265,71 @@ def drop1(df: DataFrame, y: str, terms: list, family: str | None = None) -> Data
 
 
 __all__ = ["Design", "Fit", "drop1", "glm", "lm", "negative_binomial", "ridge", "simple_ols"]
+
+
+def diagnostics(df: DataFrame, y: str, terms: list, fit: Fit, keep: list[str] | None = None) -> DataFrame:
+    """Fitted value, residual, leverage, internally studentised residual and Cook's distance of every row of a linear fit.
+
+    Column expressions over the design with the p x p unscaled covariance as constants: no shuffle.
+    """
+    d = build(df, terms)
+    ok = [i for i in range(len(d.columns)) if not math.isnan(fit.coef[i])]
+    unscaled = fit.cov / fit.dispersion
+    fitted = sum((d.columns[i] * float(fit.coef[i]) for i in ok), F.lit(0.0))
+    hat = sum((d.columns[i] * d.columns[j] * float(unscaled[i, j]) for i in ok for j in ok), F.lit(0.0))
+    rows = df.withColumns({"fitted": fitted, "leverage": hat})
+    rows = rows.withColumn("residual", F.col(y).cast("double") - F.col("fitted"))
+    rows = rows.withColumn("studentised", F.col("residual") / F.sqrt(fit.dispersion * (1 - F.col("leverage"))))
+    cook = F.col("studentised") ** 2 * F.col("leverage") / ((1 - F.col("leverage")) * len(ok))
+    return rows.select(*(keep or []), "fitted", "residual", "leverage", "studentised", cook.alias("cooks_distance"))
+
+
+def deviance_table(df: DataFrame, y: str, terms: list, family: str = "binomial") -> DataFrame:
+    """Sequential analysis of deviance: a row a term added, tested by chi-squared or, with free dispersion, by F."""
+    fits = [glm(df, y, terms[:k], family) for k in range(len(terms) + 1)]
+    known, last, rows = family_of(family, 1.0)[4], fits[-1], []
+    for k in range(1, len(fits)):
+        d, change = fits[k - 1].df_residual - fits[k].df_residual, fits[k - 1].info["deviance"] - fits[k].info["deviance"]
+        stat = change if known else change / d / last.dispersion
+        p = dist.chi2_sf(max(change, 0.0), d) if known else dist.f_sf(stat, d, last.df_residual)
+        t = terms[k - 1]
+        rows.append((":".join(getattr(x, "name", x) for x in (t if isinstance(t, tuple) else (t,))), float(d), change, float(fits[k].df_residual), fits[k].info["deviance"], stat, p))
+    return frame(df.sparkSession, rows, "term string, df double, deviance double, resid_df double, resid_dev double, statistic double, p_value double")
+
+
+def profile_conf_int(df: DataFrame, y: str, terms: list, term: str, family: str = "binomial", conf_level: float = 0.95, tol: float = 1e-5) -> tuple[float, float]:
+    """Profile-likelihood interval of a numeric term's coefficient: refits with the term as an offset, by secant steps on the root of the deviance."""
+    fit = glm(df, y, terms, family)
+    k = fit.labels.index(term)
+    est, se, dev = float(fit.coef[k]), float(fit.se[k]), fit.info["deviance"]
+    rest = [t for t in terms if t != term]
+
+    def root(b: float) -> float:
+        """Square root of the scaled deviance the coefficient costs: close to linear in it."""
+        rows = df.withColumn("_offset", F.col(term).cast("double") * b)
+        return math.sqrt(max(0.0, glm(rows, y, rest, family, offset="_offset").info["deviance"] - dev) / fit.dispersion)
+
+    z, ends = math.sqrt(dist.chi2_ppf(conf_level, 1)), []
+    for side in (-1, 1):
+        near, at_near, far = est, 0.0, est + side * z * se
+        at_far = root(far)
+        for _ in range(20):
+            if abs(at_far - z) <= tol:
+                break
+            move = (z - at_far) * (far - near) / (at_far - at_near) if at_far != at_near else side * se
+            near, at_near, far = far, at_far, far + move
+            at_far = root(far)
+        ends.append(far)
+    return ends[0], ends[1]
+
+
+def batched_ols(df: DataFrame, ys: list[str], terms: list) -> DataFrame:
+    """Many responses on one design, from one pass: a row a response and coefficient."""
+    d = build(df, terms)
+    p, q = len(d.columns), len(ys)
+    g = block_sum(df, [*d.columns, *ys], lambda m: m.T @ m).reshape(p + q, p + q)
+    b = np.linalg.solve(g[:p, :p], g[:p, p:])
+    rss = np.diag(g[p:, p:] - b.T @ g[:p, p:])
+    inv, dof = np.diag(np.linalg.inv(g[:p, :p])), g[0, 0] - p
+    rows = [(y, label, b[i, j], math.sqrt(inv[i] * rss[j] / dof)) for j, y in enumerate(ys) for i, label in enumerate(d.labels)]
+    return frame(df.sparkSession, rows, "response string, term string, estimate double, std_error double")

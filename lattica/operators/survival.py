@@ -164,3 +164,109 @@ def person_period(df: DataFrame, time: str, event: str) -> DataFrame:
 def discrete_time(df: DataFrame, time: str, event: str, terms: list, link: str = "cloglog") -> Fit:
     """Discrete-time hazard regression on person-periods."""
     return glm(person_period(df, time, event), "y", ["period", *terms], "binomial", link)
+
+
+def median_survival(curve: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Smallest time with survival at or below one half, averaged with the next drop where it is exactly one half."""
+    s = F.round("survival", 12)
+    below = F.min(F.when(s <= 0.5, F.col("time")))
+    after = F.min(F.when(s < 0.5, F.col("time")))
+    exact = F.max(F.when(s == 0.5, 1))
+    return curve.groupBy(*(by or [])).agg(F.when(exact == 1, (below + F.coalesce(after, below)) / 2).otherwise(below).alias("median"))
+
+
+def kaplan_meier_entry(df: DataFrame, start: str, time: str, event: str, by: list[str] | None = None) -> DataFrame:
+    """Survival with delayed entry: at risk at t are those who entered before t and leave at t or later.
+
+    Entries and exits are summed by time, so the running sums see one row a distinct time.
+    """
+    by = by or []
+    e = F.col(event).cast("int")
+    d = df.where(F.col(time).isNotNull() & F.col(start).isNotNull() & e.isNotNull())
+    out = d.groupBy(*by, F.col(time).cast("double").alias("time")).agg(F.sum(e).alias("n_event"), F.count("*").alias("n_exit"), F.lit(0).cast("long").alias("n_enter"))
+    into = d.groupBy(*by, F.col(start).cast("double").alias("time")).agg(F.lit(0).cast("long").alias("n_event"), F.lit(0).cast("long").alias("n_exit"), F.count("*").alias("n_enter"))
+    t = out.unionByName(into).groupBy(*by, "time").agg(F.sum("n_event").alias("n_event"), F.sum("n_exit").alias("n_exit"), F.sum("n_enter").alias("n_enter"))
+    past = Window.partitionBy(*(by or [F.lit(0)])).orderBy("time").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("n_risk", F.coalesce(F.sum("n_enter").over(past), F.lit(0)) - F.coalesce(F.sum("n_exit").over(past), F.lit(0))).where("n_exit > 0")
+    upto = Window.partitionBy(*(by or [F.lit(0)])).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
+    log_s = F.sum(F.when(F.col("n_event") < F.col("n_risk"), F.log1p(-F.col("n_event") / F.col("n_risk"))).otherwise(-745.0 * (F.col("n_event") > 0).cast("int"))).over(upto)
+    return t.select(*by, "time", "n_risk", "n_event", F.when(log_s < -700, 0.0).otherwise(F.exp(log_s)).alias("survival"))
+
+
+def concordance(df: DataFrame, time: str, event: str, score: str) -> DataFrame:
+    """Harrell's C of a risk score: pairs whose order of times is known, concordant if the earlier death has the higher score.
+
+    A Fenwick tree over score ranks, in one task over (time, event, score) counts: n log n.
+    """
+    d = df.select(F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), F.col(score).cast("double").alias("s")).dropna()
+    d = d.groupBy("t", "e", "s").agg(F.count("*").alias("n"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = np.unique(pdf["s"])
+        tree = np.zeros(len(s) + 1, np.int64)
+
+        def add(i, v):
+            while i <= len(s):
+                tree[i] += v
+                i += i & -i
+
+        def upto(i):
+            total = 0
+            while i > 0:
+                total += tree[i]
+                i -= i & -i
+            return total
+
+        con = dis = tied = 0
+        pdf = pdf.assign(r=np.searchsorted(s, pdf["s"]) + 1)
+        for _, rows in sorted(pdf.groupby("t"), key=lambda x: -x[0]):
+            for r, n in rows.loc[rows["e"] == 0, ["r", "n"]].itertuples(index=False):
+                add(r, n)  # censored at a death's time lives longer
+            for r, n in rows.loc[rows["e"] == 1, ["r", "n"]].itertuples(index=False):
+                low, same, all_ = upto(r - 1), upto(r) - upto(r - 1), upto(len(s))
+                con, tied, dis = con + n * low, tied + n * same, dis + n * (all_ - low - same)
+            for r, n in rows.loc[rows["e"] == 1, ["r", "n"]].itertuples(index=False):
+                add(r, n)
+        total = con + dis + tied
+        return pd.DataFrame({"concordant": [con], "discordant": [dis], "tied": [tied], "c": [(con + tied / 2) / total if total else math.nan]})
+
+    return d.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, "concordant long, discordant long, tied long, c double")
+
+
+def cox_zph(df: DataFrame, time: str, event: str, terms: list, fit: Fit, transform: str = "identity") -> DataFrame:
+    """Test of proportional hazards by correlation-scaled Schoenfeld residuals with (transformed) time, a term a row and GLOBAL.
+
+    Risk-set means come from collapsed sums by time, as in the fit; the driver sees one row an event time.
+    """
+    d = build(df, terms, intercept=False)
+    k = len(d.columns)
+    eta = sum((c * float(b) for c, b in zip(d.columns, fit.coef)), F.lit(0.0))
+    rows = df.select(F.col(time).cast("double").alias("t"), F.col(event).cast("double").alias("e"), F.exp(eta).alias("w"), *(c.cast("double").alias(f"x{i}") for i, c in enumerate(d.columns))).dropna()
+    tri = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = [F.sum("w"), *(F.sum(F.col("w") * F.col(f"x{i}")) for i in range(k)), *(F.sum(F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")) for i, j in tri), F.sum("e"), *(F.sum(F.col("e") * F.col(f"x{i}")) for i in range(k))]
+    t = rows.groupBy("t").agg(*(c.alias(f"a{i}") for i, c in enumerate(sums))).orderBy(F.desc("t")).toPandas()
+    a = t.drop(columns="t").to_numpy(float)
+    q = 1 + k + len(tri)
+    risk, dead = np.cumsum(a[:, :q], axis=0), a[:, q] > 0
+    times, n, x = t["t"].to_numpy()[dead], a[dead, q], a[dead, q + 1 :]
+    mean = risk[dead, 1 : 1 + k] / risk[dead, :1]
+    v = np.zeros((len(n), k, k))
+    for c, (i, j) in enumerate(tri):
+        v[:, i, j] = v[:, j, i] = risk[dead, 1 + k + c] / risk[dead, 0] - mean[:, i] * mean[:, j]
+    if transform == "log":
+        g = np.log(times)
+    elif transform == "rank":
+        g = np.argsort(np.argsort(times)) + 1.0
+    elif transform == "km":
+        s = np.cumprod((1 - n / np.array([(a[: i + 1, 0].size) for i in np.flatnonzero(dead)]))[::-1])[::-1]
+        g = 1 - s
+    else:
+        g = times
+    g = g - (g * n).sum() / n.sum()
+    res = x - mean * n[:, None]
+    u = (g[:, None] * res).sum(0)
+    i11, i12, i22 = (n[:, None, None] * v).sum(0), ((g * n)[:, None, None] * v).sum(0), ((g * g * n)[:, None, None] * v).sum(0)
+    full = i22 - i12 @ np.linalg.inv(i11) @ i12
+    rows_out = [(name, float(u[i] ** 2 / full[i, i]), 1.0, dist.chi2_sf(float(u[i] ** 2 / full[i, i]), 1)) for i, name in enumerate(d.labels)]
+    stat = float(u @ np.linalg.solve(full, u))
+    return frame(df.sparkSession, [*rows_out, ("GLOBAL", stat, float(k), dist.chi2_sf(stat, k))], "term string, statistic double, df double, p_value double")

@@ -286,3 +286,138 @@ def ndiffs(series: DataFrame, max_d: int = 2) -> DataFrame:
         t = kpss(diff(series, 1, d) if d else series).select("key", F.lit(d).alias("d"), (F.col("statistic") < 0.463).alias("ok"))
         out = t if out is None else out.unionByName(t)
     return out.groupBy("key").agg(F.coalesce(F.min(F.when(F.col("ok"), F.col("d"))), F.lit(max_d)).alias("ndiffs"))
+
+
+def _loess(x: np.ndarray, y: np.ndarray, span: int, at: np.ndarray, degree: int = 1, weight: np.ndarray | None = None) -> np.ndarray:
+    """Local regression at given places, tricube weights over the `span` nearest points."""
+    n, out = len(x), np.empty(len(at))
+    q = min(span, n)
+    for i, p in enumerate(at):
+        lo = min(max(0, int(np.searchsorted(x, p)) - q // 2 - 1), n - q)
+        while lo + q < n and abs(x[lo + q] - p) < abs(p - x[lo]):
+            lo += 1
+        while lo > 0 and abs(x[lo - 1] - p) < abs(x[lo + q - 1] - p):
+            lo -= 1
+        d = np.abs(x[lo : lo + q] - p)
+        h = max(d.max() * (1 if span <= n else span / n), 1e-12)
+        w = np.clip(1 - (d / h) ** 3, 0, None) ** 3
+        if weight is not None:
+            w = w * weight[lo : lo + q]
+        xs, ys, total = x[lo : lo + q] - p, y[lo : lo + q], w.sum()
+        if total <= 0:
+            out[i] = ys.mean()
+            continue
+        mx, my = (w @ xs) / total, (w @ ys) / total
+        sxx = w @ (xs - mx) ** 2
+        slope = (w @ ((xs - mx) * (ys - my))) / sxx if degree and sxx > 1e-12 * total else 0.0
+        out[i] = my - slope * mx
+    return out
+
+
+def stl_fit(y: np.ndarray, period: int, s_window: int = 7, robust: bool = False, inner: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seasonal, trend and remainder by local regression."""
+    n = len(y)
+    odd = lambda v: int(v) + (int(v) % 2 == 0)
+    t_window, l_window = odd(math.ceil(1.5 * period / (1 - 1.5 / s_window))), odd(period)
+    x, trend, weight = np.arange(n, dtype=float), np.zeros(n), np.ones(n)
+    for _ in range(6 if robust else 1):
+        for _ in range(inner):
+            detr, c = y - trend, np.empty(n + 2 * period)
+            for ph in range(period):
+                at = np.arange(ph, n, period)
+                k = np.arange(len(at), dtype=float)
+                c[ph::period][: len(at) + 2] = _loess(k, detr[at], s_window, np.arange(-1, len(at) + 1, dtype=float), 1, weight[at])
+            ma = lambda v, m: np.convolve(v, np.ones(m) / m, "valid")
+            low = _loess(x, ma(ma(ma(c, period), period), 3), l_window, x)
+            seasonal = c[period : period + n] - low
+            trend = _loess(x, y - seasonal, t_window, x, 1, weight)
+        if robust:
+            r = np.abs(y - trend - seasonal)
+            h = 6 * np.median(r)
+            weight = np.clip(1 - (r / h) ** 2, 0, 1) ** 2 if h else np.ones(n)
+    return seasonal, trend, y - seasonal - trend
+
+
+def stl(series: DataFrame, period: int, s_window: int = 7, robust: bool = False) -> DataFrame:
+    """Seasonal-trend decomposition of every series."""
+    def run(y):
+        s, t, r = stl_fit(y, period, s_window, robust)
+        return pd.DataFrame({"t": np.arange(1, len(y) + 1), "seasonal": s, "trend": t, "remainder": r})
+
+    return per_series(series, run, "t int, seasonal double, trend double, remainder double")
+
+
+def kalman_log_lik(w: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> tuple[float, float]:
+    """Exact Gaussian likelihood of a zero-mean ARMA series: (concentrated log-likelihood, variance)."""
+    r = max(len(ar), len(ma) + 1)
+    phi = np.concatenate([ar, np.zeros(r - len(ar))])
+    big = np.zeros((r, r))
+    big[:, 0] = phi
+    big[:-1, 1:] = np.eye(r - 1)
+    g = np.concatenate([[1.0], ma, np.zeros(r - 1 - len(ma))])
+    q = np.outer(g, g)
+    p = np.linalg.solve(np.eye(r * r) - np.kron(big, big), q.ravel()).reshape(r, r)
+    a, ssq, logs = np.zeros(r), 0.0, 0.0
+    for v in w:
+        f = p[0, 0]
+        e = v - a[0]
+        ssq, logs = ssq + e * e / f, logs + math.log(f)
+        gain = p[:, 0] / f
+        a = big @ (a + gain * e)
+        p = big @ (p - np.outer(gain, p[0])) @ big.T + q
+    n = len(w)
+    s2 = ssq / n
+    return -0.5 * (n * math.log(2 * math.pi * s2) + n + logs), s2
+
+
+def whittle(series: DataFrame, p: int, q: int) -> DataFrame:
+    """ARMA by frequency-domain likelihood on the periodogram: a row a series."""
+    def run(y):
+        z = y - y.mean()
+        n = len(z)
+        k = np.arange(1, (n - 1) // 2 + 1)
+        i = np.abs(np.fft.fft(z)[k]) ** 2 / n
+        e = np.exp(-2j * np.pi * k / n)
+
+        def shape(v):
+            ar, ma = _stationary(v[:p]), -_stationary(v[p:])
+            num = np.abs(1 + sum(m * e ** (j + 1) for j, m in enumerate(ma))) ** 2
+            den = np.abs(1 - sum(a * e ** (j + 1) for j, a in enumerate(ar))) ** 2
+            return np.broadcast_to(num / den, i.shape), ar, ma
+
+        def loss(v):
+            g = shape(v)[0]
+            return float(len(i) * math.log((i / g).mean()) + np.log(g).sum())
+
+        best, _ = nelder_mead(loss, np.full(p + q, 0.1))
+        g, ar, ma = shape(best)
+        return pd.DataFrame({"ar": [ar.tolist()], "ma": [ma.tolist()], "sigma2": [float((i / g).mean())], "mean": [float(y.mean())]})
+
+    return per_series(series, run, "ar array<double>, ma array<double>, sigma2 double, mean double")
+
+
+def arima_ml(series: DataFrame, order: tuple[int, int, int] = (1, 0, 0)) -> DataFrame:
+    """ARIMA by exact likelihood, started from the conditional fit."""
+    p, d, q = order
+
+    def run(y):
+        w = np.diff(y, d) if d else y
+        start = fit_arima(y, p, d, q)
+        to_raw = lambda c: np.arctanh(np.clip(levinson_inverse(c), -0.99, 0.99))
+        x0 = np.concatenate([to_raw(start["ar"]), to_raw(-start["ma"]), [start["mean"]] if not d else []])
+        loss = lambda v: -kalman_log_lik(w - (v[-1] if not d else 0.0), _stationary(v[:p]), -_stationary(v[p : p + q]))[0]
+        v, value = nelder_mead(loss, x0, 400)
+        s2 = kalman_log_lik(w - (v[-1] if not d else 0.0), _stationary(v[:p]), -_stationary(v[p : p + q]))[1]
+        return pd.DataFrame({"ar": [_stationary(v[:p]).tolist()], "ma": [(-_stationary(v[p : p + q])).tolist()], "mean": [float(v[-1]) if not d else 0.0], "sigma2": [s2], "log_lik": [-value], "aic": [2 * value + 2 * (len(v) + 1)]})
+
+    return per_series(series, run, "ar array<double>, ma array<double>, mean double, sigma2 double, log_lik double, aic double")
+
+
+def levinson_inverse(phi: np.ndarray) -> np.ndarray:
+    """Partial autocorrelations of autoregressive coefficients."""
+    out, a = [], np.array(phi, float)
+    while len(a):
+        k = a[-1]
+        out.append(k)
+        a = (a[:-1] + k * a[:-1][::-1]) / (1 - k * k) if len(a) > 1 and abs(k) < 1 else a[:-1]
+    return np.array(out[::-1])

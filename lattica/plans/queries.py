@@ -587,3 +587,87 @@ def windowed_stats(spark, d):
 @register("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n, round(regr_slope(value, user_id), 6) AS slope FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL GROUP BY 1")
 def windowed_fit(spark, d):
     return rounded(windowed_regression(table(spark, d, "events"), "ts", "user_id", "value", width="1 day"), slope=6).select("start", "n", "slope")
+
+
+@register("""
+WITH b AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, regr_sxx(l_extendedprice, l_quantity) AS sxx, avg(l_quantity) AS mx, count(*)::DOUBLE AS n FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, round(a + b * l_quantity, 3) AS fitted, round(l_extendedprice - a - b * l_quantity, 3) AS residual, round(1 / n + (l_quantity - mx) ** 2 / sxx, 9) AS leverage FROM lineitem, b""")
+def regression_diagnostics(spark, d):
+    fit = regression.lm(lines(spark, d), "l_extendedprice", ["l_quantity"])
+    out = regression.diagnostics(lines(spark, d), "l_extendedprice", ["l_quantity"], fit, ["l_orderkey", "l_linenumber", "l_partkey"])
+    return rounded(out.drop("studentised", "cooks_distance"), fitted=3, residual=3, leverage=9)
+
+
+@register()
+def deviance_analysis(spark, d):
+    return rounded(regression.deviance_table(_flagged(spark, d), "y", ["l_quantity", "l_discount"]), deviance=5, resid_dev=3, statistic=5, p_value=6)
+
+
+@register()
+def profile_interval(spark, d):
+    rows = table(spark, d, "supplier").select((F.col("s_acctbal") > 5000).cast("double").alias("y"), F.col("s_nationkey").cast("double").alias("n"))
+    lo, hi = regression.profile_conf_int(rows, "y", ["n"], "n")
+    return rounded(spark.createDataFrame([(lo, hi)], "conf_low double, conf_high double"), conf_low=3, conf_high=3)
+
+
+@register("SELECT y AS response, t AS term, round(CASE WHEN t = 'l_tax' THEN b ELSE a END, 6) AS estimate FROM (SELECT 'l_quantity' AS y, regr_slope(l_quantity, l_tax) AS b, regr_intercept(l_quantity, l_tax) AS a FROM lineitem UNION ALL SELECT 'l_discount', regr_slope(l_discount, l_tax), regr_intercept(l_discount, l_tax) FROM lineitem), (VALUES ('(Intercept)'), ('l_tax')) v(t)")
+def batched_regression(spark, d):
+    return rounded(regression.batched_ols(lines(spark, d), ["l_quantity", "l_discount"], ["l_tax"]), estimate=6).select("response", "term", "estimate")
+
+
+@register()
+def survival_medians(spark, d):
+    return survival.median_survival(survival.kaplan_meier(_lives(spark, d), "time", "event", ["o_orderstatus"]), ["o_orderstatus"])
+
+
+@register(f"""
+WITH l AS (SELECT (time % 10)::DOUBLE AS s, (time % 10 + time)::DOUBLE AS t, event AS e FROM {_LIVES}), k AS (SELECT t, sum(e) AS n_event FROM l GROUP BY 1)
+SELECT t AS time, (SELECT count(*) FROM l WHERE l.s < k.t AND l.t >= k.t) AS n_risk, n_event::BIGINT AS n_event FROM k""")
+def delayed_entry_curve(spark, d):
+    rows = _lives(spark, d).select((F.col("time") % 10).alias("s"), (F.col("time") % 10 + F.col("time")).alias("t"), "event")
+    return survival.kaplan_meier_entry(rows, "s", "t", "event").select("time", "n_risk", "n_event")
+
+
+@register()
+def harrell_concordance(spark, d):
+    return survival.concordance(_lives(spark, d), "time", "event", "l_discount")
+
+
+@register()
+def proportional_hazards_test(spark, d):
+    rows = _lives(spark, d)
+    fit = survival.coxph(rows, "time", "event", ["l_quantity", "l_discount"])
+    return rounded(survival.cox_zph(rows, "time", "event", ["l_quantity", "l_discount"], fit), statistic=5, p_value=6)
+
+
+@register()
+def stl_decomposition(spark, d):
+    return rounded(ts.stl(_by_priority(spark, d), 12), seasonal=2, trend=2, remainder=2)
+
+
+@register()
+def whittle_batch(spark, d):
+    return ts.whittle(_by_priority(spark, d), 1, 0).select("key", F.round(F.element_at("ar", 1), 3).alias("ar1"), F.round("sigma2", -4).alias("sigma2"))
+
+
+@register()
+def arima_exact(spark, d):
+    return ts.arima_ml(_by_priority(spark, d), (1, 0, 0)).select("key", F.round(F.element_at("ar", 1), 3).alias("ar1"), F.round("aic", 1).alias("aic"))
+
+
+@register()
+def generalised_mixed_model(spark, d):
+    rows = table(spark, d, "events").where("user_id % 5 = 0").select("user_id", (F.col("value") > 50).cast("double").alias("y"), (F.hour("ts") / 24).alias("x"))
+    fit = mixed.glmm(rows, "y", ["x"], "user_id", rounds=2)
+    return rounded(fit.table(spark).withColumn("tau", F.lit(fit.info["tau"])), estimate=3, std_error=3, tau=2).select("term", "estimate", "std_error", "tau")
+
+
+@register()
+def imputation_chains(spark, d):
+    m = missing.mice_chains(_holes(spark, d), ["c_acctbal", "nation", "score"], {"nation": "norm"}, m=4, max_iter=3, key="c_custkey")
+    return m.groupBy("imputation").agg(F.count("score").alias("n"), F.round(F.avg("score"), 3).alias("score"), F.round(F.avg("nation"), 3).alias("nation"))
+
+
+@register()
+def wilcoxon_interval(spark, d):
+    return hypothesis.wilcox_conf_int(table(spark, d, "events"), "value", group="event_type", groups=("view", "click"))
