@@ -31,8 +31,9 @@ def _newton(step, start: np.ndarray, tol: float = 1e-9, max_iter: int = 50):
 
 
 def multinomial(df: DataFrame, y: str, terms: list) -> Fit:
-    """Baseline-category logits; levels sort as strings and the first is the baseline."""
+    """Baseline-category logits; levels sort as strings and the last is the reference."""
     lv = levels(df, y)
+    lv = [lv[-1], *lv[:-1]]
     d = build(df, terms)
     p, j = len(d.columns), len(lv) - 1
     code = sum((F.when(F.col(y).cast("string") == v, float(i)).otherwise(0.0) for i, v in enumerate(lv)), F.lit(0.0))
@@ -76,6 +77,12 @@ _cdf = np.vectorize(dist.norm_cdf)
 LATENT = {
     "logit": (lambda e: 1 / (1 + np.exp(-np.clip(e, -500, 500))), None, None),
     "probit": (_cdf, lambda e: np.exp(-e * e / 2) / math.sqrt(2 * math.pi), lambda e: -e * np.exp(-e * e / 2) / math.sqrt(2 * math.pi)),
+    "loglog": (
+        lambda e: np.exp(-np.exp(-np.clip(e, -30, 500))),
+        lambda e: np.exp(-np.clip(e, -30, 500) - np.exp(-np.clip(e, -30, 500))),
+        lambda e: np.exp(-np.clip(e, -30, 500) - np.exp(-np.clip(e, -30, 500))) * (np.exp(-np.clip(e, -30, 500)) - 1),
+    ),
+    "cauchit": (lambda e: 0.5 + np.arctan(e) / math.pi, lambda e: 1 / (math.pi * (1 + e * e)), lambda e: -2 * e / (math.pi * (1 + e * e) ** 2)),
     "cloglog": (lambda e: -np.expm1(-np.exp(np.clip(e, -500, 30))), lambda e: np.exp(np.clip(e, -500, 30) - np.exp(np.clip(e, -500, 30))), lambda e: np.exp(np.clip(e, -500, 30) - np.exp(np.clip(e, -500, 30))) * (1 - np.exp(np.clip(e, -500, 30)))),
 }
 
@@ -123,7 +130,11 @@ def ordinal(df: DataFrame, y: str, terms: list, link: str = "logit") -> Fit:
 
     total = sum(counts.values())
     share = np.cumsum([counts[i] for i in range(q)]) / total
-    start = np.concatenate([np.zeros(p), np.log(share / (1 - share)) if link == "logit" else np.array([dist.norm_ppf(v) for v in share]) if link == "probit" else np.log(-np.log1p(-share))])
+    quantile = {
+        "logit": lambda v: np.log(v / (1 - v)), "probit": np.vectorize(dist.norm_ppf), "cloglog": lambda v: np.log(-np.log1p(-v)),
+        "loglog": lambda v: -np.log(-np.log(v)), "cauchit": lambda v: np.tan(math.pi * (v - 0.5)),
+    }[link]
+    start = np.concatenate([np.zeros(p), quantile(share)])
     try:
         b, ll, h, it = _newton(step, start)
     finally:
@@ -131,3 +142,16 @@ def ordinal(df: DataFrame, y: str, terms: list, link: str = "logit") -> Fit:
     cov = np.linalg.pinv(h)
     labels = [*d.labels, *(f"{i}|{i + 1}" for i in range(q))]
     return Fit(labels, b, np.sqrt(np.diag(cov)), cov, step.n, step.n - len(b), 1.0, {"log_lik": ll, "deviance": -2 * ll, "aic": -2 * ll + 2 * len(b), "iterations": it}, use_t=False)
+
+
+def predict_multinomial(df: DataFrame, terms: list, fit: Fit, keep: list[str] | None = None) -> DataFrame:
+    """Class probabilities of every row, a column a class (the reference last), and the likeliest class: column expressions."""
+    d = build(df, terms)
+    p = len(d.columns)
+    names = list(dict.fromkeys(label.split(":", 1)[0] for label in fit.labels))
+    eta = [sum((c * float(b) for c, b in zip(d.columns, fit.coef[i * p : (i + 1) * p])), F.lit(0.0)) for i in range(len(names))] + [F.lit(0.0)]
+    top = F.greatest(*eta)
+    total = sum((F.exp(e - top) for e in eta), F.lit(0.0))
+    names = [*names, "reference"]
+    best = F.array_position(F.array(*eta), top)
+    return df.select(*(keep or []), *((F.exp(e - top) / total).alias(f"p_{n}") for e, n in zip(eta, names)), F.element_at(F.array(*map(F.lit, names)), best.cast("int")).alias("predicted"))

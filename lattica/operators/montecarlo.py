@@ -69,6 +69,15 @@ def boot(df: DataFrame, cols: list[str], statistic: Callable[[np.ndarray], float
     return float(statistic(data)), _replicates(spark, n_resamples, seed, one)
 
 
+def jackknife(df: DataFrame, x: str, statistic: Callable[[np.ndarray], float]) -> np.ndarray:
+    """Influence values of a statistic by leaving out each row of a sample of bounded size."""
+    v = df.select(number(x).alias("v")).dropna().toPandas()["v"].to_numpy()
+    if len(v) > 20_000:
+        raise ValueError("the jackknife takes up to 20000 rows")
+    t = np.array([statistic(np.delete(v, i)[:, None]) for i in range(len(v))])
+    return (len(v) - 1) * (t.mean() - t)
+
+
 def boot_ci(observed: float, replicates: DataFrame, kind: str = "percentile", conf_level: float = 0.95, influence: np.ndarray | None = None) -> tuple[float, float]:
     """Normal, basic, percentile or BCa interval of replicates (`influence`: empirical influence or jackknife values, for BCa)."""
     t = np.sort(replicates.select("stat").toPandas()["stat"].to_numpy())
@@ -99,7 +108,7 @@ def boot_ci(observed: float, replicates: DataFrame, kind: str = "percentile", co
 
 
 def permutation_test(df: DataFrame, x: str, group: str, groups: tuple, n_resamples: int = 999, alternative: str = "two-sided", seed: int = 1, statistic: Callable[[np.ndarray, np.ndarray], float] | None = None, max_rows: int = 5_000_000) -> DataFrame:
-    """Difference of means (or any two-sample statistic) against random relabelling; (count + 1) / (R + 1)."""
+    """Difference of means (or any two-sample statistic) against random relabelling; (count + 1) / (R + 1), twice the smaller tail for two sides."""
     spark = df.sparkSession
     d = df.where(F.col(group).isin(*groups)).select(number(x).alias("v"), (F.col(group) == groups[0]).alias("k")).dropna()
     if (n := d.count()) > max_rows:
@@ -114,6 +123,7 @@ def permutation_test(df: DataFrame, x: str, group: str, groups: tuple, n_resampl
         v = rng.permutation(shared.value)
         return stat(v[:n1], v[n1:])
 
-    hit = {"two-sided": F.abs("stat") >= abs(seen) - 1e-12, "greater": F.col("stat") >= seen - 1e-12, "less": F.col("stat") <= seen + 1e-12}[alternative]
-    count = _replicates(spark, n_resamples, seed, one).where(hit).count()
-    return frame(spark, [(seen, (count + 1) / (n_resamples + 1), n_resamples)], "statistic double, p_value double, n_resamples int")
+    hits = _replicates(spark, n_resamples, seed, one).agg(F.count_if(F.col("stat") >= seen - 1e-12), F.count_if(F.col("stat") <= seen + 1e-12)).first()
+    up, down = ((h + 1) / (n_resamples + 1) for h in hits)
+    p = {"greater": up, "less": down}.get(alternative, min(1.0, 2 * min(up, down)))
+    return frame(spark, [(seen, p, n_resamples)], "statistic double, p_value double, n_resamples int")

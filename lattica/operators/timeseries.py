@@ -96,16 +96,18 @@ def kpss(series: DataFrame, trend: bool = False) -> DataFrame:
     return per_series(series, run, "statistic double, lags int, p_value double")
 
 
-def adf(series: DataFrame, lags: int | None = None) -> DataFrame:
-    """Augmented Dickey-Fuller t statistic with constant and trend."""
+def adf(series: DataFrame, lags: int | None = None, regression: str = "ct") -> DataFrame:
+    """Augmented Dickey-Fuller t statistic: without constant (nc), with constant (c), or with trend (ct)."""
+    fixed = {"nc": 0, "c": 1, "ct": 2}[regression]
+
     def run(y):
         n = len(y)
         k = int((n - 1) ** (1 / 3)) if lags is None else lags
         z = np.diff(y)
         m = len(z)
-        x = np.column_stack([np.ones(m - k), np.arange(k + 1, m + 1), y[k : n - 1], *(z[k - j : m - j] for j in range(1, k + 1))])
+        x = np.column_stack([*[np.ones(m - k), np.arange(k + 1, m + 1)][:fixed], y[k : n - 1], *(z[k - j : m - j] for j in range(1, k + 1))])
         b, se, _ = _ols(x, z[k:])
-        return pd.DataFrame({"statistic": [float(b[2] / se[2])], "lags": [k]})
+        return pd.DataFrame({"statistic": [float(b[fixed] / se[fixed])], "lags": [k]})
 
     return per_series(series, run, "statistic double, lags int")
 
