@@ -307,9 +307,9 @@ def test_warc_audit(spark):
     a = spark.createDataFrame(rows, "page_id long, url string, html string")
     whole = layout(a)
     assert audit(whole, layout(a)).count() == 0
-    b = spark.createDataFrame([(i, u, ("y" + h[1:]) if i == 500 else h) for i, u, h in rows], a.schema)
+    b = spark.createDataFrame([(i, u, ("y" + h[1:]) if i == 501 else h) for i, u, h in rows], a.schema)
     got = audit(whole, layout(b), range_bytes=512, fan_out=2).collect()
-    assert [(r.id, r.kind) for r in got] == [(500, "altered")]
+    assert [(r.id, r.kind) for r in got] == [(501, "altered")]
     lost = audit(whole, layout(a).where("archive <> 2")).collect()
     assert {r.kind for r in lost} == {"missing"} and sorted(r.id for r in lost) == list(range(512, 768))
     empty = layout(a.where("false"))
