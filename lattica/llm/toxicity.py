@@ -91,7 +91,7 @@ def learn_stems(rows: list[tuple[str, int]], shortest: int = 3, longest: int = 1
     A word counts `cap` times a text at most.  A beginning's gain is the log-likelihood of its split
     between the labels over chance, halved as words of a text go together, less a Bonferroni charge.
     Of the beginnings along each branch those are chosen whose gains sum highest; of equals the
-    longest.  The ratio must be 4 at least.
+    longest.  The ratio must be 4 at least, by texts too, of which 3 must be toxic.
     """
     seen = {0: Counter(), 1: Counter()}
     for text, y in rows:
@@ -129,7 +129,14 @@ def learn_stems(rows: list[tuple[str, int]], shortest: int = 3, longest: int = 1
                 deep, picked = gain, [s]
             if deep > 0:
                 best[s] = (deep, picked)
-    return {s: weights[s] for _, picked in best.values() for s in picked}
+    chosen = {s: weights[s] for _, picked in best.values() for s in picked}
+    # Words of one text go together, so a stem must also be commoner by texts, and not known from one or two.
+    within, texts = {0: Counter(), 1: Counter()}, Counter(y for _, y in rows)
+    for text, y in rows:
+        own = set(foldings(text)[0].split())
+        within[y].update({w[:k] for w in own for k in range(shortest, min(len(w), longest) + 1) if w[:k] in chosen})
+    share = lambda s, y: (within[y][s] + 0.5) / (texts[y] + 1)
+    return {s: w for s, w in chosen.items() if within[1][s] >= 3 and share(s, 1) >= 4 * share(s, 0)}
 
 
 def learn_exceptions(lexicon: Lexicon, rows: list[tuple[str, int]], least: int = 5) -> tuple[str, ...]:
