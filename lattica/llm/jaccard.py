@@ -85,15 +85,28 @@ def _prefixes(k: int, percent: int, shingles: np.ndarray, level: np.ndarray):
     return run
 
 
-def _sets(k: int):
+def _verify(k: int, percent: int):
+    """Tasks' comparison of pairs by their whole texts; a text's set is kept while pairs of it follow each other."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
+        last: dict[int, tuple[int, np.ndarray]] = {}
+
+        def grams(side: int, key: int, text: str) -> np.ndarray:
+            if last.get(side, (None,))[0] != key:
+                last[side] = (key, shingler.sets([text])[0])
+            return last[side][1]
+
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                sets = [s.astype(np.int64) for s in shingler.sets(part.column(1).to_pylist())]
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))], ["doc", "grams"])
+            x, y, tx, ty = (b.column(i) for i in range(4))
+            dist, linked = [], []
+            for i in range(b.num_rows):
+                ga, gb = grams(0, x[i].as_py(), tx[i].as_py()), grams(1, y[i].as_py(), ty[i].as_py())
+                both = len(np.intersect1d(ga, gb, assume_unique=True))
+                union = len(ga) + len(gb) - both
+                dist.append(1 - both / union)
+                linked.append(100 * both >= percent * union)
+            yield pa.RecordBatch.from_arrays([x, y, pa.array(dist, pa.float64()), pa.array(linked, pa.bool_())], ["x", "y", "dist", "linked"])
 
     return run
 
@@ -146,16 +159,14 @@ def jaccard_components(
     placed = prefixes.select("doc", "n", F.posexplode("cells").alias("pos", "cell"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """(x, y, dist, linked) of candidate pairs, by their whole sets."""
+        """(x, y, dist, linked) of candidate pairs, by their whole texts, which compress better than sets."""
         pairs = keep(pairs)
         ids = keep(pairs.select(F.col("x").alias("doc")).union(pairs.select("y")).distinct())
-        grams = keep(docs.join(bounded(ids), "doc", "left_semi").mapInArrow(_sets(k), "doc long, grams array<long>").dropDuplicates(["doc"]))
-        a = grams.select(F.col("doc").alias("x"), F.col("grams").alias("ga"))
-        b = grams.select(F.col("doc").alias("y"), F.col("grams").alias("gb"))
-        both = F.size(F.array_intersect("ga", "gb"))
-        counted = pairs.join(b, "y").join(a, "x").select("x", "y", both.alias("i"), (F.size("ga") + F.size("gb") - both).alias("u"))
-        out = keep(counted.select("x", "y", (1 - F.col("i") / F.col("u")).alias("dist"), (100 * F.col("i") >= percent * F.col("u")).alias("linked")))
-        drop(pairs, ids, grams)
+        texts = keep(docs.join(bounded(ids), "doc", "left_semi"))
+        a, b = (texts.select(F.col("doc").alias(c), F.col("text").alias(f"t{c}")) for c in "xy")
+        both = pairs.join(b, "y").join(a, "x").select("x", "y", "tx", "ty")
+        out = keep(both.mapInArrow(_verify(k, percent), "x long, y long, dist double, linked boolean").dropDuplicates(["x", "y"]))
+        drop(pairs, ids, texts)
         return out
 
     # Every cell's extremes tell whether it is shared; a cell of two is one pair, judged by them alone.
