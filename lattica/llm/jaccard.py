@@ -72,15 +72,16 @@ def _prefixes(k: int, percent: int, shingles: np.ndarray, level: np.ndarray):
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                out = []
+                out, sizes = [], []
                 for s in shingler.sets(part.column(1).to_pylist()):
+                    sizes.append(len(s))
                     n = len(s)
                     at = np.minimum(np.searchsorted(shingles, s), max(0, len(shingles) - 1))
                     rank = np.where(shingles[at] == s, level[at], 0) if len(shingles) else np.zeros(n, int)
                     out.append(s[np.lexsort((s, rank))][: n + (-percent * n // 100) + 1 if n else 0].astype(np.int64))
                 offsets = np.concatenate([[0], np.cumsum([len(o) for o in out])]).astype(np.int32)
                 cells = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*out, np.zeros(0, np.int64)])))
-                yield pa.RecordBatch.from_arrays([part.column(0), cells], ["doc", "cells"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), cells], ["doc", "n", "cells"])
 
     return run
 
@@ -153,9 +154,14 @@ def jaccard_components(
     level = np.log2(common["c"].to_numpy(float)[order] + 1).astype(np.int64)
 
     classes = keep(rows.where("doc is not null and n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep")))
-    reps = classes.select(F.col("rep").alias("doc"), "n")
-    prefixes = docs.where("doc is not null").mapInArrow(_prefixes(k, percent, shingles, level), "doc long, cells array<long>")
-    prefixes = keep(prefixes.join(reps, "doc").dropDuplicates(["doc"]))
+    copies = keep(rows.where("doc is not null").join(classes, ["s1", "s2", "n"]).where("doc <> rep").select("doc").distinct())
+    prefixes = docs.where("doc is not null").mapInArrow(_prefixes(k, percent, shingles, level), "doc long, n long, cells array<long>")
+    if 0 < tables.rows(copies) <= broadcast_ids:
+        prefixes = prefixes.join(F.broadcast(copies), "doc", "left_anti")
+    elif tables.rows(copies):
+        prefixes = prefixes.join(copies, "doc", "left_anti")
+    prefixes = keep(prefixes.where("n > 0"))
+    drop(copies)
     placed = prefixes.select("doc", "n", F.posexplode("cells").alias("pos", "cell"))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -179,7 +185,7 @@ def jaccard_components(
     cell = keep(cell.where("pivot < other").where(judged).select("cell", "pivot", "other", "size"))
     twos = cell.where("size = 2").select(F.col("other").alias("x"), F.col("pivot").alias("y"))
     more = keep(cell.where("size > 2").select("cell", "pivot"))
-    cells = keep(placed.join(bounded(more), "cell"))
+    cells = keep(placed.join(bounded(more), "cell").dropDuplicates(["cell", "doc"]))
     drop(prefixes, more)
 
     # Round one: every cell's documents against its first pivot.
