@@ -65,8 +65,9 @@ def find_leaks(
     Numbers, units and capitalised words within a sentence become typed placeholders.  Every
     window of `window` tokens of every whole text is hashed and joined with the windows of the items
     (of those, ones with fewer than `min_words` plain words prove nothing and are left out).  Matches of
-    a document and item at one shift are a run; its slots must map one to one between item and
-    document, or the run doesn't count.  A pair leaks if its runs hold `min_windows` windows, or all
+    a document and item at one shift are a run.  Within a run an item's number, unit (plural or not) or name
+    must stand for one of the document, and a name for one name of the item; windows that hold a slot
+    against this are left out, unless their own slots are all unchanged.  A pair leaks if its runs hold `min_windows` windows, or all
     that the item has.  Items shorter than a window are one window of their own length.
 
     The item side is broadcast while it has at most `broadcast_rows` windows (counted), and shuffled
@@ -108,16 +109,24 @@ def find_leaks(
     places = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("w") - 1))))
     slots = F.filter(
         F.transform(places, lambda p: F.struct(
-            _slot(F.get("canon", p)).alias("slot"), F.get("itoks", p).alias("i"), F.get("dtoks", p + F.col("shift")).alias("d")
+            p.alias("p"), F.get("canon", p).alias("kind"), F.get("itoks", p).alias("i"), F.get("dtoks", p + F.col("shift")).alias("d")
         )),
-        lambda s: s["slot"],
+        lambda s: _slot(s["kind"]),
     )
-    kinds = lambda f: F.size(F.array_distinct(F.transform("slots", f)))
+    form = lambda s, v: F.when(s["kind"] == UNIT, F.regexp_replace(s[v], r"(\p{L}{3})s$", "$1")).otherwise(s[v])
+    pairs = F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"].alias("kind"), form(s, "i").alias("i"), form(s, "d").alias("d"))))
+    # Values of an item that stand for several of the document; of names also the other way.
+    torn = F.filter("pairs", lambda s: F.exists("pairs", lambda o: (o["kind"] == s["kind"]) & (
+        (o["i"] == s["i"]) & (o["d"] != s["d"]) | (s["kind"] == NAME) & (o["d"] == s["d"]) & (o["i"] != s["i"])
+    )))
+    clash = F.transform(F.filter("slots", lambda s: F.exists("torn", lambda o: (o["kind"] == s["kind"]) & (o["i"] == form(s, "i")))), lambda s: s["p"])
+    altered = F.transform(F.filter("slots", lambda s: s["i"] != s["d"]), lambda s: s["p"])
+    holds = lambda where, p: F.exists(where, lambda q: q.between(p, p + F.col("w") - 1))
     compared = (
-        asked.join(values, "doc").join(items, "item").withColumn("slots", slots)
-        .withColumn("pairs", kinds(lambda s: F.struct(s["i"], s["d"])))
-        .where((F.col("pairs") == kinds(lambda s: s["i"])) & (F.col("pairs") == kinds(lambda s: s["d"])))
-        .select("doc", "item", "at", F.exists("slots", lambda s: s["i"] != s["d"]).alias("changed"))
+        asked.join(values, "doc").join(items, "item").withColumn("slots", slots).withColumn("pairs", pairs).withColumn("torn", torn)
+        .withColumn("clash", clash).withColumn("altered", altered)
+        .withColumn("at", F.filter("at", lambda p: ~holds("clash", p) | ~holds("altered", p)))
+        .select("doc", "item", "at", F.exists("at", lambda p: holds("altered", p)).alias("changed"))
     )
     kept = runs.where("not slotted").select("doc", "item", "at", F.lit(False).alias("changed")).unionByName(compared)
     pairs = kept.groupBy("doc", "item").agg(

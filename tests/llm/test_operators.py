@@ -314,3 +314,15 @@ def test_warc_audit(spark):
     assert {r.kind for r in lost} == {"missing"} and sorted(r.id for r in lost) == list(range(512, 768))
     empty = layout(a.where("false"))
     assert audit(empty, empty).count() == 0 and audit(empty, whole).where("kind = 'surplus'").count() == 1002
+
+
+def test_leaks_with_clashing_parameters(spark):
+    one = lambda text: spark.createDataFrame([(1, text)], "item_id long, text string")
+    leaks = lambda item, text: [tuple(r)[2:] for r in find_leaks(odd(spark, [(1, text, "en")]), one(item)).collect()]
+    loaves = "the baker sold {} loaves of bread to the school and then {} loaves more to the old inn by the river"
+    assert leaks(loaves.format(3, 5), loaves.format(4, 4)) == [(15, 15, True)]  # two parameters take one value
+    walk = "the walk took them {} over the hill and after a long rest another {} down to the sea again"
+    assert leaks(walk.format("1 hour", "5 hours"), walk.format("2 hours", "5 hours")) == [(15, 15, True)]
+    tail = " and so the whole company went on along the winding road until the night had come at last"
+    got = leaks(loaves.format(5, 5) + tail, loaves.format(5, 6) + tail)  # one of two equal numbers altered
+    assert got == [(25, 33, False)]  # the eight windows that hold the altered number are lost
