@@ -63,8 +63,9 @@ def find_leaks(
     """Pairs of documents and benchmark items of which they hold a passage, parameters changed or not.
 
     Numbers, units and capitalised words within a sentence become typed placeholders.  Every
-    window of `window` tokens of every whole text is hashed and joined with the windows of the items
-    (of those, ones with fewer than `min_words` plain words prove nothing and are left out).  Matches of
+    window of `window` tokens of every whole text is hashed and joined with the windows of the items.
+    Of those, ones with fewer than `min_words` plain words are told by their own words and numbers, so
+    that only exact copies match, since their placeholders prove nothing.  Matches of
     a document and item at one shift are a run.  Within a run an item's number, unit (plural or not) or name
     must stand for one of the document, and a name for one name of the item; windows that hold a slot
     against this are left out, unless their own slots are all unchanged.  A pair leaks if its runs hold `min_windows` windows, or all
@@ -77,23 +78,28 @@ def find_leaks(
     """
     text = F.col(text_col)
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), canonical(text).alias("canon"), bare(text).alias("itoks"))
-    items = items.withColumn("codes", F.transform("canon", lambda t: F.xxhash64(t)))
+    items = items.withColumn("codes", F.transform("canon", lambda t: F.xxhash64(t))).withColumn("own", F.transform("itoks", lambda t: F.xxhash64(t)))
     items = cut(items.where(F.size("itoks") > 0).dropDuplicates(["item"]))
     short = [r[0] for r in items.where(F.size("itoks") < window).select(F.size("itoks")).distinct().collect()]
     docs = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
 
     def item_windows(w: int) -> DataFrame:
         own = items.where(F.size("itoks") == w) if w < window else items.where(F.size("itoks") >= w)
-        rows = own.select("item", "canon", F.posexplode(_windows("codes", w)).alias("ipos", "h"))
+        rows = own.select("item", "canon", F.posexplode(F.arrays_zip(_windows("codes", w).alias("h"), _windows("own", w).alias("o"))).alias("ipos", "at"))
         words = F.size(F.filter(F.slice("canon", F.col("ipos") + 1, w), lambda t: ~_slot(t)))
-        return rows.withColumn("words", words).where(F.col("words") >= min(min_words, w)).select("item", "ipos", "h", (F.col("words") < w).alias("slotted"))
+        rows = rows.withColumn("words", words).withColumn("exact", F.col("words") < min(min_words, w))
+        return rows.select("item", "ipos", F.when(F.col("exact"), F.col("at.o")).otherwise(F.col("at.h")).alias("h"), (F.col("words") < w).alias("slotted"), "exact")
 
     def matches(w: int) -> DataFrame:
         keys = cut(item_windows(w))
         right = F.broadcast(keys) if keys.count() <= broadcast_rows else keys
-        codes = docs.select("doc", F.transform(canonical(F.col("text")), lambda t: F.xxhash64(t)).alias("codes"))
-        left = codes.select("doc", F.posexplode(_windows("codes", w)).alias("pos", "h"))
-        return left.join(right, "h").select("doc", "item", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", "slotted", F.lit(w).alias("w"))
+        texts = docs.select("doc", *(F.transform(f(F.col("text")), lambda t: F.xxhash64(t)).alias(c) for c, f in (("codes", canonical), ("own", bare))))
+        by_form = texts.select("doc", F.lit(False).alias("exact"), F.posexplode(_windows("codes", w)).alias("pos", "h"))
+        if keys.where("exact").isEmpty():
+            left = by_form
+        else:
+            left = by_form.unionByName(texts.select("doc", F.lit(True).alias("exact"), F.posexplode(_windows("own", w)).alias("pos", "h")))
+        return left.join(right, ["h", "exact"]).select("doc", "item", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", "slotted", F.lit(w).alias("w"))
 
     sizes = [window, *sorted(short)]
     whole = reduce(DataFrame.unionByName, [item_windows(w).groupBy("item").agg(F.countDistinct("ipos").alias("item_windows")) for w in sizes])

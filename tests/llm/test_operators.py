@@ -326,3 +326,11 @@ def test_leaks_with_clashing_parameters(spark):
     tail = " and so the whole company went on along the winding road until the night had come at last"
     got = leaks(loaves.format(5, 5) + tail, loaves.format(5, 6) + tail)  # one of two equal numbers altered
     assert got == [(25, 33, False)]  # the eight windows that hold the altered number are lost
+
+
+def test_leaks_of_items_rich_in_slots(spark):
+    items = ["Add 12 and 15.", "Who was Marie Curie?", "Compute 12 + 7 * 3 - 4 / 2 and 5."]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f"We were asked: {i} Nobody knew." for i in items] + ["Add 13 and 15, or 12 and 15.", "Who was Pierre Curie? Compute 12 + 7 * 3 - 4 / 2 and 6."]
+    got = find_leaks(odd(spark, [(i, t, "en") for i, t in enumerate(texts)]), bench).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 0, 1, 1, False), (1, 1, 1, 1, False), (2, 2, 1, 1, False)]
