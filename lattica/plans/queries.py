@@ -657,8 +657,8 @@ def arima_exact(spark, d):
 
 @register()
 def generalised_mixed_model(spark, d):
-    rows = table(spark, d, "events").where("user_id % 5 = 0").select("user_id", (F.col("value") > 50).cast("double").alias("y"), (F.hour("ts") / 24).alias("x"))
-    fit = mixed.glmm(rows, "y", ["x"], "user_id", rounds=2)
+    rows = table(spark, d, "events").select("user_id", (F.col("value") > 50).cast("double").alias("y"), (F.hour("ts") / 24).alias("x"))
+    fit = mixed.glmm(rows, "y", ["x"], "user_id")
     return rounded(fit.table(spark).withColumn("tau", F.lit(fit.info["tau"])), estimate=3, std_error=3, tau=2).select("term", "estimate", "std_error", "tau")
 
 

@@ -288,3 +288,32 @@ def test_resampling(spark):
         assert lo < seen < hi
     p = montecarlo.permutation_test(df, "v", "g", ("x", "y"), 300).first()
     assert 0 < p.p_value <= 1 and p.p_value == montecarlo.permutation_test(df.repartition(3), "v", "g", ("x", "y"), 300).first().p_value
+
+
+def test_generalised_mixed_model_query_over_all_users(spark, tmp_path):
+    import pandas as pd
+
+    from lattica.plans.queries import QUERIES
+
+    rng, users, each = np.random.default_rng(4), 31, 12
+    g = np.repeat(np.arange(users), each)
+    hours = rng.integers(0, 24, len(g))
+    y = rng.random(len(g)) < 1 / (1 + np.exp(-(0.6 - 1.2 * hours / 24 + rng.normal(0, 1.1, users)[g])))
+    pdf = pd.DataFrame({"user_id": g, "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(hours, "h"), "value": np.where(y, 60.0, 40.0)})
+    spark.createDataFrame(pdf).write.parquet(str(tmp_path / "events.parquet"))
+    x, z = np.column_stack([np.ones(len(g)), hours / 24]), np.eye(users)[g]
+
+    def joint(tau):  # Laplace likelihood, joint mode and coefficients' errors with all effects in one dense system
+        both, pen, b = np.hstack([x, z]), np.diag([0.0, 0.0] + [1 / tau**2] * users), np.zeros(2 + users)
+        for _ in range(50):
+            mu = 1 / (1 + np.exp(-both @ b))
+            h = both.T @ (both * (mu * (1 - mu))[:, None]) + pen
+            b = b + np.linalg.solve(h, both.T @ (y - mu) - pen @ b)
+        value = (y * (both @ b) - np.logaddexp(0, both @ b)).sum() - b[2:] @ b[2:] / (2 * tau**2) - 0.5 * np.linalg.slogdet(h[2:, 2:] * tau**2)[1]
+        return value, b[:2], np.sqrt(np.diag(np.linalg.inv(h))[:2])
+
+    best = max(np.geomspace(0.05, 5, 600), key=lambda t: joint(t)[0])
+    got = QUERIES["generalised_mixed_model"](spark, str(tmp_path)).toPandas()
+    assert abs(np.log(got["tau"][0] / best)) < 0.04  # the last grid's spacing
+    _, coef, err = joint(best)
+    assert np.allclose(got["estimate"], coef, atol=0.01) and np.allclose(got["std_error"], err, atol=0.01)
