@@ -238,10 +238,23 @@ def p_adjust_methods(spark, d):
     return rounded(out, p_adjusted=8)
 
 
+def _p_values(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), ((F.col("p_partkey") * 7919 % 9973 + 1) / 100000.0).alias("p"))
+
+
+@register()
+def p_adjust_methods_whole(spark, d):
+    """Like p_adjust_methods, whose SQL takes p_partkey < 500, over all parts."""
+    p, out = _p_values(spark, d), None
+    for m in _PADJ:
+        a = hypothesis.p_adjust(p, "p", m).select("k", F.lit(m).alias("method"), "p_adjusted")
+        out = a if out is None else out.unionByName(a)
+    return rounded(out, p_adjusted=8)
+
+
 @register()
 def p_adjust_hommel(spark, d):
-    p = table(spark, d, "part").where("p_partkey < 100").select(F.col("p_partkey").alias("k"), ((F.col("p_partkey") * 7919 % 9973 + 1) / 100000.0).alias("p"))
-    return hypothesis.p_adjust(p, "p", "hommel")
+    return hypothesis.p_adjust(_p_values(spark, d), "p", "hommel")
 
 
 _ONEWAY = """

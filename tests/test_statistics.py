@@ -317,3 +317,22 @@ def test_generalised_mixed_model_query_over_all_users(spark, tmp_path):
     assert abs(np.log(got["tau"][0] / best)) < 0.04  # the last grid's spacing
     _, coef, err = joint(best)
     assert np.allclose(got["estimate"], coef, atol=0.01) and np.allclose(got["std_error"], err, atol=0.01)
+
+
+def test_p_adjust_queries_over_all_parts(spark, tmp_path):
+    from lattica.plans.queries import QUERIES
+
+    spark.range(1, 701).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    k = np.arange(1, 701)
+    p = (k * 7919 % 9973 + 1) / 100000.0
+    n, order = len(p), np.argsort(p, kind="stable")
+    r = np.arange(1, n + 1)
+    down, up = (lambda v: np.maximum.accumulate(v)), (lambda v: np.minimum.accumulate(v[::-1])[::-1])
+    v = p[order]
+    want = {"holm": down(v * (n - r + 1)), "hochberg": up(v * (n - r + 1)), "BH": up(v * n / r), "BY": up(v * n / r * (1 / r).sum()), "bonferroni": v * n}
+    got = QUERIES["p_adjust_methods_whole"](spark, str(tmp_path)).toPandas()
+    assert len(got) == 5 * n
+    for m, w in want.items():
+        assert np.allclose(got[got.method == m].sort_values("k")["p_adjusted"].to_numpy()[order], np.minimum(1, w), atol=1e-8), m
+    adjusted = QUERIES["p_adjust_hommel"](spark, str(tmp_path)).toPandas().sort_values("k")
+    assert len(adjusted) == n and np.allclose(adjusted["p_adjusted"], hypothesis.hommel(p))
