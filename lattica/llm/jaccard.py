@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,6 +113,28 @@ def _verify(k: int, percent: int):
     return run
 
 
+def _count_links(k: int, percent: int):
+    """(rep, n) of a pair of blocks of one component: each text's links to the other block, or within its own."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("doc")
+        sets = Shingler(k).sets(pdf["text"].tolist())
+        sizes = np.array([len(s) for s in sets])
+        words, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        member, own, out = np.zeros(len(words), np.int64), pdf["own"].to_numpy(), np.zeros(len(pdf), np.int64)
+        for i, (lo, n) in enumerate(zip(starts, sizes)):
+            member[codes[lo : lo + n]] = 1
+            both = np.add.reduceat(member[codes], starts)
+            linked = 100 * both >= percent * (sizes + n - both)
+            linked &= own != own[i] if pdf["a"].iat[0] != pdf["b"].iat[0] else np.arange(len(pdf)) != i
+            out[i] = linked.sum()
+            member[codes[lo : lo + n]] = 0
+        return pd.DataFrame({"rep": pdf["doc"], "n": out})
+
+    return run
+
+
 def _possible(percent: int, nx: str, ny: str, px: str, py: str) -> Column:
     """Sizes and places within prefixes that a link allows, if the shared shingle is the first shared."""
     least = F.expr(f"({percent} * ({nx} + {ny}) + {99 + percent}) div {100 + percent}")
@@ -127,12 +150,14 @@ def jaccard_components(
     percent: int = 85,
     pivots: int = 64,
     broadcast_ids: int = 1_000_000,
+    block: int = 128,
 ) -> DataFrame:
     """(id, n_shingles, component_id, n_links) of every row; links are pairs of different sets with Jaccard >= percent / 100.
 
     Exact: every pair that may be linked is either verified on its whole sets or already in one
     component. Equal sets are one node, of their least id; they share its component. `n_links` counts
-    the verified links of a row's set to other sets (a spanning part of all links). Null, empty and
+    all links of a row's set to other sets: components with a pair not compared are dealt into blocks of about
+    `block` sets, and each pair of blocks is counted in a task. Null, empty and
     wordless texts have no shingle and are linked with nothing; a null id takes no part and has a
     null component. Rows that repeat an id and text repeat in the result. Other columns are not read.
     An empty table gives no rows.
@@ -229,7 +254,18 @@ def jaccard_components(
         drop(*stale, found)
     drop(known, left)
 
-    degree = links.select(F.col("u").alias("rep")).union(links.select("v")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    degree = links.select(F.col("u").alias("rep")).union(links.select("v")).groupBy("rep").agg(F.count("*").alias("seen"))
+    # A component whose links are all its pairs is counted already; of the others every pair of blocks is.
+    edges = links.join(components, F.col("u") == F.col("node")).groupBy("component").agg(F.count("*").alias("edges"))
+    nodes = components.groupBy("component").agg(F.count("*").alias("nodes"))
+    partial = nodes.join(edges, "component").where("2 * edges < nodes * (nodes - 1)").select("component", F.ceil(F.col("nodes") / block).alias("blocks"))
+    members = keep(components.join(partial, "component").select(F.col("node").alias("doc"), "component", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("own")))
+    dealt = docs.join(bounded(members), "doc").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("doc", "text", "component", "own", F.least("own", "with").alias("a"), F.greatest("own", "with").alias("b"))
+    counted = dealt.groupBy("component", "a", "b").applyInPandas(_count_links(k, percent), "rep long, n long").groupBy("rep").agg(F.sum("n").alias("all"))
+    counted = keep(counted)
+    drop(members)
+    degree = degree.join(counted, "rep", "left").select("rep", F.coalesce("all", "seen").alias("n_links"))
     found = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     found = found.select("s1", "s2", F.col("n").alias("size"), "rep", F.coalesce("component", "rep").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     match = (rows["s1"] == found["s1"]) & (rows["s2"] == found["s2"]) & (rows["n"] == found["size"])

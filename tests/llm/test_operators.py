@@ -334,3 +334,21 @@ def test_leaks_of_items_rich_in_slots(spark):
     texts = [f"We were asked: {i} Nobody knew." for i in items] + ["Add 13 and 15, or 12 and 15.", "Who was Pierre Curie? Compute 12 + 7 * 3 - 4 / 2 and 6."]
     got = find_leaks(odd(spark, [(i, t, "en") for i, t in enumerate(texts)]), bench).collect()
     assert sorted(tuple(r) for r in got) == [(0, 0, 1, 1, False), (1, 1, 1, 1, False), (2, 2, 1, 1, False)]
+
+
+def test_jaccard_counts_all_links(spark):
+    rng = random.Random(8)
+    base, rows = [f"w{i}" for i in range(90)], []
+    for i in range(70):
+        w = list(base)
+        for _ in range(rng.randrange(0, 3)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    rows += [(100, "one two three four five six"), (101, "one two three four five six"), (102, "")]
+    sets = {i: frozenset(shingles(t, 4)) for i, t in rows}
+    linked = lambda a, b: a != b and a and b and 100 * len(a & b) >= 85 * len(a | b)
+    want = {i: len({b for b in sets.values() if linked(a, b)}) for i, a in sets.items()}
+    out = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), pivots=4, block=16).collect()
+    assert {r.doc_id: r.n_links for r in out} == want
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute_components(rows, 4, 85)
+    assert len(set(want.values())) > 5
