@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most `rows` rows and, but for a single longer one, `size` bytes of a text column."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, min(at + rows, int(np.searchsorted(total, total[at] + size, "right")) - 1))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names; a local one is made only where none is set (tests)."""
+    """The folder the cluster names; a temporary one is made only in local mode where none is set (tests)."""
     named = spark.conf.get(CHECKPOINT_DIR, None)
     if not named and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the whole cluster shares")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-checkpoint-"))
     return named or spark.sparkContext.getCheckpointDir()
 

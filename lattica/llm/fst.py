@@ -7,25 +7,33 @@ pre-tokenizer starts.  Its transition monoid (the state maps that class sequence
 closed once, so the state map of a chunk is a product of small integers; chunk maps compose by a
 parallel prefix scan, which gives every chunk its entry state without reading the text in order.
 
-*Word machine.*  A trie over blocks of eight characters.  A word's last transition carries how
-many tokens the word emits and where their ids lie.  Transitions are compiled when a word is first
-seen, by asking the tokenizer library for that word alone, and are kept in flat arrays, so whole
-batches of words advance together.
+*Word machine.*  The byte-wise machine of `merges` is compiled from the vocabulary and its merges; its
+transitions carry the change of the token count.  Before it stands a trie over blocks of eight
+characters whose transitions are whole paths of that machine, composed when a word is first seen: the
+last one carries how many tokens the word emits and where their ids lie.  Both are kept in flat
+arrays, so whole batches of words advance together.
 
 The machines follow the vocabulary with lower case, word ends and white space dropped
-(``word_bpe_49k.json``).  Counts and ids equal the library's for every text.
+(``word_bpe_49k.json``).  Counts and ids equal the library's for every text.  The library itself only
+answers for texts that hold a code point which this Python's Unicode tables don't know yet.
 """
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 
 import numpy as np
 
+from lattica.llm.merges import load
+from lattica.llm.pair_table import PairTable
+
 # Character classes of the lexical machine.
 SPACE, LETTER, NUMBER, OTHER, QUOTE, SINGLE, R, V, L, E = range(10)
 N_CLASS = 10
+#: A class that no machine reads.
+UNKNOWN = 255
 # States. QR, QV and QL have read an apostrophe and r, v or l.
 BETWEEN, WORD, DIGIT, PUNCT, Q, QR, QV, QL, CLOSED = range(9)
 N_STATE = 9
@@ -120,11 +128,17 @@ class Monoid:
         return out.T.reshape(-1)[:n]
 
 
+def _unassigned() -> np.ndarray:
+    """Code points without a category here; newer tables may make letters of them."""
+    return np.array([unicodedata.category(chr(i)) == "Cn" for i in range(sys.maxunicode + 1)])
+
+
 def _class_table() -> np.ndarray:
     t = np.full(sys.maxunicode + 1, OTHER, np.uint8)
     major = np.array([ord(unicodedata.category(chr(i))[0]) for i in range(sys.maxunicode + 1)], np.uint8)
     t[major == ord("L")] = LETTER
     t[major == ord("N")] = NUMBER
+    t[_unassigned()] = UNKNOWN
     for ch in WHITE:
         t[ord(ch)] = SPACE
     for chars, c in (("'", QUOTE), ("stmd", SINGLE), ("r", R), ("v", V), ("l", L), ("e", E)):
@@ -142,68 +156,15 @@ def normalise(text: str) -> str:
     return text.replace("Σ", "σ").lower()
 
 
-class WordMachine:
-    """Trie over eight-character blocks in an open-addressing table; values are word numbers."""
+class WordMachine(PairTable):
+    """Trie over eight-character blocks; values are word numbers."""
 
     MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
-    def __init__(self, bits: int = 16) -> None:
-        self._alloc(bits)
+    def __init__(self) -> None:
+        super().__init__()
         self.n_state = 1
 
-    def _alloc(self, bits: int) -> None:
-        self.bits, self.used = bits, 0
-        self.key_state = np.full(1 << bits, -1, np.int64)
-        self.key_block = np.zeros(1 << bits, np.uint64)
-        self.value = np.zeros(1 << bits, np.int32)
-
-    def _slot(self, state: np.ndarray, block: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            h = (block ^ (state.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(32)
-            h *= np.uint64(0xD6E8FEB86659FD93)
-        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, state: np.ndarray, block: np.ndarray) -> np.ndarray:
-        """Values of the transitions, -1 where there is none yet."""
-        slot = self._slot(state, block)
-        seen = self.key_state.take(slot)
-        hit = (seen == state) & (self.key_block.take(slot) == block)
-        out = np.where(hit, self.value.take(slot), np.int32(-1))
-        todo = np.flatnonzero(~hit & (seen != -1))
-        mask = (1 << self.bits) - 1
-        while len(todo):
-            slot[todo] = (slot[todo] + 1) & mask
-            at = slot[todo]
-            seen = self.key_state[at]
-            hit = (seen == state[todo]) & (self.key_block[at] == block[todo])
-            out[todo[hit]] = self.value[at[hit]]
-            todo = todo[~hit & (seen != -1)]
-        return out
-
-    def add(self, state: np.ndarray, block: np.ndarray, value: np.ndarray) -> None:
-        """Insert transitions that are distinct and not there yet."""
-        if 2 * (self.used + len(state)) > (1 << self.bits):
-            old = np.flatnonzero(self.key_state >= 0)
-            a, b, c = self.key_state[old], self.key_block[old], self.value[old]
-            bits = self.bits
-            while 2 * (len(old) + len(state)) > (1 << bits):
-                bits += 1
-            self._alloc(bits + 1)
-            self.add(a, b, c)
-        mask, todo = (1 << self.bits) - 1, np.arange(len(state))
-        slot = self._slot(state, block)
-        while len(todo):
-            at = slot[todo]
-            free = self.key_state[at] == -1
-            self.value[at[free]] = -1 - todo[free]  # of those that meet in a slot, the last stays
-            won = free & (self.value[at] == -1 - todo)
-            w, place = todo[won], at[won]
-            self.key_state[place], self.key_block[place], self.value[place] = state[w], block[w], value[w]
-            todo = todo[~won]
-            slot[todo] = (slot[todo] + 1) & mask
-        self.used += len(state)
-
 
 class Transducer:
     """Counts and ids of whole texts; keeps what it has compiled between batches.
@@ -212,31 +173,32 @@ class Transducer:
     which changes no result.
     """
 
-    SPECIAL = ("<|startoftext|>", "<|endoftext|>")
-    PIECE = 1 << 21
+    PIECE = 1 << 20
 
-    def __init__(self, path: str, max_words: int = 1_500_000) -> None:
-        from tokenizers import Tokenizer
-
-        self.lib = Tokenizer.from_file(path)
-        vocab = self.lib.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
+    def __init__(self, path: str, max_words: int = 800_000) -> None:
+        self.path, self.lib = path, None
+        self.merges, self.special = load(path)
+        self.specials = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
         self.monoid, self.classes, self.max_words = Monoid(), _class_table(), max_words
         self._reset()
 
+    def _asked(self, text: str) -> np.ndarray:
+        """The library's ids of a text that the machines can't read."""
+        if self.lib is None:
+            from tokenizers import Tokenizer
+
+            self.lib = Tokenizer.from_file(self.path)
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.int32)
+
     def _reset(self) -> None:
         self.words, self.wide = WordMachine(), {}
         self.n_words = self.n_ids = 0
         self.count, self.offset, self.ids = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int32)
 
     def _compile(self, words: list[str]) -> np.ndarray:
-        """Word numbers of new words; their ids come from the library."""
-        ids = np.array(self.lib.encode(" ".join(words), add_special_tokens=False).ids, np.int32)
-        last = np.flatnonzero(self.ends[ids])
-        if len(last) != len(words):
-            raise AssertionError("the lexical machine and the tokenizer disagree on words")
-        counts = np.diff(last, prepend=-1)
+        """Word numbers of new words, by the machine of merges."""
+        counts, ids = self.merges.words([w.encode() for w in words])
+        last = np.cumsum(counts) - 1
         a, b = self.n_words, self.n_words + len(words)
         while b > len(self.count):
             self.count, self.offset = np.resize(self.count, 2 * len(self.count)), np.resize(self.offset, 2 * len(self.offset))
@@ -331,6 +293,7 @@ class Transducer:
         return numbers
 
     def _piece(self, texts: list[str], want_ids: bool):
+        """Counts of normalised texts and all their ids in order."""
         text = " ".join(texts) + " "
         sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         cp, start, end = self._split(text)
@@ -348,40 +311,55 @@ class Transducer:
         return per, self.ids[at]
 
     def run(self, texts: list[str | None], want_ids: bool = False):
-        """Token counts of texts (null: none) and, if wanted, each one's ids as int32 arrays."""
-        counts, ids = np.zeros(len(texts), np.int64), [np.zeros(0, np.int32)] * len(texts) if want_ids else None
+        """Token counts of texts (null: none) and, if wanted, each one's ids as int32 arrays.
+
+        A text is cut at its special strings, each a token of its own; the parts between are read
+        by the machines, about `PIECE` characters at a time, or by the library if they hold a code point
+        of an unknown class.
+        """
+        counts, ids = np.zeros(len(texts), np.int64), [[] for _ in texts] if want_ids else None
         hold: list[str] = []
         which: list[int] = []
         size = 0
 
+        def put(i: int, n: int, part: np.ndarray | None) -> None:
+            counts[i] += n
+            if want_ids and n:
+                ids[i].append(part)
+
         def flush() -> None:
             nonlocal size
             if which:
                 per, flat = self._piece(hold, want_ids)
-                counts[which] = per
-                if want_ids:
-                    for i, part in zip(which, np.split(flat, np.cumsum(per)[:-1])):
-                        ids[i] = part
+                parts = np.split(flat, np.cumsum(per)[:-1]) if want_ids else [None] * len(which)
+                for i, n, part in zip(which, per.tolist(), parts):
+                    put(i, n, part)
             hold.clear()
             which.clear()
             size = 0
 
         for i, t in enumerate(texts):
-            if not t:
-                continue
-            if any(x in t for x in self.SPECIAL):
-                got = np.array(self.lib.encode(t, add_special_tokens=False).ids, np.int32)
-                counts[i] = len(got)
-                if want_ids:
-                    ids[i] = got
-                continue
-            t = normalise(t)
-            if size + len(t) > self.PIECE:
-                flush()
-            hold.append(t)
-            which.append(i)
-            size += len(t) + 1
+            at = 0
+            for m in [*self.specials.finditer(t), None] if t and "<" in t else [None] if t else []:
+                part = t[at : m.start() if m else len(t)]
+                if not part.isascii() and (self.classes.take(np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)) == UNKNOWN).any():
+                    flush()
+                    own = self._asked(part)
+                    put(i, len(own), own)
+                elif part:
+                    part = normalise(part)
+                    if size + len(part) > self.PIECE:
+                        flush()
+                    hold.append(part)
+                    which.append(i)
+                    size += len(part) + 1
+                if m:
+                    flush()
+                    put(i, 1, np.array([self.special[m[0]]], np.int32))
+                    at = m.end()
         flush()
+        if want_ids:
+            ids = [p[0] if len(p) == 1 else np.concatenate([np.zeros(0, np.int32), *p]) for p in ids]
         return counts, ids
 
 

@@ -6,13 +6,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cut
+from lattica.llm.common import cut, slices
 from lattica.llm.fst import transducer
 from lattica.llm.token_count import VOCAB, resolve
 
@@ -77,24 +76,22 @@ class OpenWindows:
         return out
 
 
-def merge_windows(left: pd.DataFrame, size: int, first_id: int) -> pd.DataFrame:
-    """Best-fit decreasing over whole leftover windows; every piece keeps its tokens."""
-    if left.empty:
-        return left
-    used = left.groupby("sequence_id")["length"].sum().sort_values(ascending=False, kind="stable")
+def merge_windows(left: pa.Table, size: int, first_id: int) -> pa.Table:
+    """Best-fit decreasing over whole leftover windows; every piece keeps its tokens, ids are passed on untouched."""
+    windows, own = np.unique(left.column("sequence_id").to_numpy(), return_inverse=True)
+    used = np.bincount(own, left.column("length").to_numpy(), len(windows)).astype(np.int64)
     room: list[int] = []
-    place: dict[int, tuple[int, int]] = {}
-    for seq, n in used.items():
+    place, shift = np.zeros(len(windows), np.int64), np.zeros(len(windows), np.int64)
+    for w in np.argsort(-used, kind="stable").tolist():
+        n = int(used[w])
         fits = [(r, i) for i, r in enumerate(room) if r >= n]
         i = min(fits)[1] if fits else len(room)
         if not fits:
             room.append(size)
-        place[seq] = (first_id + i, size - room[i])
+        place[w], shift[w] = first_id + i, size - room[i]
         room[i] -= n
-    out = left.copy()
-    out["offset"] += [place[s][1] for s in left["sequence_id"]]
-    out["sequence_id"] = [place[s][0] for s in left["sequence_id"]]
-    return out
+    new = {"sequence_id": place[own], "offset": left.column("offset").to_numpy() + shift[own]}
+    return pa.table({c: pa.array(new[c], pa.int64()) if c in new else left.column(c) for c in PIECE_COLUMNS})
 
 
 def pack(
@@ -115,7 +112,8 @@ def pack(
     `merge_parts` partitions beside it; those groups have `slots * merge_parts` windows at most.
     The one pass over texts is written to the checkpoint folder (a row for each piece), for both
     branches to read. Null and empty texts give a piece of one token (the end id). Repeated rows are
-    packed as documents of their own. Of the columns only id and text are read. An empty table gives
+    packed as documents of their own; null ids stay null. A text longer than a window is cut into
+    whole ones and a rest. Of the columns only id and text are read, so other names cannot clash. An empty table gives
     no rows. Returns one row a piece.
     """
 
@@ -136,8 +134,7 @@ def pack(
             return pa.RecordBatch.from_arrays(arrays, [*PIECE_COLUMNS, "open", "part"])
 
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part_of = b.slice(lo, 512)
+            for part_of in slices(b, 1):
                 _, ids = machine.run(part_of.column(1).to_pylist(), want_ids=True)
                 for key, own in zip(part_of.column(0).to_pylist(), ids):
                     whole = np.append(own, np.int32(end_id)).astype("<i4")
@@ -148,9 +145,9 @@ def pack(
 
     placed = cut(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(pieces, PIECE_SCHEMA))
 
-    def merge(key: tuple, left: pd.DataFrame) -> pd.DataFrame:
-        return merge_windows(left, size, MERGED + (int(key[0]) << 32))[PIECE_COLUMNS]
+    def merge(key: tuple, left: pa.Table) -> pa.Table:
+        return merge_windows(left, size, MERGED + (key[0].as_py() << 32))
 
     schema = ", ".join(f"{c} long" for c in PIECE_COLUMNS)
-    merged = placed.where("open").groupBy((F.col("part") / merge_parts).cast("int").alias("g")).applyInPandas(merge, schema)
+    merged = placed.where("open").groupBy((F.col("part") / merge_parts).cast("int").alias("g")).applyInArrow(merge, schema)
     return placed.where("not open").select(PIECE_COLUMNS).unionByName(merged).withColumnRenamed("doc_id", id_col)

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.common import slices
 from lattica.llm.fst import transducer
 
 VOCAB = "word_bpe_49k.json"
@@ -25,17 +26,18 @@ def resolve(vocab: str) -> str:
 def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = VOCAB) -> DataFrame:
     """One row (id, n_bytes, n_tokens) for every row of `df`; one narrow pass, no shuffle.
 
-    Null and empty texts have 0 bytes and 0 tokens; repeated rows give repeated rows; other columns
-    are not read, so their names cannot clash. Texts of any length are read whole, about two million
-    characters at a time.
+    Null and empty texts have 0 bytes and 0 tokens; null ids stay null; repeated rows give repeated rows;
+    an empty table gives none; other columns are not read, so their names cannot clash. Texts of any
+    length are read whole; a task holds a few megabytes of them at a time beside the machine.
     """
     id_type = df.schema[id_col].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(resolve(vocab))
-        for b in batches:
-            n, _ = machine.run(b.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
+        for batch in batches:
+            for b in slices(batch, 2):
+                n, _ = machine.run(b.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     rows = df.select(
         F.col(id_col).alias("id"),

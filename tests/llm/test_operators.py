@@ -9,16 +9,20 @@ import zlib
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from lattica.llm import queries as q
+from lattica.llm.common import slices
 from lattica.llm.components import connected_components
 from lattica.llm.decontaminate import find_leaks
+from lattica.llm.fst import transducer
 from lattica.llm.html_extract import extract, features, main_text
 from lattica.llm.jaccard import jaccard_components
 from lattica.llm.labelled_pages import labelled_pages, trained_model
 from lattica.llm.langid import BiGru, fit_languages, predict_languages
+from lattica.llm.merges import MergeMachine, load
 from lattica.llm.packing import pack
 from lattica.llm.sharding import histogram_shards
 from lattica.llm.token_count import count_tokens
@@ -352,3 +356,55 @@ def test_jaccard_counts_all_links(spark):
     assert {r.doc_id: r.n_links for r in out} == want
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute_components(rows, 4, 85)
     assert len(set(want.values())) > 5
+
+
+def test_merge_machine_equals_library():
+    machine, _ = load(public_tokenizers.path("word_bpe_49k.json"))
+    rng, names = random.Random(1), list(LIB.get_vocab())
+    words = ["".join(rng.choice("abcdefghinorst") for _ in range(rng.randrange(1, 25))) for _ in range(2000)]
+    words += [re.sub("</w>|[^a-z]", "", "".join(rng.choice(names) for _ in range(3))) or "a" for _ in range(4000)]
+    words += ["".join(rng.choice("!?.-_#*=+~@&%$") for _ in range(rng.randrange(1, 40))) for _ in range(1000)] + ["ab" * 4000, "ñandú", "e" * 700]
+    counts, ids = machine.words([w.encode() for w in words])
+    assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == [ids_of(w) for w in words]
+    small, _ = load(public_tokenizers.path("word_bpe_49k.json"))
+    small.max_states = 10  # starts anew all the time
+    assert small.words([w.encode() for w in words[:300]])[1].tolist() == ids[: counts[:300].sum()].tolist()
+
+
+def test_merge_machine_is_the_merges_as_defined():
+    vocab = {c: i for i, c in enumerate("abc")} | {c + "</w>": 3 + i for i, c in enumerate("abc")}
+    merges = [("a", "b"), ("b", "c</w>"), ("ab", "ab"), ("a", "a"), ("aa", "b</w>"), ("c", "ab")]
+    for a, b in merges:
+        vocab[a + b] = len(vocab)
+    machine, rng = MergeMachine(vocab, merges), random.Random(3)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))).encode() for _ in range(400)]
+    counts, ids = machine.words(words)
+    for w, got in zip(words, np.split(ids, np.cumsum(counts)[:-1])):
+        assert got.tolist() == machine.merge([machine.unit[s] for s in (*w[:-1], w[-1] + 256)])
+
+
+def test_every_code_point_counts_as_in_the_library():
+    """All planes that hold letters, before and after the contractions; letters newer than this Python's tables too."""
+    points = [c for c in [*range(1, 0xD800), *range(0xE000, 0x323B0), *range(0xE0000, 0xE0200)]]
+    texts = ["".join(f"{chr(c)}'s a{chr(c)}'re1{chr(c)}2 {chr(c)}{chr(c)}! " for c in points[lo : lo + 64]) for lo in range(0, len(points), 64)]
+    _, ids = transducer(public_tokenizers.path("word_bpe_49k.json")).run(texts, want_ids=True)
+    assert all(got.tolist() == ids_of(t) for got, t in zip(ids, texts))
+
+
+def test_special_strings_and_unknown_letters(spark):
+    texts = ["Ƛ's", "a<|endoftext|>'s Ƛ <|startoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endoftext|", "<|endoftext|>" * 3, "x" * 5000]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.n_tokens for r in count_tokens(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: len(ids_of(t)) for i, t in rows}
+
+
+def test_packing_keeps_ids_beside_nulls(spark):
+    rows = [(2**60 + 1, "one two"), (None, "three"), (-(2**62) - 3, "four five six")]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.doc_tokens) for r in got) == sorted((i or 0, len(ids_of(t)) + 1) for i, t in rows)
+
+
+def test_slices_bound_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * n for n in (3, 3, 3, 50, 1, 0)] + [None])], ["t"])
+    assert [p.num_rows for p in slices(batch, 0, rows=4, size=9)] == [3, 1, 3]
+    assert [p.num_rows for p in slices(batch.slice(1, 5), 0, rows=2, size=100)] == [2, 2, 1] and not list(slices(batch.slice(0, 0), 0))
