@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as charrefs
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.common import slices
+
 # HTML element groups.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg select object".split())
@@ -46,8 +49,10 @@ SHAPES = ("bias", "no text", "short", "long", "many links", "some links", "no li
 FEATURES = (*(f"tag {t}" for t in TAG_FEATURES), *(f"name {n}" for n in NAMES), *SHAPES)
 AT = {f: i for i, f in enumerate(FEATURES)}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|aria-label|hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: Attributes of a tag; a quote opens a value only after a sign of equality, and an unclosed one runs to the page's end.
+INSIDE = r"""((?:[^>=]|=(?!\s*["'])|=\s*"[^"]*(?:"|\Z)|=\s*'[^']*(?:'|\Z))*+)(?:>|\Z)"""
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*){INSIDE}", re.S)
+ATTRIBUTE = re.compile(r"""([^\s=/]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?""")
 LETTERS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -64,23 +69,65 @@ class Page:
     breaks: set[int]  # indexes of runs before which a block or line ends
 
 
+class Open:
+    """The open elements: a stack that knows where each tag and the last block stand, so that no step searches it."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = [("html", 0)]
+        self.at: dict[str, list[int]] = {}  # places of each tag above the root
+        self.blocks: list[int] = []  # places of blocks above the root
+
+    def push(self, tag: str, block: int) -> None:
+        self.at.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, block))
+
+    def last(self, tags) -> int:
+        """The highest place of any of the tags; 0 if none is open."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def first_above(self, tags, place: int) -> int:
+        """The lowest place above `place` of any of the tags; 0 if there is none."""
+        found = (own[k] for t in tags if (own := self.at.get(t)) and (k := bisect_right(own, place)) < len(own))
+        return min(found, default=0)
+
+    def block_above(self, place: int) -> bool:
+        return bool(self.blocks) and self.blocks[-1] > place
+
+    def pop_to(self, place: int) -> bool:
+        """Close everything from `place` up; whether a block was among it."""
+        blocks = self.block_above(place - 1)
+        for tag, _ in reversed(self.stack[place:]):
+            self.at[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+        del self.stack[place:]
+        return blocks
+
+
+def attributes(inside: str) -> dict[str, str]:
+    """Names in lower case with their values; of repeated names the first."""
+    found: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(inside):
+        found.setdefault(name.lower(), value.strip("\"'"))
+    return found
+
+
 def parse(source: str) -> Page:
-    """A lenient parser: any input gives a tree; character references are left for later."""
+    """A lenient parser: any input gives a tree, in time that grows with its length only; character references are left for later."""
     page = Page([-1], ["html"], [""], [None], [], set())
-    stack: list[tuple[str, int]] = [("html", 0)]  # open elements with their block
-    links = 0
+    opened = Open()
     at, size = 0, len(source)
+    unended: set[str] = set()  # raw tags that nothing more ends
 
-    def pop_to(k: int) -> None:
-        nonlocal links
-        if any(t in BLOCK for t, _ in stack[k:]):
+    def pop_to(place: int) -> None:
+        if opened.pop_to(place):
             page.breaks.add(len(page.runs))
-        links -= sum(t == "a" for t, _ in stack[k:])
-        del stack[k:]
 
     def text(s: str) -> None:
         if s:
-            page.runs.append((stack[-1][1], s, links > 0))
+            page.runs.append((opened.stack[-1][1], s, bool(opened.at.get("a"))))
 
     while at < size:
         m = TOKEN.search(source, at)
@@ -93,33 +140,27 @@ def parse(source: str) -> Page:
             if m[0].startswith("<![CDATA["):
                 text(m[0][9:].removesuffix("]]>"))
             continue
-        tag = m[2].lower()
+        tag, closed = m[2].lower(), m[3].endswith("/")
         if m[1]:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if k and (tag in BLOCK or not any(t in BLOCK for t, _ in stack[k + 1 :])):
-                pop_to(k)
+            place = opened.last((tag,))
+            if place and (tag in BLOCK or not opened.block_above(place)):
+                pop_to(place)
             elif tag in ("p", "br"):
                 page.breaks.add(len(page.runs))
             continue
-        if tag in CLOSES_P:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p" or stack[i][0] in BLOCK), 0)
-            if k and stack[k][0] == "p":
-                pop_to(k)
+        if tag in CLOSES_P and opened.blocks and opened.stack[opened.blocks[-1]][0] == "p":
+            pop_to(opened.blocks[-1])
         if tag in ENDS:
             ended, barrier = ENDS[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in barrier:
-                    break
-                if stack[i][0] in ended and not any(stack[j][0] in ended for j in range(1, i) if not any(stack[x][0] in barrier for x in range(j, i))):
-                    pop_to(i)
-                    break
-        if tag == "a" and links:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "a"), 0)
-            if not any(t in BLOCK for t, _ in stack[k + 1 :]):
-                pop_to(k)
+            if place := opened.first_above(ended, opened.last(barrier)):
+                pop_to(place)
+        if tag == "a" and (place := opened.last(("a",))) and not opened.block_above(place):
+            pop_to(place)
         if tag in RAW:
-            if not m[4]:
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+            if not closed:
+                end = None if tag in unended else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+                if not end:
+                    unended.add(tag)
                 at = end.end() if end else size
             if tag in ("textarea", "iframe", "select", "object"):
                 page.breaks.add(len(page.runs))
@@ -128,27 +169,25 @@ def parse(source: str) -> Page:
             if tag in ("br", "hr"):
                 page.breaks.add(len(page.runs))
             continue
-        block = stack[-1][1]
+        block = opened.stack[-1][1]
         if tag in BLOCK:
             page.breaks.add(len(page.runs))
-            found = {a[0].lower(): a[1].strip("\"'") for a in ATTRIBUTE.findall(m[3])} if m[3] else {}
-            mark = re.search(r"data-mark=\"(\w)\"", m[3]) if m[3] else None
+            found = attributes(m[3]) if m[3] else {}
             hidden = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
             page.parent.append(block)
             page.tag.append(tag)
             page.names.append(" ".join(found.get(k, "") for k in ("class", "id", "role", "aria-label")) + (" \0" if hidden else ""))
-            page.mark.append(mark[1] if mark else None)
+            page.mark.append(found.get("data-mark"))
             block = len(page.tag) - 1
-        if not m[4] or tag in BLOCK:
-            stack.append((tag, block))
-            links += tag == "a"
+        if not closed or tag in BLOCK:
+            opened.push(tag, block)
     return page
 
 
 def features(page: Page) -> np.ndarray:
-    """A row of FEATURES for every block."""
+    """A row of FEATURES, 0 or 1, for every block."""
     n = len(page.tag)
-    x = np.zeros((n, len(FEATURES)), np.float64)
+    x = np.zeros((n, len(FEATURES)), np.uint8)
     own, linked, stops = np.zeros(n), np.zeros(n), np.zeros(n)
     rights = np.zeros(n, bool)
     for block, s, link in page.runs:
@@ -195,7 +234,8 @@ class TreeModel:
         n = len(parent)
         kinds = x[:, : len(TAG_FEATURES)].argmax(1)
         score = np.zeros((n, 2))
-        score[:, 1] = x @ self.node
+        for lo in range(0, n, 4096):
+            score[lo : lo + 4096, 1] = x[lo : lo + 4096] @ self.node
         table = self.edge[kinds]
         logs, child_msg = score.tolist(), [(0.0, 0.0)] * n
         tables = table.tolist()
@@ -272,14 +312,16 @@ def main_text(source: str | None, model: TreeModel, least: float = 0.5) -> str:
 def extract(df: DataFrame, model: TreeModel, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """(id, `keep`, text, n_chars) for every row: one narrow pass over whole pages.
 
-    Null, empty and text-less pages give an empty text. Repeated rows give repeated results. Columns
-    other than those named are not read.
+    Null, empty and text-less pages give an empty text; null ids stay null. Repeated rows give repeated
+    results, an empty table none. Columns other than those named are not read, so names cannot clash.
+    Very long, deeply nested and malformed pages are read whole, in time and memory that grow with
+    their length. White space is what `str.split` parts at, no-break spaces among it.
     """
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     names = [id_col, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, len(names))):
             texts = [main_text(h, model) for h in b.column(len(names)).to_pylist()]
             cols = [b.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*(f"c{i}" for i in range(len(names))), "text", "n_chars"])

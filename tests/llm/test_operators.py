@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -18,7 +19,7 @@ from lattica.llm.common import slices
 from lattica.llm.components import connected_components
 from lattica.llm.decontaminate import find_leaks
 from lattica.llm.fst import transducer
-from lattica.llm.html_extract import extract, features, main_text
+from lattica.llm.html_extract import attributes, extract, features, main_text, parse
 from lattica.llm.jaccard import jaccard_components
 from lattica.llm.labelled_pages import labelled_pages, trained_model
 from lattica.llm.langid import BiGru, fit_languages, predict_languages
@@ -408,3 +409,21 @@ def test_slices_bound_bytes():
     batch = pa.RecordBatch.from_arrays([pa.array(["a" * n for n in (3, 3, 3, 50, 1, 0)] + [None])], ["t"])
     assert [p.num_rows for p in slices(batch, 0, rows=4, size=9)] == [3, 1, 3]
     assert [p.num_rows for p in slices(batch.slice(1, 5), 0, rows=2, size=100)] == [2, 2, 1] and not list(slices(batch.slice(0, 0), 0))
+
+
+def test_html_time_grows_with_length_only():
+    model = trained_model()
+    pages = ["<div>" * 200_000, "<b>" * 100_000 + "</i>" * 100_000, "<div>" * 800 + "<li>x" * 40_000, "<a " * 300_000, "<i><div>" + "<b>" * 50_000 + "</i>" * 100_000, "<table><tr>" + "<td>x" * 100_000,
+             "<p " + "='" * 200_000, "<script>" * 50_000, "</p>" * 200_000, "<a x=\"" * 100_001, "<ul><li>y" * 50_000, "<" * 500_000, "<select><option>" * 20_000]
+    for page in pages:
+        began = time.process_time()
+        main_text(page + "<article><p>One two three. " + "Four five six. " * 20, model)
+        assert time.process_time() - began < 30, page[:40]
+
+
+def test_html_attributes_and_misnesting():
+    assert attributes(' title="the hidden garden" CLASS=\'a b\' id=x hidden') == {"title": "the hidden garden", "class": "a b", "id": "x", "hidden": ""}
+    page = parse('<div title="the hidden garden"><p hidden>a</p><p>b<p>c</div><b>d<div>e</b>f</div><ul><li>g<ul><li>h</ul><li>i</ul>')
+    assert ["\0" in n for n in page.names] == [False, False, True, False, False, False, False, False, False, False, False][: len(page.names)]
+    assert page.tag == ["html", "div", "p", "p", "p", "div", "ul", "li", "ul", "li", "li"] and page.parent == [-1, 0, 1, 1, 1, 0, 0, 6, 7, 8, 6]
+    assert [(page.tag[b], t) for b, t, _ in page.runs] == [("p", "a"), ("p", "b"), ("p", "c"), ("html", "d"), ("div", "e"), ("div", "f"), ("li", "g"), ("li", "h"), ("li", "i")]
