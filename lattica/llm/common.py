@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,27 @@ def slices(batch: pa.RecordBatch, column: int, rows: int = 512, size: int = 8 <<
         at = to
 
 
+def map_texts(df: DataFrame, keep: Sequence[str], text_col: str, added: str, read: Callable[[], Callable[[list], list[pa.Array]]], rows: int = 512) -> DataFrame:
+    """The columns `keep` of `df` and those of the schema `added`, which what `read` returns makes of a list of texts; one narrow pass.
+
+    Columns travel under names of their own, so none can clash with the added ones inside; the caller
+    sees to it that the names of the result differ. `read` is called once in every task.
+    """
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    names = [f"c{i}" for i in range(len(keep))]
+    new = [part.split()[0] for part in added.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = read()
+        for batch in batches:
+            for b in slices(batch, len(names), rows):
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *work(b.column(len(names)).to_pylist())], [*names, *new])
+
+    sent = df.select(*(F.col(c).alias(n) for c, n in zip(keep, names)), F.col(text_col).cast("string").alias("text"))
+    out = sent.mapInArrow(run, ", ".join([*(f"{n} {types[c]}" for c, n in zip(keep, names)), added]))
+    return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names)), *new)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder the cluster names; a temporary one is made only in local mode where none is set (tests)."""
     named = spark.conf.get(CHECKPOINT_DIR, None)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.common import map_texts
 from lattica.llm.samples import held_out, labelled_texts
 
 UNDETERMINED = "und"
@@ -168,7 +168,7 @@ def fit_languages(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
     per_label: int = 400, windows: int = 12_000, hidden: int = 8, window: int = 64, steps: int = 500, batch: int = 256, seed: int = 7,
 ) -> BiGru | None:
-    """Train on at most `per_label` texts of each label (and `windows` windows in all) outside the held-out ids.
+    """Train on at most `per_label` texts (of 64 KB at most) of each label (and `windows` windows in all) outside the held-out ids.
 
     None if no labelled text has a letter.
     """
@@ -192,22 +192,19 @@ def fit_languages(
     return net
 
 
-def predict_languages(df: DataFrame, net: BiGru | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) for every row, from every byte of its text; one narrow pass.
+def predict_languages(df: DataFrame, net: BiGru | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """(id, lang_pred, score) for every row, or the columns `keep`, lang_pred and score, from every byte of its text; one narrow pass.
 
     `und` with score 0 where the text is null, empty or without a letter, and everywhere if there is
-    no network. Repeated rows give the same prediction; other columns are not read.
+    no network; null ids stay null. Repeated rows give the same prediction, an empty table gives no rows;
+    columns not named are not read. Long texts are read whole, a few thousand windows at a time.
     """
-    id_type = df.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                texts = part.column(1).to_pylist()
-                best, score = net.documents(texts) if net else ([-1] * len(texts), [0.0] * len(texts))
-                names = [net.labels[k] if k >= 0 else UNDETERMINED for k in best]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
-
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {id_type}, lang_pred string, score double").withColumnRenamed("id", id_col)
+
+    def read():
+        def work(texts: list) -> list[pa.Array]:
+            best, score = net.documents(texts) if net else ([-1] * len(texts), [0.0] * len(texts))
+            return [pa.array([net.labels[k] if k >= 0 else UNDETERMINED for k in best], pa.string()), pa.array(score, pa.float64())]
+
+        return work
+
+    return map_texts(df, keep or (id_col,), text_col, "lang_pred string, score double", read, 256)

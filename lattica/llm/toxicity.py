@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.common import map_texts
 from lattica.llm.samples import held_out, labelled_texts
 
 #: Letters of other scripts that look like Latin ones, and digits that stand for letters.
@@ -169,7 +169,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 3000) -> Lexicon:
-    """Learn stems, exception phrases and curve from at most `per_label` labelled texts of each label.
+    """Learn stems, exception phrases and curve from at most `per_label` labelled texts (of 64 KB at most) of each label.
 
     Held-out ids and null labels are left out. With no toxic or no harmless example the lexicon is
     empty, and every text scores alike.
@@ -191,19 +191,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return lexicon
 
 
-def score_toxicity(df: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) for every row of `df`: one narrow pass over whole texts.
+def score_toxicity(df: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """(id, score) for every row of `df`, or the columns `keep` and score: one narrow pass over whole texts.
 
-    Null and empty texts score as texts without a hit. Repeated rows score alike. Other columns are
-    not read.
+    Null and empty texts score as texts without a hit; null ids stay null. Repeated rows score alike, an
+    empty table gives no rows. Columns not named are not read. Texts of any length are scored whole, one
+    at a time; a task holds some megabytes of them.
     """
-    id_type = df.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read():
         auto = lexicon.automaton()
-        for b in batches:
-            scores = [lexicon.score(lexicon.features(auto, t)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], ["id", "score"])
+        return lambda texts: [pa.array([lexicon.score(lexicon.features(auto, t)) for t in texts], pa.float64())]
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {id_type}, score double").withColumnRenamed("id", id_col)
+    return map_texts(df, keep or (id_col,), text_col, "score double", read)
