@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattica.llm.common import Tables
+from lattica.llm.common import Tables, slices
 from lattica.llm.components import connected_components
 from lattica.llm.shingles import Shingler, signature
 
@@ -45,18 +45,17 @@ def _survey(k: int, chunk: int = 1_500_000):
             top = np.argsort(-c, kind="stable")[:COMMON]
             held.clear()
             n = len(top)
-            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(c[top].astype(np.int64)), pa.array(u[top].astype(np.int64)), pa.nulls(n, pa.int64())], ["doc", "n", "s1", "s2"])
+            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(c[top].astype(np.int64)), pa.array(u[top].astype(np.int64)), pa.nulls(n, pa.int64())], ["id", "doc", "n", "s1", "s2"])
 
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
+            for part in slices(b, 1):
                 sets = shingler.sets(part.column(1).to_pylist())
                 signs = [signature(s) for s in sets]
                 for sign, s in zip(signs, sets):
                     if sign not in held:
                         held[sign] = s
                         size += len(s)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, sets), pa.int64()), pa.array([a for a, _ in signs], pa.int64()), pa.array([a for _, a in signs], pa.int64())], ["doc", "n", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), pa.array(map(len, sets), pa.int64()), pa.array([a for a, _ in signs], pa.int64()), pa.array([a for _, a in signs], pa.int64())], ["id", "doc", "n", "s1", "s2"])
                 if size > chunk:
                     yield common()
                     size = 0
@@ -71,8 +70,7 @@ def _prefixes(k: int, percent: int, shingles: np.ndarray, level: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
+            for part in slices(b, 1):
                 out, sizes = [], []
                 for s in shingler.sets(part.column(1).to_pylist()):
                     sizes.append(len(s))
@@ -142,6 +140,21 @@ def _possible(percent: int, nx: str, ny: str, px: str, py: str) -> Column:
     return sizes & (1 + F.least(F.col(nx) - F.col(px) - 1, F.col(ny) - F.col(py) - 1) >= least)
 
 
+def _degrees(read: DataFrame, links: DataFrame, components: DataFrame, tables: Tables, bounded, k: int, percent: int, block: int) -> DataFrame:
+    """(rep, n_links): a component whose links are all its pairs is counted already; of the others every pair of blocks is."""
+    degree = links.select(F.col("u").alias("rep")).union(links.select("v")).groupBy("rep").agg(F.count("*").alias("seen"))
+    edges = links.join(components, F.col("u") == F.col("node")).groupBy("component").agg(F.count("*").alias("edges"))
+    nodes = components.groupBy("component").agg(F.count("*").alias("nodes"))
+    partial = nodes.join(edges, "component").where("2 * edges < nodes * (nodes - 1)").select("component", F.ceil(F.col("nodes") / block).alias("blocks"))
+    members = tables.keep(components.join(partial, "component").select(F.col("node").alias("doc"), "component", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("own")))
+    dealt = read.join(bounded(members), "doc").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("doc", "text", "component", "own", F.least("own", "with").alias("a"), F.greatest("own", "with").alias("b"))
+    counted = dealt.groupBy("component", "a", "b").applyInPandas(_count_links(k, percent), "rep long, n long").groupBy("rep").agg(F.sum("n").alias("all"))
+    counted = tables.keep(counted)
+    tables.drop(members)
+    return degree.join(counted, "rep", "left").select("rep", F.coalesce("all", "seen").alias("n_links"))
+
+
 def jaccard_components(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -151,16 +164,21 @@ def jaccard_components(
     pivots: int = 64,
     broadcast_ids: int = 1_000_000,
     block: int = 128,
+    count_links: bool = True,
 ) -> DataFrame:
-    """(id, n_shingles, component_id, n_links) of every row; links are pairs of different sets with Jaccard >= percent / 100.
+    """(id, n_shingles, component_id, n_links, row_key, first) of every row; links are pairs of different sets with Jaccard >= percent / 100.
 
     Exact: every pair that may be linked is either verified on its whole sets or already in one
-    component. Equal sets are one node, of their least id; they share its component. `n_links` counts
+    component. Equal sets are one node; they share its component. `n_links` counts
     all links of a row's set to other sets: components with a pair not compared are dealt into blocks of about
-    `block` sets, and each pair of blocks is counted in a task. Null, empty and
-    wordless texts have no shingle and are linked with nothing; a null id takes no part and has a
-    null component. Rows that repeat an id and text repeat in the result. Other columns are not read.
-    An empty table gives no rows.
+    `block` sets, and each pair of blocks is counted in a task; without `count_links` it is null.
+
+    Rows are told apart by `row_key`, 64 bits hashed from id and text, so rows that share an id keep their
+    own links, and rows with a null id take part; component_id is the least id of the component that is not
+    null. Rows that repeat an id and text repeat in the result. Null, empty and wordless texts have no
+    shingle and are linked with nothing. `first` marks the row of a component with the least id, and of
+    those the least key (its repetitions too), and every row without a shingle. Texts of any length
+    are read whole. Other columns are not read, so names cannot clash. An empty table gives no rows.
 
     Pass one reads texts for sizes, signatures and common shingles, pass two for prefixes (a sixth of
     all shingles: the only large exchange), a third reads only documents of candidate pairs; their
@@ -170,17 +188,20 @@ def jaccard_components(
     tables = Tables(df.sparkSession)
     keep, drop = tables.keep, tables.drop
     bounded = lambda d: F.broadcast(d) if tables.rows(d) <= broadcast_ids else d
-    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    surveyed = keep(docs.mapInArrow(_survey(k), "doc long, n long, s1 long, s2 long"))
+    named = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = named.select("id", F.xxhash64("id", "text").alias("doc"), "text")
+    read = docs.select("doc", "text")
+    surveyed = keep(docs.select("doc", "text", "id").mapInArrow(_survey(k), "id long, doc long, n long, s1 long, s2 long"))
     rows = surveyed.where("s2 is not null")
     common = surveyed.where("s2 is null").groupBy("s1").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "s1").limit(COMMON).toPandas()
     order = np.argsort(common["s1"].to_numpy().astype(np.int64).view(np.uint64))
     shingles = common["s1"].to_numpy().astype(np.int64).view(np.uint64)[order]
     level = np.log2(common["c"].to_numpy(float)[order] + 1).astype(np.int64)
 
-    classes = keep(rows.where("doc is not null and n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep")))
-    copies = keep(rows.where("doc is not null").join(classes, ["s1", "s2", "n"]).where("doc <> rep").select("doc").distinct())
-    prefixes = docs.where("doc is not null").mapInArrow(_prefixes(k, percent, shingles, level), "doc long, n long, cells array<long>")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc"))
+    classes = keep(rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"), least.alias("head")))
+    copies = keep(rows.join(classes, ["s1", "s2", "n"]).where("doc <> rep").select("doc").distinct())
+    prefixes = read.mapInArrow(_prefixes(k, percent, shingles, level), "doc long, n long, cells array<long>")
     if 0 < tables.rows(copies) <= broadcast_ids:
         prefixes = prefixes.join(F.broadcast(copies), "doc", "left_anti")
     elif tables.rows(copies):
@@ -193,7 +214,7 @@ def jaccard_components(
         """(x, y, dist, linked) of candidate pairs, by their whole texts, which compress better than sets."""
         pairs = keep(pairs)
         ids = keep(pairs.select(F.col("x").alias("doc")).union(pairs.select("y")).distinct())
-        texts = keep(docs.join(bounded(ids), "doc", "left_semi"))
+        texts = keep(read.join(bounded(ids), "doc", "left_semi").dropDuplicates(["doc"]))
         a, b = (texts.select(F.col("doc").alias(c), F.col("text").alias(f"t{c}")) for c in "xy")
         both = pairs.join(b, "y").join(a, "x").select("x", "y", "tx", "ty")
         out = keep(both.mapInArrow(_verify(k, percent), "x long, y long, dist double, linked boolean").dropDuplicates(["x", "y"]))
@@ -222,9 +243,11 @@ def jaccard_components(
     left = keep(cells.join(to_first, ["doc", "pivot"], "left").withColumn("dist", F.when(F.col("doc") == F.col("pivot"), 0.0).otherwise(F.col("dist"))))
     drop(cells, cell)
 
-    # Further rounds: documents outside the cell's largest component against the cell, `pivots` of them, or
-    # more where the cell is small: up to a million comparisons a cell.
+    # Further rounds: documents outside the cell's largest component against the cell, `pivots` of them, twice as
+    # many in each round, or more where the cell is small: up to a million comparisons a cell. The number of rounds
+    # grows with the logarithm of the largest cell.
     components = connected_components(links, tables)
+    turns = 0
     while True:
         own = F.coalesce("component", "doc").alias("comp")
         named = keep(left.join(components.withColumnRenamed("node", "doc"), "doc", "left").select("cell", "doc", "n", "pos", "dist", own))
@@ -236,11 +259,12 @@ def jaccard_components(
         if not tables.rows(left):
             break
         turn = F.row_number().over(Window.partitionBy("cell").orderBy("doc"))
-        quota = F.greatest(F.lit(pivots), F.floor(F.lit(1_000_000) / F.col("size")))
+        quota = F.greatest(F.lit(pivots << turns), F.floor(F.lit(1_000_000) / F.col("size")))
         chosen = left.where("comp <> main").withColumn("turn", turn).where(F.col("turn") <= quota)
         chosen = keep(chosen.select("cell", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("dist").alias("dy"), F.col("comp").alias("cy")))
         window = F.coalesce(F.abs(F.col("dist") - F.col("dy")) <= radius + 1e-9, F.lit(True))
         pairs = left.join(chosen, "cell").where((F.col("comp") != F.col("cy")) & window & _possible(percent, "n", "ny", "pos", "py"))
+        turns += 1
         pairs = pairs.select(F.greatest("doc", "y").alias("x"), F.least("doc", "y").alias("y")).distinct()
         tested = verified(pairs.join(known, ["x", "y"], "left_anti"))
         found = keep(tested.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v")))
@@ -254,23 +278,17 @@ def jaccard_components(
         drop(*stale, found)
     drop(known, left)
 
-    degree = links.select(F.col("u").alias("rep")).union(links.select("v")).groupBy("rep").agg(F.count("*").alias("seen"))
-    # A component whose links are all its pairs is counted already; of the others every pair of blocks is.
-    edges = links.join(components, F.col("u") == F.col("node")).groupBy("component").agg(F.count("*").alias("edges"))
-    nodes = components.groupBy("component").agg(F.count("*").alias("nodes"))
-    partial = nodes.join(edges, "component").where("2 * edges < nodes * (nodes - 1)").select("component", F.ceil(F.col("nodes") / block).alias("blocks"))
-    members = keep(components.join(partial, "component").select(F.col("node").alias("doc"), "component", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("own")))
-    dealt = docs.join(bounded(members), "doc").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("doc", "text", "component", "own", F.least("own", "with").alias("a"), F.greatest("own", "with").alias("b"))
-    counted = dealt.groupBy("component", "a", "b").applyInPandas(_count_links(k, percent), "rep long, n long").groupBy("rep").agg(F.sum("n").alias("all"))
-    counted = keep(counted)
-    drop(members)
-    degree = degree.join(counted, "rep", "left").select("rep", F.coalesce("all", "seen").alias("n_links"))
-    found = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    found = found.select("s1", "s2", F.col("n").alias("size"), "rep", F.coalesce("component", "rep").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    heads = components.join(classes.select(F.col("rep").alias("node"), "head"), "node").groupBy("component").agg(F.min("head").alias("head_of"))
+    found = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").join(heads, "component", "left")
+    if count_links:
+        found = found.join(_degrees(read, links, components, tables, bounded, k, percent, block), "rep", "left")
+    else:
+        found = found.withColumn("n_links", F.lit(None).cast("long"))
+    lead = F.coalesce("head_of", "head")
+    found = found.select("s1", "s2", F.col("n").alias("size"), lead["id"].alias("comp"), lead["doc"].alias("lead"), F.coalesce("n_links", F.lit(0 if count_links else None)).alias("n_links"))
     match = (rows["s1"] == found["s1"]) & (rows["s2"] == found["s2"]) & (rows["n"] == found["size"])
+    alone = F.col("n") == 0
     return rows.join(found, match, "left").select(
-        F.col("doc").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.when(F.col("doc").isNotNull(), F.col("comp"))).otherwise(F.col("doc")).alias("component_id"),
-        F.coalesce(found["n_links"], F.lit(0)).cast("long").alias("n_links"),
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("comp")).alias("component_id"),
+        F.when(alone & F.lit(count_links), 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.col("doc").alias("row_key"), (alone | (F.col("doc") == F.col("lead"))).alias("first"),
     )

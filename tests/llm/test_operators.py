@@ -427,3 +427,16 @@ def test_html_attributes_and_misnesting():
     assert ["\0" in n for n in page.names] == [False, False, True, False, False, False, False, False, False, False, False][: len(page.names)]
     assert page.tag == ["html", "div", "p", "p", "p", "div", "ul", "li", "ul", "li", "li"] and page.parent == [-1, 0, 1, 1, 1, 0, 0, 6, 7, 8, 6]
     assert [(page.tag[b], t) for b, t, _ in page.runs] == [("p", "a"), ("p", "b"), ("p", "c"), ("html", "d"), ("div", "e"), ("div", "f"), ("li", "g"), ("li", "h"), ("li", "i")]
+
+
+def test_jaccard_of_repeated_and_null_ids(spark):
+    rng = random.Random(6)
+    a = [f"a{rng.randrange(900)}" for _ in range(80)]
+    b = [f"b{rng.randrange(900)}" for _ in range(80)]
+    a2 = a[:-1] + ["other"]
+    rows = [(3, " ".join(b)), (5, " ".join(a)), (5, " ".join(b)), (9, " ".join(a2)), (None, " ".join(a)), (None, "alone in the table with its words"), (7, None), (9, " ".join(a2))]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(3, 3, 0, True), (5, 5, 1, True), (5, 3, 0, False), (9, 5, 1, False), (None, 5, 1, False), (None, None, 0, True), (7, 7, 0, True), (9, 5, 1, False)]
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.component_id, r.n_links, r.first)) for r in got)
+    plain = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), count_links=False).collect()
+    assert sorted(map(str, ((r.doc_id, r.component_id, r.first) for r in got))) == sorted(map(str, ((r.doc_id, r.component_id, r.first) for r in plain)))
