@@ -29,6 +29,9 @@ from lattica.llm.shingles import Shingler, signature
 
 #: Shingles whose commonness is known to all tasks; it only orders them, so the bound loses nothing.
 COMMON = 200_000
+#: Buckets of the parity bits.
+LOG_BITS = 10
+BITS = 1 << LOG_BITS
 
 
 def _survey(k: int, chunk: int = 1_500_000):
@@ -64,23 +67,32 @@ def _survey(k: int, chunk: int = 1_500_000):
     return run
 
 
+def parity_bits(s: np.ndarray) -> np.ndarray:
+    """A set's shingles counted modulo 2 in `BITS` buckets, as longs: sets differ in at least as many shingles as these differ in bits."""
+    odd = np.bincount((s >> np.uint64(64 - LOG_BITS)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def _prefixes(k: int, percent: int, shingles: np.ndarray, level: np.ndarray):
-    """Tasks' pass two: each text's rarest shingles, first those of the lowest level."""
+    """Tasks' pass two: each text's rarest shingles, first those of the lowest level, and its parity bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
         for b in batches:
             for part in slices(b, 1):
-                out, sizes = [], []
+                out, sizes, bits = [], [], []
                 for s in shingler.sets(part.column(1).to_pylist()):
                     sizes.append(len(s))
                     n = len(s)
                     at = np.minimum(np.searchsorted(shingles, s), max(0, len(shingles) - 1))
                     rank = np.where(shingles[at] == s, level[at], 0) if len(shingles) else np.zeros(n, int)
                     out.append(s[np.lexsort((s, rank))][: n + (-percent * n // 100) + 1 if n else 0].astype(np.int64))
+                    bits.append(parity_bits(s))
                 offsets = np.concatenate([[0], np.cumsum([len(o) for o in out])]).astype(np.int32)
                 cells = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*out, np.zeros(0, np.int64)])))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), cells], ["doc", "n", "cells"])
+                flat = pa.array(np.concatenate([*bits, np.zeros(0, np.int64)]))
+                marks = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * (BITS // 64)), flat)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), cells, marks], ["doc", "n", "cells", "bits"])
 
     return run
 
@@ -201,24 +213,35 @@ def jaccard_components(
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc"))
     classes = keep(rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"), least.alias("head")))
     copies = keep(rows.join(classes, ["s1", "s2", "n"]).where("doc <> rep").select("doc").distinct())
-    prefixes = read.mapInArrow(_prefixes(k, percent, shingles, level), "doc long, n long, cells array<long>")
+    prefixes = read.mapInArrow(_prefixes(k, percent, shingles, level), "doc long, n long, cells array<long>, bits array<long>")
     if 0 < tables.rows(copies) <= broadcast_ids:
         prefixes = prefixes.join(F.broadcast(copies), "doc", "left_anti")
     elif tables.rows(copies):
         prefixes = prefixes.join(copies, "doc", "left_anti")
     prefixes = keep(prefixes.where("n > 0"))
     drop(copies)
+    sketches = keep(prefixes.select("doc", "n", "bits").dropDuplicates(["doc"]))
     placed = prefixes.select("doc", "n", F.posexplode("cells").alias("pos", "cell"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """(x, y, dist, linked) of candidate pairs, by their whole texts, which compress better than sets."""
-        pairs = keep(pairs)
+        """(x, y, dist, linked) of candidate pairs, by their whole texts, which compress better than sets.
+
+        Pairs whose parity bits differ in more places than linked sets have shingles apart are settled without
+        their texts; their dist stays null, which tells nothing.
+        """
+        for c in "xy":
+            pairs = pairs.join(sketches.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}")), c)
+        apart = sum((F.bit_count(F.col("bx")[i].bitwiseXOR(F.col("by")[i])) for i in range(BITS // 64)), F.lit(0))
+        near = apart * (100 + percent) <= (100 - percent) * (F.col("nx") + F.col("ny"))
+        judged = keep(pairs.select("x", "y", near.alias("near")))
+        pairs, far = judged.where("near").select("x", "y"), judged.where("not near")
         ids = keep(pairs.select(F.col("x").alias("doc")).union(pairs.select("y")).distinct())
         texts = keep(read.join(bounded(ids), "doc", "left_semi").dropDuplicates(["doc"]))
         a, b = (texts.select(F.col("doc").alias(c), F.col("text").alias(f"t{c}")) for c in "xy")
         both = pairs.join(b, "y").join(a, "x").select("x", "y", "tx", "ty")
-        out = keep(both.mapInArrow(_verify(k, percent), "x long, y long, dist double, linked boolean").dropDuplicates(["x", "y"]))
-        drop(pairs, ids, texts)
+        tested = both.mapInArrow(_verify(k, percent), "x long, y long, dist double, linked boolean")
+        out = keep(tested.union(far.select("x", "y", F.lit(None).cast("double"), F.lit(False))))
+        drop(judged, ids, texts)
         return out
 
     # Every cell's extremes tell whether it is shared; a cell of two is one pair, judged by them alone.
@@ -276,7 +299,7 @@ def jaccard_components(
             components = connected_components(links, tables)
         left = keep(left.join(chosen.select("cell", F.col("y").alias("doc")), ["cell", "doc"], "left_anti").drop("comp", "size", "main"))
         drop(*stale, found)
-    drop(known, left)
+    drop(known, left, sketches)
 
     heads = components.join(classes.select(F.col("rep").alias("node"), "head"), "node").groupBy("component").agg(F.min("head").alias("head_of"))
     found = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").join(heads, "component", "left")
