@@ -116,7 +116,7 @@ def test_topk_odd_vectors(spark):
     rows = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [3.0]), (8, [9e17, 9e17])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     v = df.where(usable(df.embedding)).select("vec_id", quantise(df.embedding, 1).alias("vec"))
-    got = sorted(map(tuple, exact_top_k(v.where("vec_id = 0"), v, k=2, query_block=1, shard_rows=2, fan_in=2).collect()))
+    got = sorted(map(tuple, exact_top_k(v.where("vec_id = 0"), v, k=2, block_bytes=16, shard_rows=2, fan_in=2).collect()))
     assert got == [(0, 1, 8, 900000000000000000), (0, 2, 1, 1)]
     assert exact_top_k(v.where("false"), v).count() == 0
     assert exact_top_k(v.where("vec_id = 7"), v).count() == 0
@@ -440,3 +440,16 @@ def test_jaccard_of_repeated_and_null_ids(spark):
     assert sorted(map(str, want)) == sorted(str((r.doc_id, r.component_id, r.n_links, r.first)) for r in got)
     plain = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), count_links=False).collect()
     assert sorted(map(str, ((r.doc_id, r.component_id, r.first) for r in got))) == sorted(map(str, ((r.doc_id, r.component_id, r.first) for r in plain)))
+
+
+def test_topk_blocks_shards_and_ties(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.randrange(-3, 4) for _ in range(4)]) for i in range(300)] + [(7, [3, 3, 3, 3]), (None, [9, 9, 9, 9]), (400, None), (401, [1, None, 2, 3]), (402, [])]
+    df = spark.createDataFrame(rows, "vec_id long, vec array<long>").repartition(5)
+    got = sorted(tuple(r) for r in exact_top_k(df.where("vec_id % 9 = 7"), df, k=4, block_bytes=500, shard_rows=16, fan_in=2).collect())
+    whole, want = [(i, v) for i, v in rows if i is not None and v and None not in v], []
+    for q in sorted({i for i, _ in whole if i % 9 == 7}):
+        own = min(v for i, v in whole if i == q)
+        best = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in whole if i != q)[:4]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert got == sorted(want)
