@@ -137,8 +137,8 @@ def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = """
 WITH r AS (
   SELECT page_id, page_id // 256 AS archive, u.bad,
-         concat('WARC/1.0', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Target-URI: ', url, chr(13), chr(10),
-           'WARC-Record-ID: <urn:page:', page_id, '>', chr(13), chr(10), 'Content-Length: ', strlen(h), chr(13), chr(10), chr(13), chr(10),
+         concat('WARC/1.0', chr(13), chr(10), 'WARC-Type: resource', chr(13), chr(10), 'WARC-Target-URI: ', coalesce(url, ''), chr(13), chr(10),
+           'WARC-Date: 1970-01-01T00:00:00Z', chr(13), chr(10), 'WARC-Record-ID: <urn:page:', page_id, '>', chr(13), chr(10), 'Content-Type: text/html', chr(13), chr(10), 'Content-Length: ', strlen(h), chr(13), chr(10), chr(13), chr(10),
            CASE WHEN u.bad THEN concat('#', substr(h, 2)) ELSE h END, chr(13), chr(10), chr(13), chr(10)) AS rec
   FROM (SELECT *, coalesce(html, '') AS h FROM pages) p, (VALUES (FALSE), (TRUE)) u(bad)),
 d AS (

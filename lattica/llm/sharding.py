@@ -36,6 +36,8 @@ def histogram_shards(
     shards: int = 16,
     tolerance: float = 0.001,
     bins: int = 1024,
+    bin_rows: int = 250_000,
+    most_bins: int = 1 << 16,
 ) -> DataFrame:
     """Sort rows by (hash of text, hash of id) into `shards` ranges of nearly equal bytes.
 
@@ -44,13 +46,14 @@ def histogram_shards(
     64 parts of every bin still open, summed on the map side.  A bin stays open while it holds more
     than 1/`bins` of all bytes or rows, or a splitter and more than `tolerance` of a shard's share;
     one whose rows all share the first hash is next probed by the second, so that the largest group
-    of copies is split too.  There are at most about 64 * 2 * `bins` counts on the driver, whatever
-    the table's size.  Then rows move once, to their bin; the rank there plus the rows of the
-    shard's bins before it give every row its slot.
+    of copies is split too.  `bins` grows with the table so that a bin has about `bin_rows` rows, up to
+    `most_bins`; there are at most about 64 * 2 * `most_bins` counts on the driver.  Rows' bins are
+    written anew every four rounds, so that plans stay short.  Then rows move once, to their bin; the rank
+    there plus the rows of the shard's bins before it give every row its slot.
 
     Size: UTF-8 bytes plus one; null text counts as empty and has CRC 0.  Rows that repeat id and
-    text are told apart by their number in the checkpointed projection.  Only id and text are read,
-    so other columns cannot clash.  An empty table gives no rows.
+    text are told apart by their number in the checkpointed projection.  Null ids are kept.  Only id and text
+    are read, texts whole, so other columns cannot clash.  An empty table gives no rows.
     """
     spark = df.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -66,6 +69,7 @@ def histogram_shards(
     tagged = rows.withColumns({"h2": F.xxhash64("id", "row"), "bin": F.lit(""), "at": F.lit(0)})
     total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     share = max(total, 1) / shards
+    bins, turn = min(most_bins, max(bins, n // bin_rows)), 0
 
     closed: list[tuple[tuple[int, ...], int, int]] = []  # place in key order, bytes, rows
     probing = n > 0
@@ -101,7 +105,9 @@ def histogram_shards(
             .withColumns({"bin": F.coalesce("name", "bin"), "at": F.coalesce("next", F.lit(-1))})
             .drop("name", "next", "d")
         )
-        probing = any(level >= 0 for level in after.values())
+        probing, turn = any(level >= 0 for level in after.values()), turn + 1
+        if probing and turn % 4 == 0:
+            tagged = cut(tagged)
 
     # A bin goes to the shard in which its middle byte lies.
     where, below, filled = [("", 0, 0)], 0, {}

@@ -6,15 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattica.llm.common import cut
+from lattica.llm.common import Tables
 
 
-def record(url: Column, key: Column, payload: Column) -> Column:
-    """A response record as WARC 1.0 text; null url or payload: empty."""
+#: Archives of records without an id, by the first four digits of their digest.
+LOOSE = 1 << 16
+
+
+def record(url: Column, key: Column, payload: Column, date: str = "1970-01-01T00:00:00Z") -> Column:
+    """A resource record as WARC 1.0 text with all mandatory fields; null url or payload: empty. The tables hold no fetch times, so `date` stands for all."""
     url, payload = F.coalesce(url, F.lit("")), F.coalesce(payload, F.lit(""))
     return F.concat(
-        F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "), url, F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(key.cast("string"), F.lit("")),
-        F.lit(">\r\nContent-Length: "), F.octet_length(payload).cast("string"), F.lit("\r\n\r\n"), payload, F.lit("\r\n\r\n"),
+        F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: "), url, F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Record-ID: <urn:page:"), F.coalesce(key.cast("string"), F.lit("")),
+        F.lit(">\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(payload).cast("string"), F.lit("\r\n\r\n"), payload, F.lit("\r\n\r\n"),
     )
 
 
@@ -22,18 +26,21 @@ def layout(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payl
     """Records in archive files of `per_archive` consecutive ids: (archive, offset, length, id, digest).
 
     Records are built and hashed where they are read; only digests and lengths move. Within an
-    archive they follow by id, then digest. Rows with a null id share archive -1.
+    archive they follow by id, then digest. Rows with a null id are told by their digest alone and
+    spread over 65536 archives of negative number by it, so an altered one is missing in its place
+    and surplus elsewhere. Repeated rows are records of their own; texts of any length are hashed whole.
+    Other columns are not read. An empty table gives no rows.
     """
     rows = pages.select(F.col(id_col).alias("id"), record(F.col(url_col), F.col(id_col), F.col(payload_col)).alias("r"))
-    rows = rows.select(
-        F.coalesce(F.expr(f"id div {per_archive}"), F.lit(-1)).alias("archive"), "id", F.octet_length("r").cast("long").alias("length"), F.sha2("r", 256).alias("digest")
-    )
+    rows = rows.select("id", F.octet_length("r").cast("long").alias("length"), F.sha2("r", 256).alias("digest"))
+    loose = -1 - F.conv(F.substring("digest", 1, 4), 16, 10).cast("long")
+    rows = rows.select(F.coalesce(F.expr(f"id div {per_archive}"), loose).alias("archive"), "id", "length", "digest")
     before = Window.partitionBy("archive").orderBy("id", "digest").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
 
 
-def trees(leaves: DataFrame, depth: int, range_bytes: int, fan_out: int) -> list[DataFrame]:
-    """Merkle levels from the leaves to the roots, each (archive, parent, node, digest).
+def trees(leaves: DataFrame, depth: int, range_bytes: int, fan_out: int, tables: Tables) -> list[DataFrame]:
+    """Merkle levels from the leaves to the roots, each (archive, parent, node, digest), each written once and built from the one below.
 
     Level 1 nodes are ranges of `range_bytes` of offsets, a node above joins `fan_out` ranges. A node's
     digest covers its children's digests with their places, in order.
@@ -42,7 +49,7 @@ def trees(leaves: DataFrame, depth: int, range_bytes: int, fan_out: int) -> list
     for _ in range(depth):
         child = F.concat_ws(" ", F.lpad("node", 20, "0"), "digest")
         up = levels[-1].groupBy("archive", F.col("parent").alias("node")).agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list(child))), 256).alias("digest"))
-        levels.append(up.withColumn("parent", F.expr(f"node div {fan_out}")))
+        levels.append(tables.keep(up.withColumn("parent", F.expr(f"node div {fan_out}"))))
     return levels
 
 
@@ -50,24 +57,27 @@ def audit(replica_a: DataFrame, replica_b: DataFrame, range_bytes: int = 1 << 18
     """Records that differ between two replicas' layouts: (archive, offset, length, id, kind, expected, found).
 
     kind: altered, missing (in b) or surplus (in b). Roots are compared first; children are joined only
-    under nodes that mismatch, level by level. Each replica's leaves are hashed once and kept in
-    the checkpoint folder. Digests of equal subtrees move once, to their parents. Records that repeat at
-    one offset (none in a well-formed archive) are compared as a set. Empty replicas differ in nothing;
-    against an empty one every record is missing or surplus.
+    under nodes that mismatch, level by level. Each replica's leaves are hashed once, and every level of
+    its tree is written once to the checkpoint folder, so the descent reads a level's nodes and not the
+    leaves again. Records that repeat at one offset (none in a well-formed archive) are compared as a set.
+    Null ids are compared by place. Empty replicas differ in nothing; against an empty one every record is
+    missing or surplus.
     """
-    a, b = cut(replica_a), cut(replica_b)
+    tables = Tables(replica_a.sparkSession)
+    a, b = tables.keep(replica_a), tables.keep(replica_b)
     ends = [x.agg(F.max(F.col("offset") + 1)).first()[0] or 1 for x in (a, b)]
     depth, span = 1, range_bytes
     while span < max(ends):
         depth, span = depth + 1, span * fan_out
-    ta, tb = (trees(x, depth, range_bytes, fan_out) for x in (a, b))
+    ta, tb = (trees(x, depth, range_bytes, fan_out, tables) for x in (a, b))
     bad: DataFrame | None = None
     for level in range(depth, 0, -1):
         left, right = (t[level].select("archive", "node", "parent", F.col("digest").alias(d)) for t, d in ((ta, "da"), (tb, "db")))
         if bad is not None:
             left, right = (x.join(bad.withColumnRenamed("node", "parent"), ["archive", "parent"], "left_semi") for x in (left, right))
         both = left.drop("parent").join(right.drop("parent"), ["archive", "node"], "full")
-        bad = cut(both.where(~F.col("da").eqNullSafe(F.col("db"))).select("archive", "node"))
+        bad = tables.keep(both.where(~F.col("da").eqNullSafe(F.col("db"))).select("archive", "node"))
+        tables.drop(ta[level], tb[level])
     inside = lambda x: x.withColumn("node", F.expr(f"offset div {range_bytes}")).join(bad, ["archive", "node"], "left_semi")
     left = inside(a).select("archive", "offset", F.col("id").alias("id_a"), F.col("length").alias("n_a"), F.col("digest").alias("expected"))
     right = inside(b).select("archive", "offset", F.col("id").alias("id_b"), F.col("length").alias("n_b"), F.col("digest").alias("found"))
