@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattica.llm.common import Tables, slices
+from lattica.llm.common import Tables, give_back, slices, small_batches
 from lattica.llm.components import connected_components
 from lattica.llm.shingles import Shingler, signature
 
@@ -63,6 +63,7 @@ def _survey(k: int, chunk: int = 1_500_000):
                     yield common()
                     size = 0
         yield common()
+        give_back()
 
     return run
 
@@ -93,6 +94,7 @@ def _prefixes(k: int, percent: int, shingles: np.ndarray, level: np.ndarray):
                 flat = pa.array(np.concatenate([*bits, np.zeros(0, np.int64)]))
                 marks = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * (BITS // 64)), flat)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), cells, marks], ["doc", "n", "cells", "bits"])
+        give_back()
 
     return run
 
@@ -119,6 +121,7 @@ def _verify(k: int, percent: int):
                 dist.append(1 - both / union)
                 linked.append(100 * both >= percent * union)
             yield pa.RecordBatch.from_arrays([x, y, pa.array(dist, pa.float64()), pa.array(linked, pa.bool_())], ["x", "y", "dist", "linked"])
+        give_back()
 
     return run
 
@@ -196,6 +199,7 @@ def jaccard_components(
     all shingles: the only large exchange), a third reads only documents of candidate pairs; their
     ids are broadcast while they are at most `broadcast_ids` (counted), and shuffled beyond.
     """
+    small_batches(df.sparkSession)
     radius = 1 - percent / 100
     tables = Tables(df.sparkSession)
     keep, drop = tables.keep, tables.drop
@@ -223,24 +227,28 @@ def jaccard_components(
     sketches = keep(prefixes.select("doc", "n", "bits").dropDuplicates(["doc"]))
     placed = prefixes.select("doc", "n", F.posexplode("cells").alias("pos", "cell"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, settle: bool = False) -> DataFrame:
         """(x, y, dist, linked) of candidate pairs, by their whole texts, which compress better than sets.
 
-        Pairs whose parity bits differ in more places than linked sets have shingles apart are settled without
-        their texts; their dist stays null, which tells nothing.
+        With `settle`, pairs whose parity bits differ in more places than linked sets have shingles apart are not
+        linked, and need no text; their dist stays null.
         """
-        for c in "xy":
-            pairs = pairs.join(sketches.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}")), c)
-        apart = sum((F.bit_count(F.col("bx")[i].bitwiseXOR(F.col("by")[i])) for i in range(BITS // 64)), F.lit(0))
-        near = apart * (100 + percent) <= (100 - percent) * (F.col("nx") + F.col("ny"))
-        judged = keep(pairs.select("x", "y", near.alias("near")))
-        pairs, far = judged.where("near").select("x", "y"), judged.where("not near")
+        far = None
+        if settle:
+            for c in "xy":
+                pairs = pairs.join(sketches.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}")), c)
+            apart = sum((F.bit_count(F.col("bx")[i].bitwiseXOR(F.col("by")[i])) for i in range(BITS // 64)), F.lit(0))
+            near = apart * (100 + percent) <= (100 - percent) * (F.col("nx") + F.col("ny"))
+            judged = keep(pairs.select("x", "y", near.alias("near")))
+            pairs, far = judged.where("near").select("x", "y"), judged.where("not near")
+        else:
+            judged = pairs = keep(pairs)
         ids = keep(pairs.select(F.col("x").alias("doc")).union(pairs.select("y")).distinct())
         texts = keep(read.join(bounded(ids), "doc", "left_semi").dropDuplicates(["doc"]))
         a, b = (texts.select(F.col("doc").alias(c), F.col("text").alias(f"t{c}")) for c in "xy")
         both = pairs.join(b, "y").join(a, "x").select("x", "y", "tx", "ty")
         tested = both.mapInArrow(_verify(k, percent), "x long, y long, dist double, linked boolean")
-        out = keep(tested.union(far.select("x", "y", F.lit(None).cast("double"), F.lit(False))))
+        out = keep(tested if far is None else tested.union(far.select("x", "y", F.lit(None).cast("double"), F.lit(False))))
         drop(judged, ids, texts)
         return out
 
@@ -289,7 +297,7 @@ def jaccard_components(
         pairs = left.join(chosen, "cell").where((F.col("comp") != F.col("cy")) & window & _possible(percent, "n", "ny", "pos", "py"))
         turns += 1
         pairs = pairs.select(F.greatest("doc", "y").alias("x"), F.least("doc", "y").alias("y")).distinct()
-        tested = verified(pairs.join(known, ["x", "y"], "left_anti"))
+        tested = verified(pairs.join(known, ["x", "y"], "left_anti"), settle=True)
         found = keep(tested.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v")))
         stale = [known, left, chosen, tested]
         known = keep(known.union(tested))
@@ -302,7 +310,7 @@ def jaccard_components(
     drop(known, left, sketches)
 
     heads = components.join(classes.select(F.col("rep").alias("node"), "head"), "node").groupBy("component").agg(F.min("head").alias("head_of"))
-    found = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").join(heads, "component", "left")
+    found = classes.join(components.join(heads, "component").select(F.col("node").alias("rep"), "head_of"), "rep", "left")
     if count_links:
         found = found.join(_degrees(read, links, components, tables, bounded, k, percent, block), "rep", "left")
     else:
