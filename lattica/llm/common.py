@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batch: pa.RecordBatch, column: int, rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of at most `rows` rows and, but for a single longer one, `size` bytes of a text column."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
@@ -31,12 +33,26 @@ def slices(batch: pa.RecordBatch, column: int, rows: int = 512, size: int = 8 <<
         at = to
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches of `size` bytes at most for this session, unless it has a setting of its own: the default lets a batch of texts reach 64 MB in the engine and again in the worker."""
+    if spark.conf.get(BATCH_BYTES, "67108864b") == "67108864b":
+        spark.conf.set(BATCH_BYTES, size)
+
+
+def give_back() -> None:
+    """Return what a worker has freed to the system, since it waits for further tasks beside others."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_texts(df: DataFrame, keep: Sequence[str], text_col: str, added: str, read: Callable[[], Callable[[list], list[pa.Array]]], rows: int = 512) -> DataFrame:
     """The columns `keep` of `df` and those of the schema `added`, which what `read` returns makes of a list of texts; one narrow pass.
 
     Columns travel under names of their own, so none can clash with the added ones inside; the caller
     sees to it that the names of the result differ. `read` is called once in every task.
     """
+    small_batches(df.sparkSession)
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     names = [f"c{i}" for i in range(len(keep))]
     new = [part.split()[0] for part in added.split(", ")]
@@ -46,6 +62,7 @@ def map_texts(df: DataFrame, keep: Sequence[str], text_col: str, added: str, rea
         for batch in batches:
             for b in slices(batch, len(names), rows):
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *work(b.column(len(names)).to_pylist())], [*names, *new])
+        give_back()
 
     sent = df.select(*(F.col(c).alias(n) for c, n in zip(keep, names)), F.col(text_col).cast("string").alias("text"))
     out = sent.mapInArrow(run, ", ".join([*(f"{n} {types[c]}" for c, n in zip(keep, names)), added]))

@@ -173,9 +173,9 @@ class Transducer:
     which changes no result.
     """
 
-    PIECE = 1 << 20
+    PIECE = 1 << 19
 
-    def __init__(self, path: str, max_words: int = 800_000) -> None:
+    def __init__(self, path: str, max_words: int = 300_000) -> None:
         self.path, self.lib = path, None
         self.merges, self.special = load(path)
         self.specials = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import slices
+from lattica.llm.common import give_back, slices, small_batches
 
 # HTML element groups.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -325,7 +325,9 @@ def extract(df: DataFrame, model: TreeModel, id_col: str = "page_id", html_col:
             texts = [main_text(h, model) for h in b.column(len(names)).to_pylist()]
             cols = [b.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*(f"c{i}" for i in range(len(names))), "text", "n_chars"])
+        give_back()
 
+    small_batches(df.sparkSession)
     rows = df.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)), F.col(html_col).cast("string").alias("html"))
     schema = ", ".join(f"c{i} {types[c]}" for i, c in enumerate(names))
     done = rows.mapInArrow(run, f"{schema}, text string, n_chars long")

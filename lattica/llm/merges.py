@@ -35,7 +35,7 @@ class MergeMachine:
 
     LONG = 512
 
-    def __init__(self, vocab: dict[str, int], merges: list, end: str = "</w>", max_states: int = 250_000) -> None:
+    def __init__(self, vocab: dict[str, int], merges: list, end: str = "</w>", max_states: int = 120_000) -> None:
         of_char, self.max_states = byte_alphabet(), max_states
         self.child: dict[int, int] = {}
         self.token: dict[int, int] = {}

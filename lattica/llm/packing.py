@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cut, slices
+from lattica.llm.common import cut, give_back, slices, small_batches
 from lattica.llm.fst import transducer
 from lattica.llm.token_count import VOCAB, resolve
 
@@ -117,6 +117,8 @@ def pack(
     no rows. Returns one row a piece.
     """
 
+    small_batches(df.sparkSession)
+
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         machine = transducer(resolve(vocab))
@@ -142,6 +144,7 @@ def pack(
             yield rows()
         windows.leftovers()
         yield rows()
+        give_back()
 
     placed = cut(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(pieces, PIECE_SCHEMA))
 

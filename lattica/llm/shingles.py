@@ -46,7 +46,7 @@ class Shingler:
             total = np.concatenate([[np.uint64(0)], np.cumsum(BYTE.take(b) * self.up[: len(b)])])
             return start, mix((total[end] - total[start]) * self.down[start] + (end - start).astype(np.uint64))
 
-    def sets(self, texts: list[str | None], piece: int = 1 << 21) -> list[np.ndarray]:
+    def sets(self, texts: list[str | None], piece: int = 1 << 19) -> list[np.ndarray]:
         """The sorted distinct shingles of each text; none for a null text or one without words."""
         out: list[np.ndarray] = []
         hold: list[bytes] = []

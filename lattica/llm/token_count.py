@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import slices
+from lattica.llm.common import give_back, slices, small_batches
 from lattica.llm.fst import transducer
 
 VOCAB = "word_bpe_49k.json"
@@ -30,6 +30,7 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     an empty table gives none; other columns are not read, so their names cannot clash. Texts of any
     length are read whole; a task holds a few megabytes of them at a time beside the machine.
     """
+    small_batches(df.sparkSession)
     id_type = df.schema[id_col].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,6 +39,7 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for b in slices(batch, 2):
                 n, _ = machine.run(b.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
+        give_back()
 
     rows = df.select(
         F.col(id_col).alias("id"),

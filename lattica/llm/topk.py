@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cut
+from lattica.llm.common import cut, small_batches
 
 
 def usable(vec: Column) -> Column:
@@ -108,6 +108,7 @@ def exact_top_k(
     give no rows; other columns are not read. Returns query_id, rank (from 1), the candidate's id, score.
     """
     spark = queries.sparkSession
+    small_batches(spark)
     rows = lambda d: d.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<long>").alias("vec")).where(
         F.col("id").isNotNull() & F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull())
     )
