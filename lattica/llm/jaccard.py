@@ -48,7 +48,7 @@ def _survey(k: int, chunk: int = 1_500_000):
             top = np.argsort(-c, kind="stable")[:COMMON]
             held.clear()
             n = len(top)
-            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(c[top].astype(np.int64)), pa.array(u[top].astype(np.int64)), pa.nulls(n, pa.int64())], ["id", "doc", "n", "s1", "s2"])
+            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(c[top].astype(np.int64)), pa.array(u[top].astype(np.int64)), pa.nulls(n, pa.int64())], ["id", "row_key", "n", "s1", "s2"])
 
         for b in batches:
             for part in slices(b, 1):
@@ -58,7 +58,7 @@ def _survey(k: int, chunk: int = 1_500_000):
                     if sign not in held:
                         held[sign] = s
                         size += len(s)
-                yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), pa.array(map(len, sets), pa.int64()), pa.array([a for a, _ in signs], pa.int64()), pa.array([a for _, a in signs], pa.int64())], ["id", "doc", "n", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), pa.array(map(len, sets), pa.int64()), pa.array([a for a, _ in signs], pa.int64()), pa.array([a for _, a in signs], pa.int64())], ["id", "row_key", "n", "s1", "s2"])
                 if size > chunk:
                     yield common()
                     size = 0
@@ -204,17 +204,21 @@ def jaccard_components(
     tables = Tables(df.sparkSession)
     keep, drop = tables.keep, tables.drop
     bounded = lambda d: F.broadcast(d) if tables.rows(d) <= broadcast_ids else d
-    named = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    docs = named.select("id", F.xxhash64("id", "text").alias("doc"), "text")
-    read = docs.select("doc", "text")
-    surveyed = keep(docs.select("doc", "text", "id").mapInArrow(_survey(k), "id long, doc long, n long, s1 long, s2 long"))
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select("id", F.xxhash64("id", "text").alias("row_key"), "text")
+    surveyed = keep(docs.select("row_key", "text", "id").mapInArrow(_survey(k), "id long, row_key long, n long, s1 long, s2 long"))
     rows = surveyed.where("s2 is not null")
+    # Ids name the rows where each has one text: the first of a group is often what its copies were made from, a good pivot.
+    shared = rows.groupBy("id").agg((F.col("id").isNull() | (F.min("row_key") < F.max("row_key"))).alias("shared")).where("shared")
+    name = "id" if shared.isEmpty() else "row_key"
+    rows = rows.withColumn("doc", F.col(name))
+    read = docs.select(F.col(name).alias("doc"), "text")
     common = surveyed.where("s2 is null").groupBy("s1").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "s1").limit(COMMON).toPandas()
     order = np.argsort(common["s1"].to_numpy().astype(np.int64).view(np.uint64))
     shingles = common["s1"].to_numpy().astype(np.int64).view(np.uint64)[order]
     level = np.log2(common["c"].to_numpy(float)[order] + 1).astype(np.int64)
 
-    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc"))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key"))
     classes = keep(rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"), least.alias("head")))
     copies = keep(rows.join(classes, ["s1", "s2", "n"]).where("doc <> rep").select("doc").distinct())
     prefixes = read.mapInArrow(_prefixes(k, percent, shingles, level), "doc long, n long, cells array<long>, bits array<long>")
@@ -316,10 +320,10 @@ def jaccard_components(
     else:
         found = found.withColumn("n_links", F.lit(None).cast("long"))
     lead = F.coalesce("head_of", "head")
-    found = found.select("s1", "s2", F.col("n").alias("size"), lead["id"].alias("comp"), lead["doc"].alias("lead"), F.coalesce("n_links", F.lit(0 if count_links else None)).alias("n_links"))
+    found = found.select("s1", "s2", F.col("n").alias("size"), lead["id"].alias("comp"), lead["row_key"].alias("lead"), F.coalesce("n_links", F.lit(0 if count_links else None)).alias("n_links"))
     match = (rows["s1"] == found["s1"]) & (rows["s2"] == found["s2"]) & (rows["n"] == found["size"])
     alone = F.col("n") == 0
     return rows.join(found, match, "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("comp")).alias("component_id"),
-        F.when(alone & F.lit(count_links), 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.col("doc").alias("row_key"), (alone | (F.col("doc") == F.col("lead"))).alias("first"),
+        F.when(alone & F.lit(count_links), 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), "row_key", (alone | (F.col("row_key") == F.col("lead"))).alias("first"),
     )
