@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from functools import cache
 
 import numpy as np
 
@@ -128,17 +129,14 @@ class Monoid:
         return out.T.reshape(-1)[:n]
 
 
-def _unassigned() -> np.ndarray:
-    """Code points without a category here; newer tables may make letters of them."""
-    return np.array([unicodedata.category(chr(i)) == "Cn" for i in range(sys.maxunicode + 1)])
-
-
+@cache
 def _class_table() -> np.ndarray:
+    """The class of every code point; those without a category here are unknown: newer tables may make letters of them."""
     t = np.full(sys.maxunicode + 1, OTHER, np.uint8)
-    major = np.array([ord(unicodedata.category(chr(i))[0]) for i in range(sys.maxunicode + 1)], np.uint8)
-    t[major == ord("L")] = LETTER
-    t[major == ord("N")] = NUMBER
-    t[_unassigned()] = UNKNOWN
+    kinds = np.array([unicodedata.category(chr(i)) for i in range(sys.maxunicode + 1)], "S2")
+    t[np.char.startswith(kinds, b"L")] = LETTER
+    t[np.char.startswith(kinds, b"N")] = NUMBER
+    t[kinds == b"Cn"] = UNKNOWN
     for ch in WHITE:
         t[ord(ch)] = SPACE
     for chars, c in (("'", QUOTE), ("stmd", SINGLE), ("r", R), ("v", V), ("l", L), ("e", E)):
@@ -367,7 +365,12 @@ _CACHE: dict[str, Transducer] = {}
 
 
 def transducer(path: str) -> Transducer:
-    """One compiled machine for each vocabulary file and worker process."""
+    """The compiled machine of a vocabulary file; one in a process."""
     if path not in _CACHE:
         _CACHE[path] = Transducer(path)
     return _CACHE[path]
+
+
+def release() -> None:
+    """Forget the machines: at a task's end, since the worker may wait long for the next one beside other work. Compiling takes a fifth of a second."""
+    _CACHE.clear()

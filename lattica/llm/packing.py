@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import cut, give_back, slices, small_batches
-from lattica.llm.fst import transducer
+from lattica.llm.fst import release, transducer
 from lattica.llm.token_count import VOCAB, resolve
 
 PIECE_COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -144,6 +144,7 @@ def pack(
             yield rows()
         windows.leftovers()
         yield rows()
+        release()
         give_back()
 
     placed = cut(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(pieces, PIECE_SCHEMA))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import give_back, slices, small_batches
-from lattica.llm.fst import transducer
+from lattica.llm.fst import release, transducer
 
 VOCAB = "word_bpe_49k.json"
 
@@ -39,6 +39,7 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for b in slices(batch, 2):
                 n, _ = machine.run(b.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
+        release()
         give_back()
 
     rows = df.select(
