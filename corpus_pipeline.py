@@ -100,7 +100,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens, packed: one row a piece. Null and empty texts are a piece of one token; repeated rows are packed each."""
-    return pack(docs)
+    return pack(docs, forget=True)
 
 
 STAGES = [

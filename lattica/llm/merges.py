@@ -70,6 +70,7 @@ class MergeMachine:
         self.moves = np.zeros((1 << 10, 3), np.int32)  # next state, change of the count, last token
         self.n_moves = 0
         self.rows: dict[int, list[int]] = {}
+        self.fits: dict[int, bool] = {}
 
     def merge(self, ids: list[int], seen: list | None = None) -> list[int]:
         """The merges applied as they are defined: the lowest rank first, the leftmost of equals; `seen` gets (rank, place, length)."""
@@ -101,7 +102,14 @@ class MergeMachine:
         return self.edge[token]
 
     def fitting(self, a: int, b: int) -> bool:
-        """Whether token b may follow token a (-1: the start) in an encoding: at no time is a merge across them the next one."""
+        """Whether token b may follow token a (-1: the start) in an encoding."""
+        key = a << 20 | b
+        if (known := self.fits.get(key)) is None:
+            known = self.fits[key] = self._fitting(a, b)
+        return known
+
+    def _fitting(self, a: int, b: int) -> bool:
+        """At no time while both are merged is a merge across them the next one."""
         right = self.edges(b)
         if right is None or a < 0:
             return right is not None
@@ -121,9 +129,14 @@ class MergeMachine:
 
     def _move(self, state: int, symbol: int) -> int:
         """Compile one transition; its row in `moves`."""
-        grown = [(n, last, rel) for node, last, rel in self.states[state] if (n := self.child.get(node << SHIFT | symbol)) is not None]
-        token, delta = next((t, rel + 1) for n, last, rel in grown if (t := self.token.get(n)) is not None and self.fitting(last, t))
-        after = (*((n, last, rel - delta) for n, last, rel in grown if n in self.inner), (0, token, 0))
+        child, inner = self.child.get, self.inner
+        grown = [(n, last, rel) for node, last, rel in self.states[state] if (n := child(node << SHIFT | symbol)) is not None]
+        for n, last, rel in grown:
+            token = self.token.get(n)
+            if token is not None and self.fitting(last, token):
+                delta = rel + 1
+                break
+        after = (*[(n, last, rel - delta) for n, last, rel in grown if n in inner], (0, token, 0))
         to = self.number.setdefault(after, len(self.states))
         if to == len(self.states):
             self.states.append(after)

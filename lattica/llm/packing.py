@@ -104,6 +104,7 @@ def pack(
     slots: int = 32,
     min_cut: int = 64,
     merge_parts: int = 32,
+    forget: bool = False,
 ) -> DataFrame:
     """Pack every text's ids, then `end_id`, into sequences of at most `size` tokens.
 
@@ -111,7 +112,8 @@ def pack(
     piece rows at most. What is still open at a partition's end is merged with the leftovers of the
     `merge_parts` partitions beside it; those groups have `slots * merge_parts` windows at most.
     The one pass over texts is written to the checkpoint folder (a row for each piece), for both
-    branches to read. Null and empty texts give a piece of one token (the end id). Repeated rows are
+    branches to read; `forget` drops the compiled tokenizer at a task's end, for workers that serve other
+    stages too. Null and empty texts give a piece of one token (the end id). Repeated rows are
     packed as documents of their own; null ids stay null. A text longer than a window is cut into
     whole ones and a rest. Of the columns only id and text are read, so other names cannot clash. An empty table gives
     no rows. Returns one row a piece.
@@ -144,7 +146,8 @@ def pack(
             yield rows()
         windows.leftovers()
         yield rows()
-        release()
+        if forget:
+            release()
         give_back()
 
     placed = cut(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(pieces, PIECE_SCHEMA))

@@ -110,6 +110,24 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+OP6_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+g AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+                                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+c AS (SELECT list_sort(g) AS g, min(doc_id) AS rep, len(any_value(g)) AS n FROM g WHERE len(g) > 0 GROUP BY 1),
+e AS (SELECT rep, n, unnest(g) AS s FROM c),
+p AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) + any_value(b.n) AS n, count(*) AS k FROM e a JOIN e b ON a.s = b.s AND a.rep <> b.rep GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * k >= 85 * (n - k)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT doc_id, len(g.g) AS n_shingles, CASE WHEN len(g.g) = 0 THEN doc_id ELSE least(c.rep, coalesce((SELECT min(b) FROM r WHERE r.a = c.rep), c.rep)) END AS component_id,
+  (SELECT count(*) FROM l WHERE l.a = c.rep) AS n_links
+FROM g LEFT JOIN c ON list_sort(g.g) = c.g
+"""
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"), trained_model())
 
@@ -176,5 +194,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
     "op3_exact_topk": OP3_SQL,
+    "op6_jaccard_join": OP6_SQL,
     "op9_warc_fixity": OP9_SQL,
 }

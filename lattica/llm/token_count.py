@@ -23,12 +23,13 @@ def resolve(vocab: str) -> str:
     return public_tokenizers.path(vocab)
 
 
-def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = VOCAB) -> DataFrame:
+def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = VOCAB, forget: bool = False) -> DataFrame:
     """One row (id, n_bytes, n_tokens) for every row of `df`; one narrow pass, no shuffle.
 
     Null and empty texts have 0 bytes and 0 tokens; null ids stay null; repeated rows give repeated rows;
     an empty table gives none; other columns are not read, so their names cannot clash. Texts of any
-    length are read whole; a task holds a few megabytes of them at a time beside the machine.
+    length are read whole; a task holds a few megabytes of them at a time beside the machine. `forget`
+    drops the compiled machine at a task's end, for workers that serve other stages too.
     """
     small_batches(df.sparkSession)
     id_type = df.schema[id_col].dataType.simpleString()
@@ -39,7 +40,8 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for b in slices(batch, 2):
                 n, _ = machine.run(b.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
-        release()
+        if forget:
+            release()
         give_back()
 
     rows = df.select(
