@@ -136,16 +136,16 @@ def cov(df: DataFrame, cols: list[str], by: list[str] | None = None, na_action:
 
 def cor(df: DataFrame, cols: list[str], by: list[str] | None = None, na_action: str = "complete", method: str = "pearson") -> DataFrame:
     """Pearson, Spearman or Kendall (tau-b) correlations of all pairs."""
-    if method == "kendall":
-        return _kendall(complete(df, cols, "complete"), cols, by)
+    if method in ("spearman", "kendall") and na_action == "pairwise":
+        parts = [cor(df.select(*(by or []), a, b).dropna(subset=[a, b]), [a, b], by, "complete", method).where((F.col("a") == a) & (F.col("b") == b)) for a, b in combinations_with_replacement(cols, 2) if a != b]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
     df = complete(df, cols, na_action)
+    if method == "kendall":
+        return _kendall(df, cols, by)
     if method == "spearman":
-        if na_action == "pairwise":
-            parts = [cor(df.select(*(by or []), a, b).dropna(subset=[a, b]), [a, b], by, "complete", method).where((F.col("a") == a) & (F.col("b") == b)) for a, b in combinations_with_replacement(cols, 2) if a != b]
-            out = parts[0]
-            for p in parts[1:]:
-                out = out.unionByName(p)
-            return out
         for c in cols:
             df = with_ranks(df, c, f"{c}__rank", by)
         ranked = df.drop(*cols).withColumnsRenamed({f"{c}__rank": c for c in cols})
@@ -186,7 +186,7 @@ def _kendall(df: DataFrame, cols: list[str], by: list[str] | None) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(*key, a, b, 1.0 if a == b else kendall_tau_b(pdf[a].to_numpy(), pdf[b].to_numpy()), len(pdf)) for a, b in pairs]
+        rows = [(*key, a, b, NAN if pdf[[a, b]].isna().any(axis=None) else 1.0 if a == b else kendall_tau_b(pdf[a].to_numpy(), pdf[b].to_numpy()), int(pdf[[a, b]].notna().all(axis=1).sum())) for a, b in pairs]
         return pd.DataFrame(rows, columns=[*keys, "a", "b", "cor", "n"])
 
     out = df.select(*keys, *cols).groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", a string, b string, cor double, n long")

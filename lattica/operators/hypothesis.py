@@ -373,23 +373,19 @@ def p_adjust(df: DataFrame, p: str, method: str = "holm", by: list[str] | None =
 
 
 def hommel(p: np.ndarray) -> np.ndarray:
-    """Hommel's adjustment of one family; NaN stays."""
+    """Hommel's adjustment of one family by closed testing; NaN stays.
+
+    A test's adjusted value is the largest Simes value over all sets that hold it. Of the sets of one size that is
+    the one with the largest other values: the test and the upper end of the ordered family.
+    """
     ok = ~np.isnan(p)
-    v = np.sort(p[ok])
-    n = len(v)
-    out = np.full(len(p), np.nan)
-    if n:
-        i = np.arange(1, n + 1)
-        best = np.full(n, (n * v / i).min())
-        floor = best.copy()
-        for m in range(n - 1, 1, -1):
-            head, tail = np.arange(n - m + 1), np.arange(n - m + 1, n)
-            c = (m * v[tail] / np.arange(2, m + 1)).min()
-            best[head] = np.minimum(m * v[head], c)
-            best[tail] = best[n - m]
-            floor = np.maximum(floor, best)
-        where = np.argsort(np.argsort(p[ok], kind="stable"), kind="stable")
-        out[ok] = np.minimum(1.0, np.maximum(floor, v))[where]
+    own, out = p[ok], np.full(len(p), np.nan)
+    ordered, worst = np.sort(own), np.array(own)
+    for size in range(2, len(own) + 1):
+        upper = ordered[-size:]
+        rest = (size * upper[1:] / np.arange(2, size + 1)).min()
+        np.maximum(worst, np.minimum(size * np.minimum(own, upper[0]), rest), out=worst)
+    out[ok] = np.minimum(worst, 1.0)
     return out
 
 

@@ -87,37 +87,35 @@ def blups(df: DataFrame, y: str, terms: list, group: str, fit: Fit) -> DataFrame
     return s.select(F.col("g").alias(group), "n", (r * res / (1 + F.col("n") * r)).alias("intercept"))
 
 
+def curvature(knots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(jumps, gram) of a natural cubic spline: gram times the second derivatives at inner knots equals jumps times the values at all knots.
+
+    Jumps are differences of slopes, gram holds the integrals of products of hat functions.
+    """
+    gaps = np.diff(knots)
+    slopes = np.diff(np.eye(len(knots)), axis=0) / gaps[:, None]
+    hats = np.diag((gaps[:-1] + gaps[1:]) / 3) + np.diag(gaps[1:-1] / 6, 1) + np.diag(gaps[1:-1] / 6, -1)
+    return np.diff(slopes, axis=0), hats
+
+
 def cubic_basis(x: np.ndarray, knots: np.ndarray) -> np.ndarray:
-    """Natural cubic regression spline by values at the knots."""
-    h = np.diff(knots)
-    k = len(knots)
-    dmat, bmat = np.zeros((k - 2, k)), np.zeros((k - 2, k - 2))
-    for i in range(k - 2):
-        dmat[i, i : i + 3] = 1 / h[i], -1 / h[i] - 1 / h[i + 1], 1 / h[i + 1]
-        bmat[i, i] = (h[i] + h[i + 1]) / 3
-        if i < k - 3:
-            bmat[i, i + 1] = bmat[i + 1, i] = h[i + 1] / 6
-    f = np.vstack([np.zeros(k), np.linalg.solve(bmat, dmat), np.zeros(k)])
+    """Natural cubic regression spline by values at the knots; constant beyond them."""
+    jumps, hats = curvature(knots)
+    bends = np.pad(np.linalg.solve(hats, jumps), ((1, 1), (0, 0)))  # second derivatives at the knots, zero at the ends
     x = np.clip(x, knots[0], knots[-1])
-    j = np.clip(np.searchsorted(knots, x, "right") - 1, 0, k - 2)
-    hj, lo, hi = h[j], knots[j + 1] - x, x - knots[j]
-    out = np.zeros((len(x), k))
-    r = np.arange(len(x))
-    out[r, j] += lo / hj
-    out[r, j + 1] += hi / hj
-    return out + ((lo**3 / hj - hj * lo) / 6)[:, None] * f[j] + ((hi**3 / hj - hj * hi) / 6)[:, None] * f[j + 1]
+    left = np.clip(np.searchsorted(knots, x, "right") - 1, 0, len(knots) - 2)
+    gap = (knots[left + 1] - knots[left])[:, None]
+    share = (x - knots[left])[:, None] / gap
+    values = np.eye(len(knots))
+    straight = (1 - share) * values[left] + share * values[left + 1]
+    bent = lambda u: gap**2 * (u**3 - u) / 6
+    return straight + bent(1 - share) * bends[left] + bent(share) * bends[left + 1]
 
 
 def cubic_penalty(knots: np.ndarray) -> np.ndarray:
-    h = np.diff(knots)
-    k = len(knots)
-    dmat, bmat = np.zeros((k - 2, k)), np.zeros((k - 2, k - 2))
-    for i in range(k - 2):
-        dmat[i, i : i + 3] = 1 / h[i], -1 / h[i] - 1 / h[i + 1], 1 / h[i + 1]
-        bmat[i, i] = (h[i] + h[i + 1]) / 3
-        if i < k - 3:
-            bmat[i, i + 1] = bmat[i + 1, i] = h[i + 1] / 6
-    return dmat.T @ np.linalg.solve(bmat, dmat)
+    """The integral of the squared second derivative as a quadratic form in the values at the knots."""
+    jumps, hats = curvature(knots)
+    return jumps.T @ np.linalg.solve(hats, jumps)
 
 
 def gam(df: DataFrame, y: str, smooths: list[str], k: int = 10) -> DataFrame:

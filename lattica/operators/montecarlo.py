@@ -43,17 +43,33 @@ def _replicates(spark, n: int, seed: int, one: Callable[[np.random.Generator], f
     return spark.range(0, n, 1, max(1, min(64, n // 50))).mapInPandas(run, "rep long, stat double")
 
 
-def boot(df: DataFrame, cols: list[str], statistic: Callable[[np.ndarray], float], n_resamples: int = 999, seed: int = 1, method: str = "ordinary", max_rows: int = 1_000_000) -> tuple[float, DataFrame]:
+BOOT_METHODS = ("ordinary", "balanced", "parametric")
+
+
+def boot(
+    df: DataFrame, cols: list[str], statistic: Callable[[np.ndarray], float], n_resamples: int = 999, seed: int = 1, method: str = "ordinary",
+    max_rows: int = 1_000_000, strata: str | None = None, ran_gen: Callable[[np.ndarray, np.random.Generator], np.ndarray] | None = None,
+) -> tuple[float, DataFrame]:
     """Any statistic of a sample of bounded size: (observed value, replicates). Replicates run across tasks.
 
-    `ordinary` and `balanced` resample rows, `parametric` takes `statistic(rng=None or generator)` drawing its own data.
-    Raises above `max_rows`; use `boot_means` there.
+    `ordinary` resamples rows, within each value of `strata` if that is given; `balanced` uses every row equally
+    often over all replicates; `parametric` computes the statistic of what `ran_gen(data, generator)` draws.
+    Raises above `max_rows` (use `boot_means` there) and for other methods.
     """
+    if method not in BOOT_METHODS:
+        raise ValueError(f"method must be one of {BOOT_METHODS}")
+    if (method == "parametric") != (ran_gen is not None):
+        raise ValueError("the parametric bootstrap, and only it, takes ran_gen")
+    if strata and method != "ordinary":
+        raise ValueError("only the ordinary bootstrap takes strata")
     spark = df.sparkSession
-    n = df.count()
+    picked = df.select(*(number(c).alias(f"v{i}") for i, c in enumerate(cols)), *([F.col(strata).alias("stratum")] if strata else []))
+    n = picked.count()
     if n > max_rows:
         raise ValueError(f"{n} rows: this bootstrap ships the sample to each task, up to {max_rows}")
-    data = df.select(*(number(c).alias(c) for c in cols)).dropna().toPandas().to_numpy()
+    pdf = picked.dropna().toPandas()
+    data = pdf[[f"v{i}" for i in range(len(cols))]].to_numpy(float)
+    groups = [np.asarray(g) for g in pdf.groupby("stratum").indices.values()] if strata else [np.arange(len(data))]
     shared = spark.sparkContext.broadcast(data)
     if method == "balanced":
         pool = np.random.default_rng(seed).permutation(np.tile(np.arange(len(data)), n_resamples)).reshape(n_resamples, -1) if len(data) * n_resamples <= 5_000_000 else None
@@ -65,7 +81,12 @@ def boot(df: DataFrame, cols: list[str], statistic: Callable[[np.ndarray], float
                 yield pd.DataFrame({"rep": pdf["id"], "stat": [float(statistic(shared.value[pool[int(i)]])) for i in pdf["id"]]})
 
         return float(statistic(data)), spark.range(0, n_resamples, 1, 8).mapInPandas(run, "rep long, stat double")
-    one = lambda rng: statistic(shared.value[rng.integers(0, len(shared.value), len(shared.value))])
+
+    def one(rng: np.random.Generator) -> float:
+        if ran_gen is not None:
+            return statistic(ran_gen(shared.value, rng))
+        return statistic(shared.value[np.concatenate([g[rng.integers(0, len(g), len(g))] for g in groups])])
+
     return float(statistic(data)), _replicates(spark, n_resamples, seed, one)
 
 

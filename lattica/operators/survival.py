@@ -233,9 +233,10 @@ def concordance(df: DataFrame, time: str, event: str, score: str) -> DataFrame:
     return d.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, "concordant long, discordant long, tied long, c double")
 
 
-def cox_zph(df: DataFrame, time: str, event: str, terms: list, fit: Fit, transform: str = "identity") -> DataFrame:
+def cox_zph(df: DataFrame, time: str, event: str, terms: list, fit: Fit, transform: str = "km") -> DataFrame:
     """Test of proportional hazards by correlation-scaled Schoenfeld residuals with (transformed) time, a term a row and GLOBAL.
 
+    transform: km (one less the Kaplan-Meier curve before each death), identity, rank or log.
     Risk-set means come from collapsed sums by time, as in the fit; the driver sees one row an event time.
     """
     d = build(df, terms, intercept=False)
@@ -244,8 +245,8 @@ def cox_zph(df: DataFrame, time: str, event: str, terms: list, fit: Fit, transfo
     rows = df.select(F.col(time).cast("double").alias("t"), F.col(event).cast("double").alias("e"), F.exp(eta).alias("w"), *(c.cast("double").alias(f"x{i}") for i, c in enumerate(d.columns))).dropna()
     tri = [(i, j) for i in range(k) for j in range(i, k)]
     sums = [F.sum("w"), *(F.sum(F.col("w") * F.col(f"x{i}")) for i in range(k)), *(F.sum(F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")) for i, j in tri), F.sum("e"), *(F.sum(F.col("e") * F.col(f"x{i}")) for i in range(k))]
-    t = rows.groupBy("t").agg(*(c.alias(f"a{i}") for i, c in enumerate(sums))).orderBy(F.desc("t")).toPandas()
-    a = t.drop(columns="t").to_numpy(float)
+    t = rows.groupBy("t").agg(F.count("*").alias("rows"), *(c.alias(f"a{i}") for i, c in enumerate(sums))).orderBy(F.desc("t")).toPandas()
+    a = t.drop(columns=["t", "rows"]).to_numpy(float)
     q = 1 + k + len(tri)
     risk, dead = np.cumsum(a[:, :q], axis=0), a[:, q] > 0
     times, n, x = t["t"].to_numpy()[dead], a[dead, q], a[dead, q + 1 :]
@@ -258,10 +259,13 @@ def cox_zph(df: DataFrame, time: str, event: str, terms: list, fit: Fit, transfo
     elif transform == "rank":
         g = np.argsort(np.argsort(times)) + 1.0
     elif transform == "km":
-        s = np.cumprod((1 - n / np.array([(a[: i + 1, 0].size) for i in np.flatnonzero(dead)]))[::-1])[::-1]
-        g = 1 - s
-    else:
+        at_risk = np.cumsum(t["rows"].to_numpy(float))[dead]  # times run downwards
+        upto = np.cumprod((1 - n / at_risk)[::-1])
+        g = 1 - np.concatenate([[1.0], upto[:-1]])[::-1]  # the curve just before each time
+    elif transform == "identity":
         g = times
+    else:
+        raise ValueError(f"no time transform {transform!r}")
     g = g - (g * n).sum() / n.sum()
     res = x - mean * n[:, None]
     u = (g[:, None] * res).sum(0)

@@ -217,7 +217,7 @@ def ks_one_sample(spark, d):
     return rounded(out, statistic=8).select("statistic")
 
 
-_P = "SELECT p_partkey AS k, (p_partkey * 7919 % 9973 + 1) / 100000.0::DOUBLE AS p FROM part WHERE p_partkey < 500"
+_P = "SELECT p_partkey AS k, (p_partkey * 7919 % 9973 + 1) / 100000.0::DOUBLE AS p FROM part"
 _PADJ = {
     "holm": "least(1, max(p * (n - r + 1)) OVER (ORDER BY r ROWS UNBOUNDED PRECEDING))",
     "hochberg": "least(1, min(p * (n - r + 1)) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING))",
@@ -228,10 +228,9 @@ _PADJ = {
 _padj_sql = " UNION ALL ".join(f"SELECT k, '{m}' AS method, round({e}, 8) AS p_adjusted FROM r" for m, e in _PADJ.items())
 
 
-@register(f"WITH p AS ({_P}), n AS (SELECT count(*)::DOUBLE AS n FROM p), h AS (SELECT sum(1.0 / i) AS h FROM n, range(1, 501) t(i) WHERE i <= n), r AS (SELECT k, p, n, h, row_number() OVER (ORDER BY p, k) AS r FROM p, n, h) {_padj_sql}")
+@register(f"WITH p AS ({_P}), n AS (SELECT count(*)::DOUBLE AS n FROM p), o AS (SELECT k, p, row_number() OVER (ORDER BY p, k) AS r FROM p), h AS (SELECT sum(1.0::DOUBLE / r) AS h FROM o), r AS (SELECT k, p, n, h, r FROM o, n, h) {_padj_sql}")
 def p_adjust_methods(spark, d):
-    p = table(spark, d, "part").where("p_partkey < 500").select(F.col("p_partkey").alias("k"), ((F.col("p_partkey") * 7919 % 9973 + 1) / 100000.0).alias("p"))
-    out = None
+    p, out = _p_values(spark, d), None
     for m in _PADJ:
         a = hypothesis.p_adjust(p, "p", m).select("k", F.lit(m).alias("method"), "p_adjusted")
         out = a if out is None else out.unionByName(a)
@@ -242,16 +241,6 @@ def _p_values(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("k"), ((F.col("p_partkey") * 7919 % 9973 + 1) / 100000.0).alias("p"))
 
 
-@register()
-def p_adjust_methods_whole(spark, d):
-    """Like p_adjust_methods, whose SQL takes p_partkey < 500, over all parts."""
-    p, out = _p_values(spark, d), None
-    for m in _PADJ:
-        a = hypothesis.p_adjust(p, "p", m).select("k", F.lit(m).alias("method"), "p_adjusted")
-        out = a if out is None else out.unionByName(a)
-    return rounded(out, p_adjusted=8)
-
-
 @register()
 def p_adjust_hommel(spark, d):
     return hypothesis.p_adjust(_p_values(spark, d), "p", "hommel")
@@ -466,7 +455,17 @@ def autocorrelation(spark, d):
     return rounded(ts.acf(_daily(spark, d)), acf=6)
 
 
-@register()
+def _pacf_sql(lags: int = 10) -> str:
+    """The Levinson-Durbin recursion unrolled: f holds the last predictor, v its error."""
+    ctes = [f"c AS (SELECT t, y - avg(y) OVER () AS c FROM {_DAILY})", f"r AS (SELECT list(r ORDER BY lag) AS r FROM (SELECT lag, sum(a.c * b.c) / (SELECT sum(c * c) FROM c) AS r FROM range(0, {lags + 1}) k(lag), c a JOIN c b ON b.t = a.t - lag GROUP BY lag))",
+            "s1 AS (SELECT r, [r[2]] AS f, 1 - r[2] * r[2] AS v FROM r)"]
+    for k in range(2, lags + 1):
+        ctes.append(f"a{k} AS (SELECT r, f, v, (r[{k + 1}] - list_sum(list_transform(range(1, {k}), lambda j: f[j] * r[{k + 1} - j]))) / v AS a FROM s{k - 1})")
+        ctes.append(f"s{k} AS (SELECT r, list_append(list_transform(range(1, {k}), lambda j: f[j] - a * f[{k} - j]), a) AS f, v * (1 - a * a) AS v FROM a{k})")
+    return f"WITH {', '.join(ctes)} " + " UNION ALL ".join(f"SELECT 'all' AS key, {k}::INT AS lag, round(f[{k}], 6) AS pacf FROM s{k}" for k in range(1, lags + 1))
+
+
+@register(_pacf_sql())
 def partial_autocorrelation(spark, d):
     return rounded(ts.pacf(_daily(spark, d)), pacf=6)
 
@@ -550,7 +549,8 @@ def rubin_pooling(spark, d):
 
 @register()
 def bootstrap_mean(spark, d):
-    b = montecarlo.boot_means(lines(spark, d), "l_quantity", "l_orderkey", 100, by=["l_returnflag"])
+    rows = lines(spark, d).withColumn("line", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    b = montecarlo.boot_means(rows, "l_quantity", "line", 100, by=["l_returnflag"])
     return b.groupBy("l_returnflag").agg(F.avg("stat").alias("mean"), F.stddev("stat").alias("std_error"), F.count("*").alias("replicates"))
 
 
@@ -628,7 +628,12 @@ def batched_regression(spark, d):
     return rounded(regression.batched_ols(lines(spark, d), ["l_quantity", "l_discount"], ["l_tax"]), estimate=6).select("response", "term", "estimate")
 
 
-@register()
+@register(f"""
+WITH t AS (SELECT g AS o_orderstatus, time::DOUBLE AS time, sum(event) AS n_event, count(*) - sum(event) AS n_censor FROM {_LIVES} GROUP BY ALL),
+r AS (SELECT *, sum(n_event + n_censor) OVER (PARTITION BY o_orderstatus ORDER BY time DESC ROWS UNBOUNDED PRECEDING) AS n_risk FROM t),
+s AS (SELECT o_orderstatus, time, round(exp(sum(CASE WHEN n_event < n_risk THEN ln(1 - n_event / n_risk) ELSE -1e9 END) OVER (PARTITION BY o_orderstatus ORDER BY time ROWS UNBOUNDED PRECEDING)), 12) AS s FROM r)
+SELECT o_orderstatus, CASE WHEN max((s = 0.5)::INT) = 1 THEN (min(time) FILTER (s <= 0.5) + coalesce(min(time) FILTER (s < 0.5), min(time) FILTER (s <= 0.5))) / 2 ELSE min(time) FILTER (s <= 0.5) END AS median
+FROM s GROUP BY 1""")
 def survival_medians(spark, d):
     return survival.median_survival(survival.kaplan_meier(_lives(spark, d), "time", "event", ["o_orderstatus"]), ["o_orderstatus"])
 
@@ -641,7 +646,11 @@ def delayed_entry_curve(spark, d):
     return survival.kaplan_meier_entry(rows, "s", "t", "event").select("time", "n_risk", "n_event")
 
 
-@register()
+@register(f"""
+WITH d AS (SELECT time AS t, event AS e, l_discount AS s, count(*) AS n FROM {_LIVES} WHERE l_discount IS NOT NULL GROUP BY ALL),
+p AS (SELECT sign(a.s - b.s) AS o, a.n * b.n AS k FROM d a JOIN d b ON a.e = 1 AND (b.t > a.t OR b.t = a.t AND b.e = 0)),
+q AS (SELECT coalesce(sum(k) FILTER (o > 0), 0)::BIGINT AS concordant, coalesce(sum(k) FILTER (o < 0), 0)::BIGINT AS discordant, coalesce(sum(k) FILTER (o = 0), 0)::BIGINT AS tied FROM p)
+SELECT concordant, discordant, tied, (concordant + tied / 2.0::DOUBLE) / (concordant + discordant + tied) AS c FROM q""")
 def harrell_concordance(spark, d):
     return survival.concordance(_lives(spark, d), "time", "event", "l_discount")
 

@@ -10,9 +10,11 @@ from pyspark.sql.window import Window
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """`df` written once to the shared checkpoint folder (a local one is made only where none is set)."""
+    """`df` written once to the shared checkpoint folder (a temporary one is made only in local mode where none is set)."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-checkpoint-"))
     return df.checkpoint(eager=True)
 

@@ -336,3 +336,64 @@ def test_p_adjust_queries_over_all_parts(spark, tmp_path):
         assert np.allclose(got[got.method == m].sort_values("k")["p_adjusted"].to_numpy()[order], np.minimum(1, w), atol=1e-8), m
     adjusted = QUERIES["p_adjust_hommel"](spark, str(tmp_path)).toPandas().sort_values("k")
     assert len(adjusted) == n and np.allclose(adjusted["p_adjusted"], hypothesis.hommel(p))
+
+
+def test_hommel_is_closed_testing():
+    from itertools import combinations
+
+    from lattica.operators.hypothesis import hommel
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5, 7):
+        p = np.round(rng.random(n) ** 2, 2)
+        simes = lambda s: (len(s) * np.sort(p[list(s)]) / np.arange(1, len(s) + 1)).min()
+        want = [max(simes(s) for k in range(1, n + 1) for s in combinations(range(n), k) if i in s) for i in range(n)]
+        assert np.allclose(hommel(p), np.minimum(want, 1))
+    assert np.isnan(hommel(np.array([np.nan, 0.01]))).tolist() == [True, False]
+
+
+def test_bootstrap_methods(spark):
+    from lattica.operators.montecarlo import boot
+
+    df = spark.createDataFrame([(float(i), "a" if i < 10 else "b") for i in range(30)], "v double, g string")
+    mean = lambda m: float(m[:, 0].mean())
+    with pytest.raises(ValueError):
+        boot(df, ["v"], mean, 10, method="nonsense")
+    with pytest.raises(ValueError):
+        boot(df, ["v"], mean, 10, method="parametric")
+    _, same = boot(df, ["v"], mean, 20, method="parametric", ran_gen=lambda data, rng: data * 0 + 7)
+    assert {r.stat for r in same.collect()} == {7.0}
+    share = lambda m: float((m[:, 0] < 10).mean())
+    assert {round(r.stat, 9) for r in boot(df, ["v"], share, 30, strata="g")[1].collect()} == {round(1 / 3, 9)}
+    assert len({r.stat for r in boot(df, ["v"], share, 30)[1].collect()}) > 3
+
+
+def test_hazards_test_with_survival_transform(spark):
+    from lattica.operators.survival import coxph, cox_zph
+
+    rng = np.random.default_rng(2)
+    rows = [(float(t), int(e), float(x)) for t, e, x in zip(rng.permutation(60) + 1, rng.random(60) < 0.7, rng.normal(size=60))]
+    df = spark.createDataFrame(rows, "t double, e int, x double")
+    fit = coxph(df, "t", "e", ["x"])
+    got = cox_zph(df, "t", "e", ["x"], fit).collect()[0].statistic
+    rows.sort()
+    t, e, x = (np.array(c, float) for c in zip(*rows))
+    w, curve, g, u, i = np.exp(x * fit.coef[0]), 1.0, [], [], []
+    for k in range(60):
+        if e[k]:
+            m = (w[k:] * x[k:]).sum() / w[k:].sum()
+            g.append(1 - curve)
+            u.append(x[k] - m)
+            i.append((w[k:] * x[k:] ** 2).sum() / w[k:].sum() - m * m)
+            curve *= 1 - 1 / (60 - k)
+    g, u, i = np.array(g) - np.mean(g), np.array(u), np.array(i)
+    want = (g @ u) ** 2 / ((g * g * i).sum() - (g * i).sum() ** 2 / i.sum())
+    assert abs(got - want) < 1e-6 * want
+
+
+def test_kendall_missing_values(spark):
+    from lattica.operators.descriptive import cor
+
+    df = spark.createDataFrame([(1.0, 2.0, None), (2.0, 1.0, 5.0), (3.0, 4.0, 6.0), (4.0, 3.0, 7.0)], "a double, b double, c double")
+    tau = lambda na: {(r.a, r.b): (r.cor, r.n) for r in cor(df, ["a", "b", "c"], na_action=na, method="kendall").collect()}
+    assert tau("complete")["a", "b"][1] == 3 and tau("pairwise")["a", "b"] == (1 / 3, 4) and tau("pairwise")["a", "c"] == (1.0, 3)
