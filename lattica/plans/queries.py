@@ -38,6 +38,34 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem")
 
 
+def _integral(f: str, to: str, steps: int = 4000) -> str:
+    """SQL for Simpson's rule over 0 to `to` of `f`, an expression in z."""
+    return f"(SELECT sum(w * ({f})) FROM (SELECT ({to}) * i / {steps}.0 AS z, ({to}) / {3 * steps}.0 * CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM range(0, {steps + 1}) zs(i)))"
+
+
+def _t_p(t: str, df: str) -> str:
+    """SQL for the two-sided tail of Student's t."""
+    f = f"exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt({df} * pi()) * (1 + z * z / {df}) ** (-({df} + 1) / 2)"
+    return f"round(greatest(0.0, 1 - 2 * {_integral(f, f'least(abs({t}), 40.0)')}), 5)"
+
+
+def _chi2_p(x: str, df: str) -> str:
+    """SQL for the upper tail of chi-squared, integrated over its root."""
+    f = f"2 * z ** ({df} - 1) * exp(-z * z / 2 - {df} / 2 * ln(2.0) - lgamma({df} / 2))"
+    return f"round(greatest(0.0, 1 - {_integral(f, f'sqrt(least({x}, 1600.0))')}), 5)"
+
+
+def _f_p(x: str, d1: str, d2: str) -> str:
+    """SQL for the upper tail of F, integrated over its root."""
+    f = f"2 * z ** ({d1} - 1) * exp(lgamma(({d1} + {d2}) / 2) - lgamma({d1} / 2) - lgamma({d2} / 2) + {d1} / 2 * ln({d1} / {d2}) - ({d1} + {d2}) / 2 * ln(1 + {d1} * z * z / {d2}))"
+    return f"round(greatest(0.0, 1 - {_integral(f, f'sqrt(least({x}, 400.0))')}), 5)"
+
+
+def _with_p(sql: str, p: str) -> str:
+    """The rows of `sql` with a p-value computed from them."""
+    return f"SELECT x.*, {p} AS p_value FROM ({sql}) x"
+
+
 @register("""
 SELECT l_returnflag, v.variable, count(x) AS n, round(avg(x), 6) AS mean, round(var_samp(x), 4) AS var, round(stddev_samp(x), 6) AS sd,
   round(skewness(x), 6) AS skewness, round(kurtosis(x), 6) AS kurtosis, round(min(x), 6) AS min, round(quantile_cont(x, 0.25), 6) AS q1,
@@ -114,28 +142,28 @@ _GROUPS = "avg(x) FILTER (g = 'A') AS m1, avg(x) FILTER (g = 'R') AS m2, var_sam
 _FLAGS = "(SELECT l_returnflag AS g, l_extendedprice AS x FROM lineitem)"
 
 
-@register(f"WITH s AS (SELECT {_GROUPS} FROM {_FLAGS}), e AS (SELECT *, v1 / n1 + v2 / n2 AS q FROM s) SELECT round((m1 - m2) / sqrt(q), 6) AS statistic, round(q * q / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1)), 4) AS df, round(m1 - m2, 4) AS estimate FROM e")
+@register(_with_p(f"WITH s AS (SELECT {_GROUPS} FROM {_FLAGS}), e AS (SELECT *, v1 / n1 + v2 / n2 AS q FROM s) SELECT round((m1 - m2) / sqrt(q), 6) AS statistic, round(q * q / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1)), 4) AS df, round(m1 - m2, 4) AS estimate FROM e", _t_p("x.statistic", "x.df")))
 def t_test_welch(spark, d):
     out = hypothesis.t_test(lines(spark, d), "l_extendedprice", group="l_returnflag", groups=("A", "R"))
-    return rounded(out, statistic=6, df=4, estimate=4).select("statistic", "df", "estimate")
+    return rounded(out, p_value=5, statistic=6, df=4, estimate=4).select("statistic", "df", "estimate", "p_value")
 
 
-@register(f"WITH s AS (SELECT {_GROUPS} FROM {_FLAGS}) SELECT round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2)), 6) AS statistic, n1 + n2 - 2 AS df FROM s")
+@register(_with_p(f"WITH s AS (SELECT {_GROUPS} FROM {_FLAGS}) SELECT round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2)), 6) AS statistic, n1 + n2 - 2 AS df FROM s", _t_p("x.statistic", "x.df")))
 def t_test_pooled(spark, d):
     out = hypothesis.t_test(lines(spark, d), "l_extendedprice", group="l_returnflag", groups=("A", "R"), equal_var=True)
-    return rounded(out, statistic=6).select("statistic", "df")
+    return rounded(out, p_value=5, statistic=6).select("statistic", "df", "p_value")
 
 
-@register("SELECT l_linestatus, round((avg(l_quantity) - 25) / sqrt(var_samp(l_quantity) / count(l_quantity)), 6) AS statistic, count(l_quantity) - 1.0::DOUBLE AS df FROM lineitem GROUP BY ALL")
+@register(_with_p("SELECT l_linestatus, round((avg(l_quantity) - 25) / sqrt(var_samp(l_quantity) / count(l_quantity)), 6) AS statistic, count(l_quantity) - 1.0::DOUBLE AS df FROM lineitem GROUP BY ALL", _t_p("x.statistic", "x.df")))
 def t_test_one_sample(spark, d):
     out = hypothesis.t_test(lines(spark, d), "l_quantity", pop_mean=25.0, by=["l_linestatus"])
-    return rounded(out, statistic=6).select("l_linestatus", "statistic", "df")
+    return rounded(out, p_value=5, statistic=6).select("l_linestatus", "statistic", "df", "p_value")
 
 
-@register("SELECT round(avg(x) / sqrt(var_samp(x) / count(x)), 6) AS statistic, count(x) - 1.0::DOUBLE AS df, round(avg(x), 8) AS estimate FROM (SELECT l_discount - l_tax AS x FROM lineitem)")
+@register(_with_p("SELECT round(avg(x) / sqrt(var_samp(x) / count(x)), 6) AS statistic, count(x) - 1.0::DOUBLE AS df, round(avg(x), 8) AS estimate FROM (SELECT l_discount - l_tax AS x FROM lineitem)", _t_p("x.statistic", "x.df")))
 def t_test_paired(spark, d):
     out = hypothesis.t_test(lines(spark, d), "l_discount", "l_tax", paired=True)
-    return rounded(out, statistic=6, estimate=8).select("statistic", "df", "estimate")
+    return rounded(out, p_value=5, statistic=6, estimate=8).select("statistic", "df", "estimate", "p_value")
 
 
 @register(f"WITH s AS (SELECT {_GROUPS} FROM {_FLAGS}) SELECT round(v1 / v2, 8) AS statistic, n1 - 1 AS df, n2 - 1 AS df2 FROM s")
@@ -144,14 +172,14 @@ def variance_test(spark, d):
     return rounded(out, statistic=8).select("statistic", "df", "df2")
 
 
-@register("""
+@register(_with_p("""
 WITH t AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*)::DOUBLE AS n FROM lineitem WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL),
 f AS (SELECT a, b, coalesce(n, 0) AS n FROM (SELECT DISTINCT a FROM t) CROSS JOIN (SELECT DISTINCT b FROM t) LEFT JOIN t USING (a, b)),
 e AS (SELECT *, sum(n) OVER (PARTITION BY a) * sum(n) OVER (PARTITION BY b) / sum(n) OVER () AS e FROM f)
-SELECT round(sum((n - e) ** 2 / e), 6) AS statistic, ((SELECT count(DISTINCT a) FROM t) - 1) * ((SELECT count(DISTINCT b) FROM t) - 1)::DOUBLE AS df FROM e""")
+SELECT round(sum((n - e) ** 2 / e), 6) AS statistic, ((SELECT count(DISTINCT a) FROM t) - 1) * ((SELECT count(DISTINCT b) FROM t) - 1)::DOUBLE AS df FROM e""", _chi2_p("x.statistic", "x.df")))
 def chisq_independence(spark, d):
     out = hypothesis.chisq_test(lines(spark, d), "l_returnflag", "l_linestatus", correct=False)
-    return rounded(out, statistic=6).select("statistic", "df")
+    return rounded(out, p_value=5, statistic=6).select("statistic", "df", "p_value")
 
 
 @register("""
@@ -164,9 +192,9 @@ def chisq_residuals(spark, d):
     return rounded(hypothesis.chisq_residuals(lines(spark, d), "l_returnflag", "l_linestatus"), expected=4, residual=6, stdres=6)
 
 
-@register("WITH t AS (SELECT count(*)::DOUBLE AS n FROM events WHERE event_type IS NOT NULL GROUP BY event_type), e AS (SELECT n, sum(n) OVER () / count(*) OVER () AS e FROM t) SELECT round(sum((n - e) ** 2 / e), 6) AS statistic, count(*) - 1.0::DOUBLE AS df FROM e")
+@register(_with_p("WITH t AS (SELECT count(*)::DOUBLE AS n FROM events WHERE event_type IS NOT NULL GROUP BY event_type), e AS (SELECT n, sum(n) OVER () / count(*) OVER () AS e FROM t) SELECT round(sum((n - e) ** 2 / e), 6) AS statistic, count(*) - 1.0::DOUBLE AS df FROM e", _chi2_p("x.statistic", "x.df")))
 def chisq_goodness_of_fit(spark, d):
-    return rounded(hypothesis.chisq_test(table(spark, d, "events"), "event_type"), statistic=6).select("statistic", "df")
+    return rounded(hypothesis.chisq_test(table(spark, d, "events"), "event_type"), p_value=5, statistic=6).select("statistic", "df", "p_value")
 
 
 @register()
@@ -174,11 +202,11 @@ def chisq_simulated(spark, d):
     return hypothesis.chisq_test(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority", simulate=True, n_resamples=500)
 
 
-@register("""
+@register(_with_p("""
 WITH t AS (SELECT l_linestatus, sum((l_discount > 0.05)::INT)::DOUBLE AS x, count(l_discount)::DOUBLE AS n FROM lineitem GROUP BY ALL), p AS (SELECT sum(x) / sum(n) AS p FROM t)
-SELECT round(sum((x - n * p) ** 2 / (n * p) + (x - n * p) ** 2 / (n * (1 - p))), 6) AS statistic, count(*) - 1.0::DOUBLE AS df FROM t, p""")
+SELECT round(sum((x - n * p) ** 2 / (n * p) + (x - n * p) ** 2 / (n * (1 - p))), 6) AS statistic, count(*) - 1.0::DOUBLE AS df FROM t, p""", _chi2_p("x.statistic", "x.df")))
 def proportions_equal(spark, d):
-    return rounded(hypothesis.prop_test(lines(spark, d), "l_discount > 0.05", "l_linestatus", correct=False), statistic=6).select("statistic", "df")
+    return rounded(hypothesis.prop_test(lines(spark, d), "l_discount > 0.05", "l_linestatus", correct=False), p_value=5, statistic=6).select("statistic", "df", "p_value")
 
 
 @register("WITH t AS (SELECT sum((l_discount > 0.05)::INT)::DOUBLE AS x, count(l_discount)::DOUBLE AS n FROM lineitem) SELECT round(2 * (abs(x - n / 2) - least(0.5, abs(x - n / 2))) ** 2 / (n / 2), 6) AS statistic, round(x / n, 8) AS estimate FROM t")
