@@ -40,7 +40,7 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
 
 def _integral(f: str, to: str, steps: int = 4000) -> str:
     """SQL for Simpson's rule over 0 to `to` of `f`, an expression in z."""
-    return f"(SELECT sum(w * ({f})) FROM (SELECT ({to}) * i / {steps}.0 AS z, ({to}) / {3 * steps}.0 * CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM range(0, {steps + 1}) zs(i)))"
+    return f"(SELECT sum(z_weight * ({f})) FROM (SELECT ({to}) * zs.i / {steps}.0 AS z, ({to}) / {3 * steps}.0 * CASE WHEN zs.i IN (0, {steps}) THEN 1 WHEN zs.i % 2 = 1 THEN 4 ELSE 2 END AS z_weight FROM range(0, {steps + 1}) zs(i)))"
 
 
 def _t_p(t: str, df: str) -> str:
@@ -269,19 +269,22 @@ def _p_values(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("k"), ((F.col("p_partkey") * 7919 % 9973 + 1) / 100000.0).alias("p"))
 
 
-@register()
+@register(f"""
+WITH p AS ({_P}), o AS (SELECT k, p, row_number() OVER (ORDER BY p, k) AS j, count(*) OVER () AS n FROM p),
+c AS (SELECT m, min(m * p / (j - n + m)) FILTER (j > n - m + 1) AS rest, min(p) AS low FROM o, range(2, (SELECT count(*) + 1 FROM p)) s(m) WHERE j > n - m GROUP BY m)
+SELECT k, any_value(p) AS p, round(least(1, greatest(any_value(p), max(least(m * least(p, low), rest)))), 8) AS p_adjusted FROM o, c GROUP BY k""")
 def p_adjust_hommel(spark, d):
-    return hypothesis.p_adjust(_p_values(spark, d), "p", "hommel")
+    return rounded(hypothesis.p_adjust(_p_values(spark, d), "p", "hommel"), p_adjusted=8)
 
 
 _ONEWAY = """
 WITH g AS (SELECT {g} AS g, count({y})::DOUBLE AS n, avg({y}) AS m, coalesce(var_samp({y}), 0) AS v FROM {t} WHERE {y} IS NOT NULL AND {g} IS NOT NULL GROUP BY 1),
 s AS (SELECT count(*) - 1.0::DOUBLE AS d1, sum(n) - count(*) AS d2, sum(n * (m - mm) ** 2) AS b, sum((n - 1) * v) AS w FROM g, (SELECT sum(n * m) / sum(n) AS mm FROM g))
-SELECT d1 AS df, round(b / d1 / (w / d2), 6) AS f, round(b / (b + w), 8) AS eta_sq, round((b - d1 * w / d2) / (b + w + w / d2), 8) AS omega_sq FROM s"""
+SELECT d1 AS df, round(b / d1 / (w / d2), 6) AS f, round(b / (b + w), 8) AS eta_sq, round((b - d1 * w / d2) / (b + w + w / d2), 8) AS omega_sq, """ + _f_p("(b / d1 / (w / d2))", "d1", "d2") + " AS p_value FROM s"
 
 
 def _first_line(df: DataFrame) -> DataFrame:
-    return rounded(df.where("term <> 'Residuals'"), f=6, eta_sq=8, omega_sq=8).select("df", "f", "eta_sq", "omega_sq")
+    return rounded(df.where("term <> 'Residuals'"), f=6, eta_sq=8, omega_sq=8, p_value=5).select("df", "f", "eta_sq", "omega_sq", "p_value")
 
 
 @register(_ONEWAY.format(g="event_type", y="value", t="events"))
@@ -351,15 +354,28 @@ def simple_regression(spark, d):
 WITH m AS (SELECT avg(l_extendedprice) AS my, avg(l_quantity) AS ma, avg(l_discount) AS mb, count(*) AS n FROM lineitem),
 s AS (SELECT any_value(my) AS my, any_value(ma) AS ma, any_value(mb) AS mb, sum((l_quantity - ma) ** 2) AS aa, sum((l_discount - mb) ** 2) AS bb, sum((l_quantity - ma) * (l_discount - mb)) AS ab,
   sum((l_quantity - ma) * (l_extendedprice - my)) AS ay, sum((l_discount - mb) * (l_extendedprice - my)) AS by_ FROM lineitem, m),
-b AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS b1, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS b2 FROM s)
-SELECT '(Intercept)' AS term, round(my - b1 * ma - b2 * mb, 3) AS estimate FROM b UNION ALL SELECT 'l_quantity', round(b1, 3) FROM b UNION ALL SELECT 'l_discount', round(b2, 3) FROM b""")
+b AS (SELECT *, aa * bb - ab * ab AS det, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS b1, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS b2 FROM s),
+e AS (SELECT any_value(n) - 3.0 AS df, sum((l_extendedprice - my - b1 * (l_quantity - ma) - b2 * (l_discount - mb)) ** 2) / (any_value(n) - 3) AS s2 FROM lineitem, b, (SELECT count(*) AS n FROM lineitem)),
+t AS (SELECT '(Intercept)' AS term, my - b1 * ma - b2 * mb AS b, s2 * (1.0 / (df + 3) + (ma * ma * bb + mb * mb * aa - 2 * ma * mb * ab) / det) AS v, df FROM b, e
+  UNION ALL SELECT 'l_quantity', b1, s2 * bb / det, df FROM b, e UNION ALL SELECT 'l_discount', b2, s2 * aa / det, df FROM b, e)
+SELECT term, round(b, 3) AS estimate, round(sqrt(v), 4) AS std_error, round(b / sqrt(v), 5) AS statistic, """ + _t_p("(b / sqrt(v))", "df") + " AS p_value FROM t")
 def linear_model(spark, d):
-    return rounded(regression.lm(lines(spark, d), "l_extendedprice", ["l_quantity", "l_discount"]).table(spark), estimate=3).select("term", "estimate")
+    out = regression.lm(lines(spark, d), "l_extendedprice", ["l_quantity", "l_discount"]).table(spark)
+    return rounded(out, estimate=3, std_error=4, statistic=5, p_value=5).select("term", "estimate", "std_error", "statistic", "p_value")
 
 
-@register()
+@register("""
+WITH g AS (SELECT l_returnflag AS f, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, regr_sxx(l_extendedprice, l_quantity) AS sxx,
+  regr_syy(l_extendedprice, l_quantity) * (1 - regr_r2(l_extendedprice, l_quantity)) AS rss, avg(l_quantity) AS m, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1),
+s AS (SELECT sum(rss) / (sum(n) - 6) AS s2, sum(n) - 6 AS df FROM g),
+v AS (SELECT f, a, b, s2 * (1 / n + m * m / sxx) AS va, s2 / sxx AS vb, df FROM g, s),
+t AS (SELECT '(Intercept)' AS term, a AS x, va AS v, df FROM v WHERE f = 'A' UNION ALL SELECT 'l_quantity', b, vb, df FROM v WHERE f = 'A'
+  UNION ALL SELECT concat('l_returnflag[', o.f, ']'), o.a - r.a, o.va + r.va, o.df FROM v o, v r WHERE r.f = 'A' AND o.f <> 'A'
+  UNION ALL SELECT concat('l_quantity:l_returnflag[', o.f, ']'), o.b - r.b, o.vb + r.vb, o.df FROM v o, v r WHERE r.f = 'A' AND o.f <> 'A')
+SELECT term, round(x, 3) AS estimate, round(sqrt(v), 4) AS std_error, round(x / sqrt(v), 4) AS statistic, """ + _t_p("(x / sqrt(v))", "df") + " AS p_value FROM t")
 def linear_model_factors(spark, d):
-    return rounded(regression.lm(lines(spark, d), "l_extendedprice", ["l_quantity", C("l_returnflag"), ("l_quantity", C("l_returnflag"))]).table(spark), estimate=4, std_error=5, statistic=5, p_value=6, conf_low=3, conf_high=3)
+    out = regression.lm(lines(spark, d), "l_extendedprice", ["l_quantity", C("l_returnflag"), ("l_quantity", C("l_returnflag"))]).table(spark)
+    return rounded(out, estimate=3, std_error=4, statistic=4, p_value=5).select("term", "estimate", "std_error", "statistic", "p_value")
 
 
 @register("""
@@ -448,9 +464,30 @@ def log_rank_test(spark, d):
     return rounded(out, expected=4).select("grp", "observed", "expected")
 
 
-@register()
+def _cox_sql(steps: int = 5) -> str:
+    """Newton steps on Efron's partial likelihood, unrolled: sums by time, risk sets by running sums, a row for each death."""
+    parts = {"0": "w", "1": "w * x", "2": "w * z", "11": "w * x * x", "12": "w * x * z", "22": "w * z * z"}
+    ctes = [f"d AS (SELECT time, event, l_quantity / 10 AS x, l_discount * 10 AS z FROM {_LIVES} WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL)", "b0 AS (SELECT 0.0::DOUBLE AS b, 0.0::DOUBLE AS c)"]
+    for k in range(steps + 1):
+        sums = ", ".join(f"sum({e}) AS s{n}, coalesce(sum({e}) FILTER (event = 1), 0) AS e{n}" for n, e in parts.items())
+        risk = ", ".join(f"sum(s{n}) OVER (ORDER BY time DESC) AS r{n}" for n in parts)
+        means = ", ".join(f"r{n} - i / n * e{n} AS a{n}" for n in parts)
+        ctes += [
+            f"t{k} AS (SELECT time, {sums}, sum(event)::DOUBLE AS n, coalesce(sum(x) FILTER (event = 1), 0) AS dx, coalesce(sum(z) FILTER (event = 1), 0) AS dz FROM (SELECT d.*, exp(b * x + c * z) AS w FROM d, b{k}) GROUP BY time)",
+            f"r{k} AS (SELECT time, n, dx, dz, {risk}, {', '.join(f'e{m}' for m in parts)} FROM t{k})",
+            f"a{k} AS (SELECT dx / n AS dx, dz / n AS dz, {means} FROM (SELECT *, unnest(range(0, n::BIGINT)) AS i FROM r{k} WHERE n > 0))",
+            f"g{k} AS (SELECT sum(dx - a1 / a0) AS u, sum(dz - a2 / a0) AS v, sum(a11 / a0 - a1 * a1 / a0 / a0) AS p, sum(a12 / a0 - a1 * a2 / a0 / a0) AS q, sum(a22 / a0 - a2 * a2 / a0 / a0) AS s FROM a{k})",
+        ]
+        if k < steps:
+            ctes.append(f"b{k + 1} AS (SELECT b + (s * u - q * v) / (p * s - q * q) AS b, c + (p * v - q * u) / (p * s - q * q) AS c FROM b{k}, g{k})")
+    ctes.append(f"f AS (SELECT 'l_quantity' AS term, b / 10 AS x, sqrt(s / (p * s - q * q)) / 10 AS e FROM b{steps}, g{steps} UNION ALL SELECT 'l_discount', c * 10, sqrt(p / (p * s - q * q)) * 10 FROM b{steps}, g{steps})")
+    return f"WITH {', '.join(ctes)} SELECT term, round(x, 6) AS estimate, round(e, 6) AS std_error, round(x / e, 4) AS statistic, {_chi2_p('(x / e * x / e)', '1.0')} AS p_value FROM f"
+
+
+@register(_cox_sql())
 def cox_regression(spark, d):
-    return rounded(survival.coxph(_lives(spark, d), "time", "event", ["l_quantity", "l_discount"]).table(spark), estimate=6, std_error=6, statistic=5, p_value=6, conf_low=6, conf_high=6)
+    out = survival.coxph(_lives(spark, d), "time", "event", ["l_quantity", "l_discount"]).table(spark)
+    return rounded(out, estimate=6, std_error=6, statistic=4, p_value=5).select("term", "estimate", "std_error", "statistic", "p_value")
 
 
 @register("SELECT period, count(*) AS n, sum(y)::BIGINT AS events FROM (SELECT unnest(range(1, least(time, 30) + 1)) AS period, least(time, 30) AS t, event FROM " + _LIVES + ") x, LATERAL (SELECT (period = t AND event = 1)::INT AS y) GROUP BY 1")
