@@ -390,18 +390,32 @@ def _flagged(spark, d):
     return lines(spark, d).select((F.col("l_returnflag") == "R").cast("double").alias("y"), "l_quantity", "l_discount", "l_tax", "l_linenumber")
 
 
-def _logit_sql(steps: int = 6) -> str:
-    """Newton steps unrolled as chained queries."""
-    ctes = ["d AS (SELECT (l_returnflag = 'R')::INT::DOUBLE AS y, l_quantity / 50 AS x FROM lineitem WHERE l_returnflag IS NOT NULL AND l_quantity IS NOT NULL)", "b0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b)"]
-    for k in range(steps):
-        ctes.append(f"s{k} AS (SELECT sum(w) AS w, sum(w * x) AS wx, sum(w * x * x) AS wxx, sum(y - p) AS g, sum((y - p) * x) AS gx FROM (SELECT x, y, p, p * (1 - p) AS w FROM (SELECT x, y, 1 / (1 + exp(-(a + b * x))) AS p FROM d, b{k})))")
-        ctes.append(f"b{k + 1} AS (SELECT a + (wxx * g - wx * gx) / (w * wxx - wx * wx) AS a, b + (w * gx - wx * g) / (w * wxx - wx * wx) AS b FROM b{k}, s{k})")
-    return f"WITH {', '.join(ctes)} SELECT '(Intercept)' AS term, round(a, 6) AS estimate FROM b{steps} UNION ALL SELECT 'l_quantity', round(b / 50, 6) FROM b{steps}"
+def _scoring_sql(tag: str, data: str, mu: str, slope: str, variance: str, start: str, deviance: str, free: bool, steps: int = 15) -> str:
+    """Chained queries of Fisher scoring for one covariate; `data` has (y, x), the rest are expressions in eta, m = mu and y.
 
+    The last, `<tag>`, has a row a term: estimate, std_error, deviance. `free`: the dispersion is estimated.
+    """
+    rows = lambda k: f"(SELECT *, ({slope}) AS s, ({variance}) AS v FROM (SELECT *, ({mu}) AS m FROM (SELECT y, x, a + b * x AS eta FROM {tag}d, {tag}b{k})))"
+    ctes = [f"{tag}d AS MATERIALIZED ({data})", f"{tag}b0 AS MATERIALIZED (SELECT {start} AS a, 0.0::DOUBLE AS b FROM {tag}d)"]
+    for k in range(steps + 1):
+        ctes.append(f"{tag}s{k} AS MATERIALIZED (SELECT sum(s * s / v) AS w, sum(s * s / v * x) AS wx, sum(s * s / v * x * x) AS wxx, sum((y - m) * s / v) AS g, sum((y - m) * s / v * x) AS gx, sum((y - m) ** 2 / v) AS chi, sum({deviance}) AS dev, count(*) AS n FROM {rows(k)})")
+        if k < steps:
+            ctes.append(f"{tag}b{k + 1} AS MATERIALIZED (SELECT a + (wxx * g - wx * gx) / (w * wxx - wx * wx) AS a, b + (w * gx - wx * g) / (w * wxx - wx * wx) AS b FROM {tag}b{k}, {tag}s{k})")
+    phi = "chi / (n - 2)" if free else "1.0"
+    last = f"FROM {tag}b{steps}, {tag}s{steps}"
+    ctes.append(f"{tag} AS (SELECT '(Intercept)' AS term, a AS estimate, sqrt({phi} * wxx / (w * wxx - wx * wx)) AS std_error, dev AS deviance {last} UNION ALL SELECT 'x', b, sqrt({phi} * w / (w * wxx - wx * wx)), dev {last})")
+    return ", ".join(ctes)
+
+
+#: Binomial pieces: mean and slope by link; the deviance of a 0/1 response.
+_BIN_DEV = "-2 * ln(CASE WHEN y = 1 THEN m ELSE 1 - m END)"
+_LOGIT = _scoring_sql("f", "SELECT (l_returnflag = 'R')::INT::DOUBLE AS y, l_quantity / 50 AS x FROM lineitem WHERE l_returnflag IS NOT NULL AND l_quantity IS NOT NULL", "1 / (1 + exp(-eta))", "m * (1 - m)", "m * (1 - m)", "ln(avg(y) / (1 - avg(y)))", _BIN_DEV, False, 6)
 
-@register(_logit_sql())
+
+@register(f"WITH {_LOGIT} SELECT CASE term WHEN 'x' THEN 'l_quantity' ELSE term END AS term, round(estimate / CASE term WHEN 'x' THEN 50 ELSE 1 END, 6) AS estimate, round(std_error / CASE term WHEN 'x' THEN 50 ELSE 1 END, 6) AS std_error, round(estimate / std_error, 4) AS statistic, {_chi2_p('(estimate / std_error * estimate / std_error)', '1.0')} AS p_value FROM f")
 def logistic_regression(spark, d):
-    return rounded(regression.glm(_flagged(spark, d), "y", ["l_quantity"]).table(spark), estimate=6).select("term", "estimate")
+    out = regression.glm(_flagged(spark, d), "y", ["l_quantity"]).table(spark)
+    return rounded(out, estimate=6, std_error=6, statistic=4, p_value=5).select("term", "estimate", "std_error", "statistic", "p_value")
 
 
 @register("SELECT l_linestatus AS term, round(ln(avg(l_linenumber)), 6) AS estimate FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1 UNION ALL SELECT 'l_linestatus[O]', round(ln(avg(l_linenumber) FILTER (l_linestatus = 'O') / avg(l_linenumber) FILTER (l_linestatus = 'F')), 6) FROM lineitem")
@@ -410,16 +424,41 @@ def poisson_regression(spark, d):
     return rounded(out, estimate=6).select(F.when(F.col("term") == "(Intercept)", "F").otherwise(F.col("term")).alias("term"), "estimate")
 
 
-@register()
-def glm_families(spark, d):
-    """Every family with its own link, and the other binomial links."""
+def _families_sql() -> str:
+    rows = lambda y: f"SELECT ({y})::DOUBLE AS y, l_quantity / 50 AS x FROM lineitem WHERE ({y}) IS NOT NULL AND l_quantity IS NOT NULL"
+    price, count, flag = rows("l_extendedprice"), rows("l_linenumber"), rows("(l_returnflag = 'R')::INT")
+    fits = {
+        ("gaussian", "identity"): (price, "eta", "1.0", "1.0", "avg(y)", "(y - m) ** 2", True),
+        ("gamma", "log"): (price, "exp(eta)", "m", "m * m", "ln(avg(y))", "2 * ((y - m) / m - ln(y / m))", True),
+        ("inverse_gaussian", "log"): (price, "exp(eta)", "m", "m * m * m", "ln(avg(y))", "(y - m) ** 2 / (m * m * y)", True),
+        ("quasipoisson", "log"): (count, "exp(eta)", "m", "m", "ln(avg(y))", "2 * (CASE WHEN y > 0 THEN y * ln(y / m) ELSE 0 END - (y - m))", True),
+        ("binomial", "cloglog"): (flag, "1 - exp(-exp(eta))", "exp(eta - exp(eta))", "m * (1 - m)", "ln(-ln(1 - avg(y)))", _BIN_DEV, False),
+        ("binomial", "cauchit"): (flag, "0.5 + atan(eta) / pi()", "1 / (pi() * (1 + eta * eta))", "m * (1 - m)", "tan(pi() * (avg(y) - 0.5))", _BIN_DEV, False),
+    }
+    ctes = ", ".join(_scoring_sql(f"f{i}", *f) for i, f in enumerate(fits.values()))
+    return f"WITH {ctes} " + " UNION ALL ".join(f"SELECT '{a}' AS family, '{l}' AS link, CASE term WHEN 'x' THEN 'q' ELSE term END AS term, round(estimate, 4) AS estimate, round(std_error, 4) AS std_error, round(deviance, 1) AS deviance FROM f{i}" for i, (a, l) in enumerate(fits))
+
+
+def _family_fits(spark, d, fits) -> DataFrame:
     rows = lines(spark, d).select("l_linenumber", (F.col("l_quantity") / 50).alias("q"), F.col("l_extendedprice").alias("price"), (F.col("l_returnflag") == "R").cast("double").alias("y"))
     out = None
-    for y, fam, link in (("price", "gaussian", None), ("price", "gamma", "log"), ("price", "inverse_gaussian", "log"), ("l_linenumber", "quasipoisson", None), ("y", "binomial", "probit"), ("y", "binomial", "cloglog"), ("y", "binomial", "cauchit")):
+    for y, fam, link in fits:
         fit = regression.glm(rows, y, ["q"], fam, link, max_iter=50)
         t = fit.table(spark).select(F.lit(fam).alias("family"), F.lit(fit.info["link"]).alias("link"), "term", "estimate", "std_error", F.lit(fit.info["deviance"]).alias("deviance"))
         out = t if out is None else out.unionByName(t)
-    return rounded(out, estimate=5, std_error=5, deviance=3)
+    return rounded(out, estimate=4, std_error=4, deviance=1)
+
+
+@register(_families_sql())
+def glm_families(spark, d):
+    """Every family with its own link, and the other binomial links but probit."""
+    return _family_fits(spark, d, (("price", "gaussian", None), ("price", "gamma", "log"), ("price", "inverse_gaussian", "log"), ("l_linenumber", "quasipoisson", None), ("y", "binomial", "cloglog"), ("y", "binomial", "cauchit")))
+
+
+@register()
+def glm_probit(spark, d):
+    """The probit link, whose mean DuckDB has no function for."""
+    return _family_fits(spark, d, (("y", "binomial", "probit"),))
 
 
 @register()
