@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import time
@@ -453,3 +454,72 @@ def test_topk_blocks_shards_and_ties(spark):
         best = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in whole if i != q)[:4]
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     assert got == sorted(want)
+
+
+def naive_score(lexicon, text):
+    """The lexicon's score by looking at every position of the folded text."""
+    best = (0.0, 0.0)
+    for f in foldings(text or ""):
+        safe = {i for e in lexicon.exceptions for m in range(len(f)) if f.startswith(f" {e} ", m) for i in range(m, m + len(e) + 1)}
+        weight = 0.0
+        for at in range(len(f)):
+            held = [x for x in lexicon.stems if f.startswith(f" {x}", at)]
+            if held and at not in safe:
+                weight += lexicon.stems[max(held, key=len)]
+        if weight and text:
+            best = max(best, (math.log1p(weight), 100 * weight / max(f.count(" ") - 1, 1)))
+    return lexicon.score(best)
+
+
+def test_toxicity_query_equals_naive_matcher(spark):
+    d, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    lexicon = fit_toxicity(d, labels)
+    got = {r.doc_id: r for r in q.op8_toxicity(spark, SF).collect()}
+    rows = d.collect()
+    assert len(got) == len(rows)
+    for r in rows[:120]:
+        want = naive_score(lexicon, r.text)
+        assert abs(got[r.doc_id].score - want) < 1e-12 and got[r.doc_id].predicted == int(want >= 0.3)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_language_query_equals_step_by_step_network(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    net = fit_languages(d)
+    got = {r.doc_id: r for r in q.op4_language_id(spark, SF).collect()}
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    rows = d.collect()
+    assert len(got) == len(rows)
+    for r in rows[:25]:
+        raw, total, n = (r.text or "").encode(), np.zeros(len(net.labels)), 0
+        for lo in range(0, len(raw), net.window):
+            x = list(raw[lo : lo + net.window].ljust(net.window, b"\0"))
+            logits = np.tile(net.params["c"].astype(float), (net.window, 1))
+            for way, steps in (("f", range(net.window)), ("b", range(net.window - 1, -1, -1))):
+                h, k = np.zeros(net.hidden), net.hidden
+                for t in steps:
+                    a, u = net.params[f"t{way}"][x[t]].astype(float), net.params[f"u{way}"].astype(float)
+                    z, g = sigmoid(a[:k] + h @ u[:, :k]), sigmoid(a[k : 2 * k] + h @ u[:, k : 2 * k])
+                    h = (1 - z) * h + z * np.tanh(a[2 * k :] + (g * h) @ u[:, 2 * k :])
+                    logits[t] += h @ net.params[f"v{way}"].astype(float)
+            p = np.exp(logits - logits.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            for t in range(net.window):
+                if 65 <= x[t] <= 90 or 97 <= x[t] <= 122 or x[t] >= 128:
+                    total, n = total + p[t], n + 1
+        if n and any(map(str.isalpha, r.text)):
+            assert got[r.doc_id].lang_pred == net.labels[int(total.argmax())] and abs(got[r.doc_id].score - total.max() / n) < 1e-3
+        else:
+            assert got[r.doc_id].lang_pred == "und"
+
+
+def test_sharding_query_keeps_its_law(spark):
+    rows = q.op5_sharding(spark, SF).collect()
+    p = check_shards(rows)
+    want = {r.doc_id: ((r.text or "").encode()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {r.doc_id: (r["size"], r.text_crc32) for r in rows} == {i: (len(t) + 1, zlib.crc32(t)) for i, t in want.items()}
+    # sorted by the hash of the text: equal texts lie side by side, and a group spans neighbouring shards only
+    place = p.sort_values(["shard", "slot"]).reset_index(drop=True)
+    text = place["doc_id"].map(want)
+    for _, at in text.groupby(text).groups.items():
+        assert max(at) - min(at) == len(at) - 1
