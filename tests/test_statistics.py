@@ -330,7 +330,7 @@ def test_p_adjust_queries_over_all_parts(spark, tmp_path):
     down, up = (lambda v: np.maximum.accumulate(v)), (lambda v: np.minimum.accumulate(v[::-1])[::-1])
     v = p[order]
     want = {"holm": down(v * (n - r + 1)), "hochberg": up(v * (n - r + 1)), "BH": up(v * n / r), "BY": up(v * n / r * (1 / r).sum()), "bonferroni": v * n}
-    got = QUERIES["p_adjust_methods_whole"](spark, str(tmp_path)).toPandas()
+    got = QUERIES["p_adjust_methods"](spark, str(tmp_path)).toPandas()
     assert len(got) == 5 * n
     for m, w in want.items():
         assert np.allclose(got[got.method == m].sort_values("k")["p_adjusted"].to_numpy()[order], np.minimum(1, w), atol=1e-8), m
