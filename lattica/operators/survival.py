@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from lattica.functions import dist
 from lattica.functions.design import build
+from lattica.operators.cox import coxph
 from lattica.operators.regression import Fit, glm
 from lattica.plans.finish import frame
 
@@ -77,84 +78,6 @@ def log_rank(df: DataFrame, time: str, event: str, group: str, rho: float = 0.0)
     return frame(df.sparkSession, rows, "grp string, observed double, expected double, statistic double, df double, p_value double")
 
 
-def coxph(df: DataFrame, time: str, event: str, terms: list, strata: str | None = None, ties: str = "efron", tol: float = 1e-9, max_iter: int = 20) -> Fit:
-    """Cox regression by Newton steps on the partial likelihood.
-
-    Each step sums risk-set moments a distinct time in Spark (sum of exp(eta), times x, times xx');
-    reverse cumulation over the collapsed table of times gives score and information. Rows of subjects
-    never leave the executors.
-    """
-    d = build(df, terms, intercept=False)
-    k = len(d.columns)
-    st = F.col(strata).cast("string") if strata else F.lit("")
-    rows = df.select(st.alias("st"), F.col(time).cast("double").alias("t"), F.col(event).cast("double").alias("e"), *(c.alias(f"x{i}") for i, c in enumerate(d.columns))).dropna().persist()
-    means = np.array([float(v) for v in rows.agg(*(F.avg(f"x{i}") for i in range(k))).first()])
-    tri = [(i, j) for i in range(k) for j in range(i, k)]
-
-    def moments(beta):
-        eta = sum((F.lit(float(beta[i])) * (F.col(f"x{i}") - float(means[i])) for i in range(k)), F.lit(0.0))
-        z = [F.col(f"x{i}") - float(means[i]) for i in range(k)]
-        r = rows.withColumn("w", F.exp(eta)).withColumn("eta", eta)
-        e = F.col("e")
-        aggs = [F.sum("w"), *(F.sum(F.col("w") * z[i]) for i in range(k)), *(F.sum(F.col("w") * z[i] * z[j]) for i, j in tri)]
-        dead = [F.sum(e), F.sum(e * F.col("eta")), *(F.sum(e * z[i]) for i in range(k)), F.sum(e * F.col("w")), *(F.sum(e * F.col("w") * z[i]) for i in range(k)), *(F.sum(e * F.col("w") * z[i] * z[j]) for i, j in tri)]
-        return r.groupBy("st", "t").agg(*(c.alias(f"a{i}") for i, c in enumerate([*aggs, *dead])))
-
-    def square(v):
-        m = np.zeros((k, k))
-        for c, (i, j) in enumerate(tri):
-            m[i, j] = m[j, i] = v[c]
-        return m
-
-    q = 1 + k + len(tri)
-
-    def stratum(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = pdf.sort_values("t", ascending=False).drop(columns=["st", "t"]).to_numpy(float)
-        risk = np.cumsum(a[:, :q], axis=0)
-        ll, score, info = 0.0, np.zeros(k), np.zeros((k, k))
-        for row, s in zip(a, risk):
-            n = int(round(row[q]))
-            if not n:
-                continue
-            ll += row[q + 1]
-            score += row[q + 2 : q + 2 + k]
-            own = row[q + 2 + k :]
-            for m in range(n):
-                v = s - (m / n) * own if ties == "efron" else s
-                mean = v[1 : 1 + k] / v[0]
-                ll -= math.log(v[0])
-                score -= mean
-                info += square(v[1 + k :]) / v[0] - np.outer(mean, mean)
-        return pd.DataFrame({"v": [[ll, *score, *info.ravel()]]})
-
-    def step(beta):
-        got = moments(beta).groupBy("st").applyInPandas(stratum, "v array<double>").select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).toPandas()
-        out = np.zeros(len(got))
-        out[got["i"]] = got["x"]
-        return out[0], out[1 : 1 + k], out[1 + k :].reshape(k, k)
-
-    try:
-        beta, (ll, score, info) = np.zeros(k), step(np.zeros(k))
-        first = ll
-        for it in range(1, max_iter + 1):
-            move = np.linalg.solve(info, score)
-            while True:
-                new = step(beta + move)
-                if new[0] >= ll - 1e-10 * abs(ll) or np.abs(move).max() < 1e-12:
-                    break
-                move = move / 2
-            beta, done = beta + move, abs(new[0] - ll) < tol * abs(new[0])
-            ll, score, info = new
-            if done:
-                break
-        n, events = (int(v) for v in rows.agg(F.count("*"), F.sum("e")).first())
-    finally:
-        rows.unpersist()
-    cov = np.linalg.inv(info)
-    lr = 2 * (ll - first)
-    return Fit(d.labels, beta, np.sqrt(np.diag(cov)), cov, n, n - k, 1.0, {"log_lik": ll, "log_lik_null": first, "lr": lr, "lr_p_value": dist.chi2_sf(lr, k), "events": events, "iterations": it}, use_t=False)
-
-
 def person_period(df: DataFrame, time: str, event: str) -> DataFrame:
     """One row a subject and period lived through; the event falls into the last. Periods are 1, 2, ..."""
     t = F.col(time).cast("int")
