@@ -259,6 +259,32 @@ def tukey_ppf(p: float, k: int, df: float) -> float:
     return _solve(lambda v: -tukey_sf(v, k, df), 0.0, 200.0, p - 1, 60)
 
 
+def dunnett_cdf(q: float, share: tuple[float, ...], df: float) -> float:
+    """P(max |T_i| <= q) of t statistics with correlations l_i l_j, `share` holding l_i squared: quadrature over the common part and the scale."""
+    if q <= 0:
+        return 0.0
+    z, wz = _legendre(96, -8.5, 8.5)
+    sd = math.sqrt(0.5 / df)
+    s, ws = _legendre(64, max(1e-6, 1 - 9 * sd), 1 + 9 * sd + 3 / df) if df <= 25_000 else (np.ones(1), np.ones(1))
+    logd = math.log(2) + df / 2 * math.log(df / 2) - math.lgamma(df / 2) + (df - 1) * np.log(s) - df * s * s / 2 if df <= 25_000 else np.zeros(1)
+    inside = np.ones((len(s), len(z)))
+    for v in share:
+        l, rest = math.sqrt(v), math.sqrt(1 - v)
+        inside *= _ncdf((l * z[None, :] + q * s[:, None]) / rest) - _ncdf((l * z[None, :] - q * s[:, None]) / rest)
+    return float(np.clip((np.exp(logd) * ws) @ inside @ (np.exp(-z * z / 2) / math.sqrt(2 * math.pi) * wz), 0.0, 1.0))
+
+
+@lru_cache(256)
+def dunnett_ppf(p: float, share: tuple[float, ...], df: float) -> float:
+    lo, hi = 0.0, 2.0
+    while dunnett_cdf(hi, share, df) < p:
+        lo, hi = hi, 2 * hi
+    for _ in range(40):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if dunnett_cdf(mid, share, df) < p else (lo, mid)
+    return (lo + hi) / 2
+
+
 def digamma(x: float) -> float:
     out = 0.0
     while x < 12:

@@ -101,13 +101,21 @@ def levene_test(df: DataFrame, y: str, group: str, location: str = "median") ->
 
 
 def anova_posthoc(df: DataFrame, y: str, group: str, method: str = "tukey", control: str | None = None, conf_level: float = 0.95) -> DataFrame:
-    """All pairs of groups (or all against `control`): tukey, bonferroni, games-howell or dunnett (Bonferroni-bounded)."""
+    """All pairs of groups (or all against `control`): tukey, bonferroni, games-howell or dunnett.
+
+    `dunnett` integrates the joint distribution of the comparisons; cohens_d divides by the pair's pooled deviation.
+    """
     g = group_moments(df, y, group)
     rows = {str(r[group]): (r["n"], r["mean"], r["var"]) for r in g.collect()}
     k, n = len(rows), sum(r[0] for r in rows.values())
     dfe = n - k
     mse = sum((r[0] - 1) * r[2] for r in rows.values()) / dfe
     pairs = [(a, b) for a, b in combinations(sorted(rows), 2)] if method != "dunnett" else [(control or sorted(rows)[0], b) for b in sorted(rows) if b != (control or sorted(rows)[0])]
+    if method not in ("tukey", "bonferroni", "games-howell", "dunnett"):
+        raise ValueError(f"no post-hoc method {method!r}")
+    if method == "dunnett" and pairs[0][0] not in rows:
+        raise ValueError(f"no control group {control!r}")
+    share = tuple(rows[b][0] / (rows[b][0] + rows[a][0]) for a, b in pairs) if method == "dunnett" else ()
     out = []
     for a, b in pairs:
         (n1, m1, v1), (n2, m2, v2) = rows[a], rows[b]
@@ -119,26 +127,52 @@ def anova_posthoc(df: DataFrame, y: str, group: str, method: str = "tukey", cont
         stat = diff / se
         if method in ("tukey", "games-howell"):
             p, half = dist.tukey_sf(abs(stat) * math.sqrt(2), k, d), dist.tukey_ppf(conf_level, k, d) / math.sqrt(2) * se
+        elif method == "dunnett":
+            p, half = 1 - dist.dunnett_cdf(abs(stat), share, d), dist.dunnett_ppf(conf_level, share, d) * se
         else:
             p = min(1.0, 2 * dist.t_sf(abs(stat), d) * len(pairs))
             half = dist.t_ppf(1 - (1 - conf_level) / (2 * len(pairs)), d) * se
-        out.append((a, b, float(diff), float(se), float(stat), float(d), float(p), float(diff - half), float(diff + half)))
-    return frame(df.sparkSession, out, "group1 string, group2 string, diff double, std_error double, statistic double, df double, p_value double, conf_low double, conf_high double")
+        pooled = math.sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2))
+        out.append((a, b, float(diff), float(se), float(stat), float(d), float(p), float(diff - half), float(diff + half), float(diff / pooled) if pooled else math.nan))
+    return frame(df.sparkSession, out, "group1 string, group2 string, diff double, std_error double, statistic double, df double, p_value double, conf_low double, conf_high double, cohens_d double")
 
 
-def anova_rm(df: DataFrame, y: str, subject: str, within: str) -> DataFrame:
-    """One within-subject factor: F with sphericity corrections (Greenhouse-Geisser, Huynh-Feldt).
-
-    Subjects are pivoted to rows of level means; their covariance matrix is one pass.
-    """
+def _within(df: DataFrame, y: str, subject: str, within: str) -> tuple[float, np.ndarray, np.ndarray]:
+    """Subjects with every level, means of the levels and their covariance, in one pass over subjects pivoted to rows."""
     lv = [r[0] for r in df.where(F.col(within).isNotNull()).select(F.col(within).cast("string")).distinct().orderBy(F.col(within).cast("string")).collect()]
     wide = df.groupBy(subject).agg(*(F.avg(F.when(F.col(within).cast("string") == v, number(y))).alias(f"v{i}") for i, v in enumerate(lv))).dropna()
     k = len(lv)
-    cols = [f"v{i}" for i in range(k)]
-    s = block_sum(wide, [F.lit(1.0), *cols], lambda m: m.T @ m).reshape(k + 1, k + 1)
+    s = block_sum(wide, [F.lit(1.0), *(f"v{i}" for i in range(k))], lambda m: m.T @ m).reshape(k + 1, k + 1)
     n = s[0, 0]
     mean = s[0, 1:] / n
-    cov = (s[1:, 1:] - n * np.outer(mean, mean)) / (n - 1)
+    return n, mean, (s[1:, 1:] - n * np.outer(mean, mean)) / (n - 1)
+
+
+def mauchly_test(df: DataFrame, y: str, subject: str, within: str) -> DataFrame:
+    """Mauchly's W for sphericity of the levels' contrasts, with the second-order chi-squared approximation of its p-value."""
+    n, mean, cov = _within(df, y, subject, within)
+    p = len(mean) - 1
+    # Contrasts: an orthonormal basis of what is orthogonal to the mean.
+    c = np.linalg.svd(np.eye(p + 1) - 1 / (p + 1))[0][:, :p]
+    roots = np.linalg.eigvalsh(c.T @ cov @ c)
+    w = float(np.clip(np.prod(roots / roots.mean()), 0.0, 1.0)) if roots.mean() > 0 else 0.0
+    d, m = p * (p + 1) / 2 - 1, n - 1
+    rho = 1 - (2 * p * p + p + 2) / (6 * p * m)
+    pv = math.nan if d <= 0 else 0.0
+    if w > 0 and d > 0:
+        z = -m * rho * math.log(w)
+        second = (p + 2) * (p - 1) * (p - 2) * (2 * p**3 + 6 * p * p + 3 * (p + 1) + 2) / (288 * (m * p * rho) ** 2)
+        pv = (1 - second) * dist.chi2_sf(z, d) + second * dist.chi2_sf(z, d + 4)
+    return frame(df.sparkSession, [(within, w, d, pv)], "term string, w double, df double, p_value double")
+
+
+def anova_rm(df: DataFrame, y: str, subject: str, within: str) -> DataFrame:
+    """One within-subject factor: F with sphericity corrections (Greenhouse-Geisser, Huynh-Feldt).
+
+    Subjects are pivoted to rows of level means; their covariance matrix is one pass.
+    """
+    n, mean, cov = _within(df, y, subject, within)
+    k = len(mean)
     centre = np.eye(k) - 1 / k
     sc = centre @ cov @ centre
     ssa, sse = n * ((mean - mean.mean()) ** 2).sum(), (n - 1) * np.trace(sc)

@@ -155,3 +155,18 @@ def predict_multinomial(df: DataFrame, terms: list, fit: Fit, keep: list[str] |
     names = [*names, "reference"]
     best = F.array_position(F.array(*eta), top)
     return df.select(*(keep or []), *((F.exp(e - top) / total).alias(f"p_{n}") for e, n in zip(eta, names)), F.element_at(F.array(*map(F.lit, names)), best.cast("int")).alias("predicted"))
+
+
+def predict_ordinal(df: DataFrame, terms: list, fit: Fit, link: str = "logit", keep: list[str] | None = None) -> DataFrame:
+    """Probabilities p_0, p_1, ... of the outcomes and the likeliest of every row; column expressions but for probit, which has no built-in."""
+    d = build(df, terms, intercept=False)
+    p = len(d.columns)
+    eta = sum((c.cast("double") * float(b) for c, b in zip(d.columns, fit.coef)), F.lit(0.0))
+    cdf = {
+        "logit": lambda e: 1 / (1 + F.exp(-e)), "loglog": lambda e: F.exp(-F.exp(-e)), "cloglog": lambda e: -F.expm1(-F.exp(e)), "cauchit": lambda e: F.atan(e) / math.pi + 0.5,
+        "probit": F.pandas_udf(lambda e: e.map(dist.norm_cdf, na_action="ignore"), "double") if link == "probit" else None,
+    }[link]
+    below = [F.lit(0.0), *(cdf(F.lit(float(z)) - eta) for z in fit.coef[p:]), F.lit(1.0)]
+    probs = [hi - lo for lo, hi in zip(below, below[1:])]
+    rows = df.select(*(keep or []), F.array(*probs).alias("_p"))
+    return rows.select(*(keep or []), *(F.col("_p")[i].alias(f"p_{i}") for i in range(len(probs))), (F.array_position("_p", F.array_max("_p")) - 1).cast("int").alias("predicted"))

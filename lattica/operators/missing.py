@@ -177,9 +177,6 @@ def punch_holes(df: DataFrame, cols: list[str], prop: float, seed: int = 1) -> D
     return df.withColumns({c: F.when(F.rand(seed + i) >= prop, F.col(c)) for i, c in enumerate(cols)})
 
 
-__all__ = ["little_mcar", "mice", "mvn_mle", "pattern_moments", "patterns", "pd", "pool", "punch_holes"]
-
-
 def is_monotone(df: DataFrame, cols: list[str]) -> bool:
     """Whether the columns, ordered by missing values, are each observed only where the one before is."""
     pats = [r.pattern for r in patterns(df, cols).collect()]

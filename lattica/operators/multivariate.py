@@ -97,3 +97,25 @@ def factor_analysis(df: DataFrame, cols: list[str], n_factors: int, rotation: st
     load = signed(load)
     rows = [(c, i + 1, float(load[j, i]), float(psi[j]), float(stat), float(d), float(pv)) for j, c in enumerate(cols) for i in range(n_factors)]
     return frame(df.sparkSession, rows, "variable string, factor int, loading double, uniqueness double, statistic double, df double, p_value double")
+
+
+def factor_scores(df: DataFrame, cols: list[str], factors: DataFrame, method: str = "regression", keep: list[str] | None = None) -> DataFrame:
+    """Scores factor_1, ... of every row from the loadings that `factor_analysis` returned: Thomson's (regression) or Bartlett's.
+
+    Column expressions on standardised variables; a row with a missing value gets null scores.
+    """
+    got = {(r["variable"], r["factor"]): (r["loading"], r["uniqueness"]) for r in factors.collect()}  # a row a variable and factor
+    k = max(f for _, f in got)
+    load = np.array([[got[c, f][0] for f in range(1, k + 1)] for c in cols])
+    psi = np.array([got[c, 1][1] for c in cols])
+    _, mean, s = moments(df, cols)
+    sd = np.sqrt(np.diag(s))
+    if method == "regression":
+        weight = np.linalg.solve(s / np.outer(sd, sd), load)
+    elif method == "bartlett":
+        scaled = load / psi[:, None]
+        weight = scaled @ np.linalg.inv(load.T @ scaled)
+    else:
+        raise ValueError(f"no scoring method {method!r}")
+    score = lambda f: sum(((F.col(c).cast("double") - float(mean[j])) * float(weight[j, f] / sd[j]) for j, c in enumerate(cols)), F.lit(0.0))
+    return df.select(*(keep or []), *(score(f).alias(f"factor_{f + 1}") for f in range(k)))

@@ -158,6 +158,30 @@ def family_of(name: str, theta: float | None = None):
     return (*base[:4], False) if quasi else base
 
 
+def _lgamma(v: np.ndarray) -> np.ndarray:
+    u, back = np.unique(v, return_inverse=True)
+    return np.array([math.lgamma(x) for x in u])[back]
+
+
+def _log_lik(family: str, y: np.ndarray, mu: np.ndarray, w: np.ndarray, scale: float, theta: float | None) -> float:
+    """Log likelihood of a block; `scale` is the mean deviance. Quasi families have none."""
+    use = w > 0
+    y, mu, w = y[use], mu[use], w[use]
+    if family == "gaussian":  # `scale` here is the deviance by the number of rows: weights divide the variance
+        return float((-0.5 * (math.log(2 * math.pi * scale) + 1 - np.log(w))).sum())
+    if family == "binomial":
+        return float((_lgamma(w + 1) - _lgamma(w * y + 1) - _lgamma(w - w * y + 1) + np.where(y > 0, w * y * np.log(np.where(y > 0, mu, 1.0)), 0.0) + np.where(y < 1, w * (1 - y) * np.log1p(-np.where(y < 1, mu, 0.0)), 0.0)).sum())
+    if family == "poisson":
+        return float((w * (y * np.log(mu) - mu - _lgamma(y + 1))).sum())
+    if family == "gamma":
+        return float((w * ((1 / scale - 1) * np.log(y) - y / (mu * scale) - np.log(mu * scale) / scale - math.lgamma(1 / scale))).sum())
+    if family == "inverse_gaussian":
+        return float((-0.5 * w * (math.log(2 * math.pi * scale) + 1 + 3 * np.log(y))).sum())
+    if family == "negative_binomial":
+        return float((w * (_lgamma(y + theta) - math.lgamma(theta) - _lgamma(y + 1) + theta * np.log(theta / (theta + mu)) + np.where(y > 0, y * np.log(mu / (theta + mu)), 0.0))).sum())
+    return math.nan
+
+
 def glm(df: DataFrame, y: str, terms: list, family: str = "binomial", link: str | None = None, weights: str | None = None, offset: str | None = None, theta: float | None = None, l2: float = 0.0, tol: float = 1e-8, max_iter: int = 25) -> Fit:
     """Iteratively reweighted least squares; each step is one pass that sums X'WX, X'Wz and the deviance.
 
@@ -204,14 +228,27 @@ def glm(df: DataFrame, y: str, terms: list, family: str = "binomial", link: str
         else:
             raise ArithmeticError(f"the deviance did not settle in {max_iter} steps")
         mean = s[3] / s[4]
-        null = block_sum(rows, names, lambda m: np.array([(m[:, k + 1] * deviance(m[:, k], np.full(len(m), mean))).sum()]))[0]
+        scale = float(s[0] / (s[2] if family == "gaussian" else s[4]))
+
+        def close(m):
+            mu = mu_of(m[:, :k] @ beta + m[:, k + 2])
+            return np.array([(m[:, k + 1] * deviance(m[:, k], np.full(len(m), mean))).sum(), _log_lik(family, m[:, k], mu, m[:, k + 1], scale, theta)])
+
+        null, ll = block_sum(rows, names, close)
+        if offset:
+            # With an offset the null model has no common mean, so it's fitted.
+            null = glm(rows, f"c{k}", [], family, link, f"c{k + 1}", f"c{k + 2}", theta).info["deviance"] if k > 1 else s[0]
     finally:
         rows.unpersist()
     n = int(s[2])
-    dfr = n - k
+    size = np.sqrt(np.maximum(np.diag(xwx), 1e-300))
+    rank = int(np.linalg.matrix_rank(xwx / np.outer(size, size), tol=1e-10, hermitian=True))
+    dfr = n - rank
     disp = 1.0 if known else float(s[1] / dfr)
     cov = np.linalg.pinv(xwx + pen) * disp
     info = {"deviance": float(s[0]), "null_deviance": float(null), "pearson": float(s[1]), "iterations": it, "family": family, "link": link or default}
+    free = rank + (family in ("gaussian", "gamma", "inverse_gaussian", "negative_binomial"))
+    info |= {"rank": rank, "log_lik": float(ll), "aic": float(2 * free - 2 * ll), "bic": float(math.log(n) * free - 2 * ll)}
     return Fit(d.labels, beta, np.sqrt(np.diag(cov)) if not l2 else np.full(k, np.nan), cov, n, dfr, disp, info, use_t=not known)
 
 
@@ -264,9 +301,6 @@ def drop1(df: DataFrame, y: str, terms: list, family: str | None = None) -> Data
     return frame(spark, rows, "term string, df double, change double, statistic double, p_value double")
 
 
-__all__ = ["Design", "Fit", "drop1", "glm", "lm", "negative_binomial", "ridge", "simple_ols"]
-
-
 def diagnostics(df: DataFrame, y: str, terms: list, fit: Fit, keep: list[str] | None = None) -> DataFrame:
     """Fitted value, residual, leverage, internally studentised residual and Cook's distance of every row of a linear fit.
 
@@ -284,6 +318,30 @@ def diagnostics(df: DataFrame, y: str, terms: list, fit: Fit, keep: list[str] |
     return rows.select(*(keep or []), "fitted", "residual", "leverage", "studentised", cook.alias("cooks_distance"))
 
 
+def glm_residuals(df: DataFrame, y: str, terms: list, fit: Fit, weights: str | None = None, offset: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Fitted mean, linear predictor, and the response, working, Pearson and deviance residuals of every complete row of a `glm`; no shuffle."""
+    _, variance, deviance, _, _ = family_of(fit.info["family"], fit.info.get("theta"))
+    mu_of, slope = LINKS[fit.info["link"]][1:]
+    d, beta = build(df, terms, True), fit.coef
+    k, keep = len(d.columns), keep or []
+    cols = [*d.columns, F.col(y), F.col(weights) if weights else F.lit(1.0), F.col(offset) if offset else F.lit(0.0)]
+    names = [f"_c{i}" for i in range(k + 3)]
+    rows = df.select(*keep, *(c.cast("double").alias(n) for c, n in zip(cols, names))).dropna(subset=names)
+    out = ["fitted", "linear_predictor", "response", "working", "pearson", "deviance"]
+
+    def run(batches):
+        for b in batches:
+            m = b[names].to_numpy(float)
+            t, w, eta = m[:, k], m[:, k + 1], m[:, :k] @ beta + m[:, k + 2]
+            mu = mu_of(eta)
+            unit = np.maximum(w * deviance(t, mu), 0.0)
+            got = [mu, eta, t - mu, (t - mu) / slope(eta), (t - mu) * np.sqrt(w / variance(mu)), np.sign(t - mu) * np.sqrt(unit)]
+            yield b[keep].assign(**dict(zip(out, got)))
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema) if keep else ""
+    return rows.mapInPandas(run, ", ".join([*([kept] if kept else []), *(f"{n} double" for n in out)]))
+
+
 def deviance_table(df: DataFrame, y: str, terms: list, family: str = "binomial") -> DataFrame:
     """Sequential analysis of deviance: a row a term added, tested by chi-squared or, with free dispersion, by F."""
     fits = [glm(df, y, terms[:k], family) for k in range(len(terms) + 1)]

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lattica.functions import dist
+
 
 def positions(df: DataFrame, order: str, value: str, key: str | None = None) -> DataFrame:
     """(key, t, y): values by their place from 1 in each series."""
@@ -96,8 +98,40 @@ def kpss(series: DataFrame, trend: bool = False) -> DataFrame:
     return per_series(series, run, "statistic double, lags int, p_value double")
 
 
+#: MacKinnon's published surfaces for one series. The p-value is the normal distribution at a polynomial in
+#: the statistic (ascending): a lower one up to `turn`, an upper one beyond, 0 below `least`, 1 above `most`. Critical values are
+#: polynomials in 1 / n (ascending).
+ADF_SURFACES = {
+    "nc": {
+        "least": -19.04, "turn": -1.04, "most": math.inf, "lower": (0.6344, 1.2378, 0.032496), "upper": (0.4797, 0.93557, -0.06999, 0.033066),
+        "1%": (-2.56574, -2.2358, -3.627, 0.0), "5%": (-1.94100, -0.2686, -3.365, 31.223), "10%": (-1.61682, 0.2656, -2.714, 25.364),
+    },
+    "c": {
+        "least": -18.83, "turn": -1.61, "most": 2.74, "lower": (2.1659, 1.4412, 0.038269), "upper": (1.7339, 0.93202, -0.12745, -0.010368),
+        "1%": (-3.43035, -6.5393, -16.786, -79.433), "5%": (-2.86154, -2.8903, -4.234, -40.040), "10%": (-2.56677, -1.5384, -2.809, 0.0),
+    },
+    "ct": {
+        "least": -16.18, "turn": -2.89, "most": 0.70, "lower": (3.2512, 1.6047, 0.049588), "upper": (2.5261, 0.61654, -0.37956, -0.060285),
+        "1%": (-3.95877, -9.0531, -28.428, -134.155), "5%": (-3.41049, -4.3904, -9.036, -45.374), "10%": (-3.12705, -2.5856, -3.925, -22.380),
+    },
+}
+
+
+def adf_p_value(statistic: float, regression: str) -> float:
+    """Asymptotic p-value of a Dickey-Fuller t statistic."""
+    s = ADF_SURFACES[regression]
+    if not s["least"] <= statistic <= s["most"]:
+        return math.nan if math.isnan(statistic) else float(statistic > s["most"])
+    return float(dist.norm_cdf(np.polynomial.polynomial.polyval(statistic, s["lower" if statistic <= s["turn"] else "upper"])))
+
+
+def adf_critical(regression: str, n: int) -> list[float]:
+    """Critical values at 1, 5 and 10 % of a test on `n` differences."""
+    return [float(np.polynomial.polynomial.polyval(1 / n, ADF_SURFACES[regression][level])) for level in ("1%", "5%", "10%")]
+
+
 def adf(series: DataFrame, lags: int | None = None, regression: str = "ct") -> DataFrame:
-    """Augmented Dickey-Fuller t statistic: without constant (nc), with constant (c), or with trend (ct)."""
+    """Augmented Dickey-Fuller t statistic: without constant (nc), with constant (c), or with trend (ct); p-value and critical values."""
     fixed = {"nc": 0, "c": 1, "ct": 2}[regression]
 
     def run(y):
@@ -107,9 +141,11 @@ def adf(series: DataFrame, lags: int | None = None, regression: str = "ct") -> D
         m = len(z)
         x = np.column_stack([*[np.ones(m - k), np.arange(k + 1, m + 1)][:fixed], y[k : n - 1], *(z[k - j : m - j] for j in range(1, k + 1))])
         b, se, _ = _ols(x, z[k:])
-        return pd.DataFrame({"statistic": [float(b[fixed] / se[fixed])], "lags": [k]})
+        stat = float(b[fixed] / se[fixed])
+        crit = adf_critical(regression, m - k)
+        return pd.DataFrame([(stat, k, adf_p_value(stat, regression), *crit)], columns=["statistic", "lags", "p_value", "crit_1", "crit_5", "crit_10"])
 
-    return per_series(series, run, "statistic double, lags int")
+    return per_series(series, run, "statistic double, lags int, p_value double, crit_1 double, crit_5 double, crit_10 double")
 
 
 def decompose(series: DataFrame, period: int, kind: str = "additive") -> DataFrame:
