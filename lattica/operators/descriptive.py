@@ -92,33 +92,34 @@ def quantile_position(n: Column, p: float, kind: int) -> tuple[Column, Column]:
     return j, F.when(F.abs(h) < fuzz, 0.0).otherwise(h)
 
 
-def quantile(df: DataFrame, col: str, probs: tuple[float, ...] = FIVE, quantile_type: int = 7, by: list[str] | None = None) -> DataFrame:
-    """(by, prob, value) for one of the nine sample quantile types, exact at any size.
+def quantile(df: DataFrame, col: str, probs: tuple[float, ...] = FIVE, quantile_type: int | tuple[int, ...] = 7, by: list[str] | None = None) -> DataFrame:
+    """(by, prob, value) for one of the nine sample quantile types, exact at any size; (by, kind, prob, value) for several.
 
     Order statistics are looked up in the cumulative counts of distinct values, which stay distributed.
     """
-    if not 1 <= quantile_type <= 9 or any(not 0 <= p <= 1 for p in probs):
+    kinds = (quantile_type,) if isinstance(quantile_type, int) else tuple(quantile_type)
+    if any(not 1 <= kind <= 9 for kind in kinds) or any(not 0 <= p <= 1 for p in probs):
         raise ValueError("quantile types are 1 to 9 and probabilities 0 to 1")
     by = by or []
     df = df.withColumn(col, number(col))
     counts = cumulative_counts(df, col, by)
     n = df.groupBy(*by).agg(F.count(col).alias("n"))
     spots = []
-    for p in probs:
-        j, g = quantile_position(F.col("n"), p, quantile_type)
+    for kind, p in ((kind, p) for kind in kinds for p in probs):
+        j, g = quantile_position(F.col("n"), p, kind)
         lo = F.least(F.greatest(j, F.lit(1)), F.col("n"))
-        spots.append(F.struct(F.lit(float(p)).alias("prob"), lo.cast("long").alias("lo"), F.least(F.greatest(j + 1, F.lit(1)), F.col("n")).cast("long").alias("hi"), g.cast("double").alias("g")))
+        spots.append(F.struct(F.lit(kind).alias("kind"), F.lit(float(p)).alias("prob"), lo.cast("long").alias("lo"), F.least(F.greatest(j + 1, F.lit(1)), F.col("n")).cast("long").alias("hi"), g.cast("double").alias("g")))
     wanted = n.where("n > 0").select(*by, F.explode(F.array(*spots)).alias("s")).select(*by, "s.*")
-    ends = wanted.select(*by, "prob", "g", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("lo").alias("k")), F.struct(F.lit(1).alias("end"), F.col("hi").alias("k")))).alias("e"))
-    ends = ends.select(*by, "prob", "g", "e.*")
+    ends = wanted.select(*by, "kind", "prob", "g", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("lo").alias("k")), F.struct(F.lit(1).alias("end"), F.col("hi").alias("k")))).alias("e"))
+    ends = ends.select(*by, "kind", "prob", "g", "e.*")
     match = (F.col("k") > F.col("before")) & (F.col("k") <= F.col("before") + F.col("count"))
-    small = F.broadcast(ends.select(*(F.col(b).alias(f"_{b}") for b in by), "prob", "g", "end", "k"))  # two rows a probability and group
+    small = F.broadcast(ends.select(*(F.col(b).alias(f"_{b}") for b in by), "kind", "prob", "g", "end", "k"))  # two rows a type, probability and group
     for b in by:
         match = match & F.col(b).eqNullSafe(F.col(f"_{b}"))
     hit = counts.join(small, match)
     pick = lambda e: F.max(F.when(F.col("end") == e, F.col("value")))
-    return hit.groupBy(*by, "prob").agg(pick(0).alias("x0"), pick(1).alias("x1"), F.first("g").alias("g")).select(
-        *by, "prob", F.when(F.col("g") == 0, F.col("x0")).when(F.col("g") == 1, F.col("x1")).otherwise((1 - F.col("g")) * F.col("x0") + F.col("g") * F.col("x1")).alias("value")
+    return hit.groupBy(*by, "kind", "prob").agg(pick(0).alias("x0"), pick(1).alias("x1"), F.first("g").alias("g")).select(
+        *by, *([] if isinstance(quantile_type, int) else ["kind"]), "prob", F.when(F.col("g") == 0, F.col("x0")).when(F.col("g") == 1, F.col("x1")).otherwise((1 - F.col("g")) * F.col("x0") + F.col("g") * F.col("x1")).alias("value")
     )
 
 

@@ -128,23 +128,69 @@ def boot_ci(observed: float, replicates: DataFrame, kind: str = "percentile", co
     return q(adj(a)), q(adj(1 - a))
 
 
+#: Rows that a block of values holds about, and the rows that the generator's draws without replacement allow.
+ROWS_PER_BLOCK, MOST_ROWS = 100_000, 1_000_000_000
+
+
+def _relabelled_sums(d: DataFrame, n: int, n1: int, n_resamples: int, seed: int) -> DataFrame:
+    """(rep, s): the sum of `v` over `n1` of the `n` rows drawn without replacement, for each replicate.
+
+    Values are dealt into blocks by their hash, so blocks and draws don't depend on partitions. A replicate
+    first draws how many of its rows each block gives, then each block draws them among its values' counts:
+    together one uniform draw. A value of any frequency is one row, and no task sees all values.
+    """
+    blocks = max(1, n // ROWS_PER_BLOCK)
+    counts = d.groupBy(F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int").alias("block"), "v").agg(F.count("*").alias("n"))
+    sizes = np.zeros(blocks, np.int64)
+    for r in counts.groupBy("block").agg(F.sum("n").alias("n")).collect():  # one row a block
+        sizes[r["block"]] = r["n"]
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("v")
+        v, c, b = pdf["v"].to_numpy(), pdf["n"].to_numpy(np.int64), int(key[0])
+        sums = np.empty(n_resamples)
+        for rep in range(n_resamples):
+            share = np.random.default_rng([seed, rep]).multivariate_hypergeometric(sizes, n1)[b]
+            sums[rep] = np.random.default_rng([seed, rep, b + 1]).multivariate_hypergeometric(c, share) @ v
+        return pd.DataFrame({"rep": np.arange(n_resamples), "s": sums})
+
+    return counts.groupBy("block").applyInPandas(run, "rep long, s double").groupBy("rep").agg(F.sum("s").alias("s"))
+
+
 def permutation_test(df: DataFrame, x: str, group: str, groups: tuple, n_resamples: int = 999, alternative: str = "two-sided", seed: int = 1, statistic: Callable[[np.ndarray, np.ndarray], float] | None = None, max_rows: int = 5_000_000) -> DataFrame:
-    """Difference of means (or any two-sample statistic) against random relabelling; (count + 1) / (R + 1), twice the smaller tail for two sides."""
+    """Difference of means (or any two-sample statistic) against random relabelling; (count + 1) / (R + 1), twice the smaller tail for two sides.
+
+    The difference of means stays distributed, below a billion rows. Another statistic needs the sample in
+    each task and raises above `max_rows`. Both groups need a row.
+    """
+    if alternative not in ("two-sided", "greater", "less"):
+        raise ValueError(f"no alternative {alternative!r}")
     spark = df.sparkSession
     d = df.where(F.col(group).isin(*groups)).select(number(x).alias("v"), (F.col(group) == groups[0]).alias("k")).dropna()
-    if (n := d.count()) > max_rows:
-        raise ValueError(f"{n} rows: permutations ship the sample to each task, up to {max_rows}")
-    pdf = d.orderBy("k", "v").toPandas()
-    values, n1 = pdf["v"].to_numpy(), int(pdf["k"].sum())
-    shared = spark.sparkContext.broadcast(np.concatenate([values[pdf["k"]], values[~pdf["k"]]]))
-    stat = statistic or (lambda a, b: a.mean() - b.mean())
-    seen = float(stat(shared.value[:n1], shared.value[n1:]))
-
-    def one(rng):
-        v = rng.permutation(shared.value)
-        return stat(v[:n1], v[n1:])
-
-    hits = _replicates(spark, n_resamples, seed, one).agg(F.count_if(F.col("stat") >= seen - 1e-12), F.count_if(F.col("stat") <= seen + 1e-12)).first()
+    n, n1, total, first = d.agg(F.count("*"), F.count_if("k"), F.sum("v"), F.sum(F.when(F.col("k"), F.col("v")))).first()
+    if not 0 < n1 < n:
+        raise ValueError("both groups need a row")
+    most = max_rows if statistic else MOST_ROWS - 1
+    if n > most:
+        raise ValueError(f"{n} rows: this permutation test takes up to {most}")
+    if statistic is None:
+        mean = total / n  # sums are taken about it, so that they keep their digits
+        centred = d.select((F.col("v") - F.lit(mean)).alias("v"))
+        seen = (first - n1 * mean) * (1 / n1 + 1 / (n - n1))
+        replicates = _relabelled_sums(centred, n, n1, n_resamples, seed).select((F.col("s") * (1 / n1 + 1 / (n - n1))).alias("stat"))
+    else:
+        pdf = d.orderBy("k", "v").toPandas()
+        values = pdf["v"].to_numpy()
+        shared = spark.sparkContext.broadcast(np.concatenate([values[pdf["k"]], values[~pdf["k"]]]))
+        seen = float(statistic(shared.value[:n1], shared.value[n1:]))
+
+        def one(rng):
+            v = rng.permutation(shared.value)
+            return statistic(v[:n1], v[n1:])
+
+        replicates = _replicates(spark, n_resamples, seed, one)
+    slack = 1e-12 * max(1.0, abs(seen))
+    hits = replicates.agg(F.count_if(F.col("stat") >= seen - slack), F.count_if(F.col("stat") <= seen + slack)).first()
     up, down = ((h + 1) / (n_resamples + 1) for h in hits)
     p = {"greater": up, "less": down}.get(alternative, min(1.0, 2 * min(up, down)))
-    return frame(spark, [(seen, p, n_resamples)], "statistic double, p_value double, n_resamples int")
+    return frame(spark, [(float(seen), p, n_resamples)], "statistic double, p_value double, n_resamples int")

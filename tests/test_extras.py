@@ -119,3 +119,24 @@ def test_gamma_likelihood_matches_published_aic(spark):
     u, lot = [5, 10, 15, 20, 30, 40, 60, 80, 100], [118, 58, 42, 35, 27, 25, 21, 19, 18]
     df = spark.createDataFrame([(math.log(a), float(b)) for a, b in zip(u, lot)], "lu double, y double")
     assert abs(regression.glm(df, "y", ["lu"], "gamma").info["aic"] - 37.99) < 0.005
+
+
+def test_permutations_in_blocks(spark, monkeypatch):
+    from lattica.operators import montecarlo
+
+    monkeypatch.setattr(montecarlo, "ROWS_PER_BLOCK", 10)
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(0, 9, 40) + 1.0, rng.integers(0, 9, 25) + 2.0
+    df = spark.createDataFrame([("x", float(v)) for v in a] + [("y", float(v)) for v in b], "g string, v double")
+    d = df.select(df.v)
+    sums = montecarlo._relabelled_sums(d, 65, 40, 4000, 3).toPandas()["s"].to_numpy()
+    pool = np.concatenate([a, b])
+    mean, sd = 40 * pool.mean(), math.sqrt(40 * 25 / 65 * pool.var(ddof=1))
+    assert len(sums) == 4000 and abs(sums.mean() - mean) < 4 * sd / 4000**0.5 and abs(sums.std() / sd - 1) < 0.05
+    got = montecarlo.permutation_test(df, "v", "g", ("x", "y"), 1999).first()
+    plain = montecarlo.permutation_test(df, "v", "g", ("x", "y"), 1999, statistic=lambda p, q: p.mean() - q.mean()).first()
+    assert abs(got.statistic - (a.mean() - b.mean())) < 1e-12 and abs(got.p_value - plain.p_value) < 0.04
+    assert got == montecarlo.permutation_test(df.repartition(5), "v", "g", ("x", "y"), 1999).first()
+    for bad in ({"groups": ("x", "z")}, {"groups": ("x", "y"), "alternative": "both"}):
+        with pytest.raises(ValueError):
+            montecarlo.permutation_test(df, "v", "g", **bad)
