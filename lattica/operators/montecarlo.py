@@ -145,7 +145,7 @@ def _relabelled_sums(d: DataFrame, n: int, n1: int, n_resamples: int, seed: int)
     for r in counts.groupBy("block").agg(F.sum("n").alias("n")).collect():  # one row a block
         sizes[r["block"]] = r["n"]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         pdf = pdf.sort_values("v")
         v, c, b = pdf["v"].to_numpy(), pdf["n"].to_numpy(np.int64), int(key[0])
         sums = np.empty(n_resamples)
