@@ -133,10 +133,12 @@ class Monoid:
 def _class_table() -> np.ndarray:
     """The class of every code point; those without a category here are unknown: newer tables may make letters of them."""
     t = np.full(sys.maxunicode + 1, OTHER, np.uint8)
-    kinds = np.array([unicodedata.category(chr(i)) for i in range(sys.maxunicode + 1)], "S2")
-    t[np.char.startswith(kinds, b"L")] = LETTER
-    t[np.char.startswith(kinds, b"N")] = NUMBER
-    t[kinds == b"Cn"] = UNKNOWN
+    for lo in range(0, len(t), 1 << 16):  # a plane at a time: all names at once take 60 MB
+        kinds = np.frombuffer("".join(map(unicodedata.category, map(chr, range(lo, lo + (1 << 16))))).encode(), "S2")
+        plane = t[lo : lo + (1 << 16)]
+        plane[np.char.startswith(kinds, b"L")] = LETTER
+        plane[np.char.startswith(kinds, b"N")] = NUMBER
+        plane[kinds == b"Cn"] = UNKNOWN
     for ch in WHITE:
         t[ord(ch)] = SPACE
     for chars, c in (("'", QUOTE), ("stmd", SINGLE), ("r", R), ("v", V), ("l", L), ("e", E)):
@@ -173,7 +175,7 @@ class Transducer:
 
     PIECE = 1 << 19
 
-    def __init__(self, path: str, max_words: int = 300_000) -> None:
+    def __init__(self, path: str, max_words: int = 100_000) -> None:
         self.path, self.lib = path, None
         self.merges, self.special = load(path)
         self.specials = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")

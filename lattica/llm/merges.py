@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import math
+from array import array
 
 import numpy as np
 
@@ -64,8 +65,9 @@ class MergeMachine:
         self._reset()
 
     def _reset(self) -> None:
-        self.number: dict[tuple, int] = {((0, -1, 0),): 0}
-        self.states: list[tuple] = list(self.number)
+        # A state is kept as the bytes of its (node, last token, relative count) triples, which are smaller than tuples.
+        self.number: dict[bytes, int] = {array("i", (0, -1, 0)).tobytes(): 0}
+        self.states: list[bytes] = list(self.number)
         self.table = PairTable()
         self.moves = np.zeros((1 << 10, 3), np.int32)  # next state, change of the count, last token
         self.n_moves = 0
@@ -130,13 +132,14 @@ class MergeMachine:
     def _move(self, state: int, symbol: int) -> int:
         """Compile one transition; its row in `moves`."""
         child, inner = self.child.get, self.inner
-        grown = [(n, last, rel) for node, last, rel in self.states[state] if (n := child(node << SHIFT | symbol)) is not None]
+        held = iter(array("i", self.states[state]))
+        grown = [(n, last, rel) for node, last, rel in zip(held, held, held) if (n := child(node << SHIFT | symbol)) is not None]
         for n, last, rel in grown:
             token = self.token.get(n)
             if token is not None and self.fitting(last, token):
                 delta = rel + 1
                 break
-        after = (*[(n, last, rel - delta) for n, last, rel in grown if n in inner], (0, token, 0))
+        after = array("i", [x for n, last, rel in grown if n in inner for x in (n, last, rel - delta)] + [0, token, 0]).tobytes()
         to = self.number.setdefault(after, len(self.states))
         if to == len(self.states):
             self.states.append(after)

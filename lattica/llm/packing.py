@@ -144,6 +144,7 @@ def pack(
                     whole = np.append(own, np.int32(end_id)).astype("<i4")
                     windows.add((key, whole), 0, len(whole), piece)
             yield rows()
+            give_back()
         windows.leftovers()
         yield rows()
         if forget:

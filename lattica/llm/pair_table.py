@@ -49,7 +49,7 @@ class PairTable:
             bits = self.bits
             while 2 * (len(old) + len(state)) > (1 << bits):
                 bits += 1
-            self._alloc(bits + 1)
+            self._alloc(bits)
             self.add(a, b, c)
         mask, todo = (1 << self.bits) - 1, np.arange(len(state))
         slot = self._slot(state, block)

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -19,7 +20,7 @@ from lattica.llm import queries as q
 from lattica.llm.common import slices
 from lattica.llm.components import connected_components
 from lattica.llm.decontaminate import find_leaks
-from lattica.llm.fst import transducer
+from lattica.llm.fst import Transducer, _class_table, transducer
 from lattica.llm.html_extract import attributes, extract, features, main_text, parse
 from lattica.llm.jaccard import jaccard_components
 from lattica.llm.labelled_pages import labelled_pages, trained_model
@@ -373,6 +374,25 @@ def test_merge_machine_equals_library():
     assert small.words([w.encode() for w in words[:300]])[1].tolist() == ids[: counts[:300].sum()].tolist()
 
 
+def test_tokenizer_memory_is_small():
+    """Two workers compile new words all the time beside the engine: the pipeline's packing broke an executor's memory."""
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("abcdefghinorst") for _ in range(rng.randrange(3, 10))) for _ in range(8_000)) for _ in range(4)]
+    tracemalloc.start()
+    _class_table.__wrapped__()
+    classes = tracemalloc.get_traced_memory()[1]
+    machine = Transducer(public_tokenizers.path("word_bpe_49k.json"))
+    start, got = tracemalloc.get_traced_memory()[0], []
+    for t in texts:
+        got += machine.run([t], want_ids=True)[1]
+    held = tracemalloc.get_traced_memory()[0] - start - sum(g.nbytes for g in got)
+    tracemalloc.stop()
+    assert (classes < 20e6, held < 30e6) == (True, True)
+    assert got[0].tolist() == ids_of(texts[0])
+    machine.max_words = 10  # starts anew with every text
+    assert [machine.run([t], want_ids=True)[1][0].tolist() for t in texts] == [g.tolist() for g in got]
+
+
 def test_merge_machine_is_the_merges_as_defined():
     vocab = {c: i for i, c in enumerate("abc")} | {c + "</w>": 3 + i for i, c in enumerate("abc")}
     merges = [("a", "b"), ("b", "c</w>"), ("ab", "ab"), ("a", "a"), ("aa", "b</w>"), ("c", "ab")]
