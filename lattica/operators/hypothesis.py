@@ -6,6 +6,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,7 +15,7 @@ from pyspark.sql.window import Window
 from lattica.functions import dist
 from lattica.operators.descriptive import number
 from lattica.plans.finish import finish, frame
-from lattica.plans.stages import cumulative_counts, running_sums
+from lattica.plans.stages import cumulative_counts, ordered_values, running_extremes, running_sums, same
 
 ALTERNATIVES = ("two-sided", "less", "greater")
 TEST = "statistic double, df double, p_value double, estimate double, conf_low double, conf_high double"
@@ -335,60 +337,148 @@ P_METHODS = ("holm", "hochberg", "hommel", "bonferroni", "BH", "fdr", "BY", "non
 
 
 def p_adjust(df: DataFrame, p: str, method: str = "holm", by: list[str] | None = None, out: str = "p_adjusted") -> DataFrame:
-    """`df` with adjusted p-values; null and NaN stay. Windows over ordered p-values; ties share a value by taking the extreme.
+    """`df` with adjusted p-values; null and NaN stay. Ties share a value by taking the extreme. See `p_adjust_many`."""
+    return p_adjust_many(df, p, {out: method}, by)
 
-    A family of tests (all, or one of `by`) is ordered in one task.
+
+def p_adjust_many(df: DataFrame, p: str, methods: dict[str, str], by: list[str] | None = None) -> DataFrame:
+    """`df` with a column of adjusted p-values for each of `methods` (column: method), from one ordering.
+
+    A family of tests (all, or one of `by`) is cut into ranges of distinct p-values, each with its rank; no task
+    sees a whole family. Adjusted values join the rows by p-value.
     """
-    if method not in P_METHODS:
-        raise ValueError(f"method must be one of {P_METHODS}")
+    for m in methods.values():
+        if m not in P_METHODS:
+            raise ValueError(f"method must be one of {P_METHODS}")
     by = by or []
-    part = [F.col(b) for b in by] or [F.lit(0)]
-    v = number(p)
-    ok = v.isNotNull()
-    fam = Window.partitionBy(*part, ok)
-    n = F.count(v).over(fam)
-    if method == "none":
-        return df.withColumn(out, v)
-    if method == "bonferroni":
-        return df.withColumn(out, F.when(ok, F.least(F.lit(1.0), v * n)))
-    if method == "hommel":
-        keys = by or ["_family"]
-        d = df if by else df.withColumn("_family", F.lit(0))
-        d = d.withColumn(out, v)
-        done = d.groupBy(*keys).applyInPandas(lambda pdf: pdf.assign(**{out: hommel(pdf[out].to_numpy(float))}), d.schema)
-        return done if by else done.drop("_family")
-    up = Window.partitionBy(*part, ok).orderBy(v.asc())
-    rank = F.row_number().over(up)
-    d = df.withColumns({"_v": v, "_r": rank, "_n": n})
-    if method == "holm":
-        raw = F.col("_v") * (F.col("_n") - F.col("_r") + 1)
-        value = F.max(raw).over(Window.partitionBy(*part, F.col("_v").isNotNull()).orderBy("_r").rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        scale = {"hochberg": F.col("_n") - F.col("_r") + 1, "BH": F.col("_n") / F.col("_r"), "fdr": F.col("_n") / F.col("_r")}.get(method)
-        if method == "BY":
-            harmonic = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("_n"), F.lit(1))), F.lit(0.0), lambda s, i: s + 1 / i)
-            scale = F.col("_n") / F.col("_r") * harmonic
-        value = F.min(F.col("_v") * scale).over(Window.partitionBy(*part, F.col("_v").isNotNull()).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0))
-    return d.withColumn(out, F.when(F.col("_v").isNotNull(), F.least(F.lit(1.0), value))).drop("_v", "_r", "_n")
+    rows = df.withColumn("_v", number(p))
+    t = ordered_values(rows, "_v", by)
+    v, n, low, high = F.col("value"), F.col("total"), F.col("before") + 1, F.col("before") + F.col("count")
+    raw = {
+        "holm": (v * (n - low + 1), False, F.max), "hochberg": (v * (n - high + 1), True, F.min),
+        "BH": (v * n / high, True, F.min), "fdr": (v * n / high, True, F.min), "BY": (v * n / high * harmonic(n), True, F.min),
+    }
+    if "hommel" in methods.values():
+        t = hommel_values(t, by)
+    ordered = {m: raw[m] for m in methods.values() if m in raw}
+    t = running_extremes(t, by, **ordered) if ordered else t
+    value = {"none": v, "bonferroni": v * n} | {m: F.col(m) for m in methods.values() if m in raw or m == "hommel"}
+    t = t.select(*by, F.col("value").alias("_v"), *(F.least(F.lit(1.0), value[m]).alias(c) if m != "none" else v.alias(c) for c, m in methods.items()))
+    kept = [c for c in df.columns if c not in methods or c in by]
+    return same(rows.select(*kept, "_v"), t, [*by, "_v"]).select(*df.columns, *(c for c in methods if c not in df.columns))
+
+
+def harmonic(n: Column) -> Column:
+    """1 + 1/2 + ... + 1/n, from 64 on by its expansion (exact to double precision there)."""
+    x = n.cast("double")
+    short = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least(F.greatest(n.cast("long"), F.lit(1).cast("long")), F.lit(63).cast("long"))), F.lit(0.0), lambda s, i: s + 1 / i)
+    return F.when(n < 64, short).otherwise(F.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x) - 1 / (252 * x * x * x * x * x * x))
+
+
+def lower_hull(rank: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Positions of the corners of the lower convex hull of points with rising ranks."""
+    keep: list[int] = []
+    x, y = rank.tolist(), p.tolist()
+    for k in range(len(x)):
+        while len(keep) > 1:
+            a, b = keep[-2], keep[-1]
+            if (y[b] - y[a]) * (x[k] - x[b]) < (y[k] - y[b]) * (x[b] - x[a]):
+                break
+            keep.pop()
+        keep.append(k)
+    return np.array(keep, int)
 
 
-def hommel(p: np.ndarray) -> np.ndarray:
-    """Hommel's adjustment of one family by closed testing; NaN stays.
+class Simes:
+    """Simes p-values of the upper ends of an ordered family of n tests, read off the lower hull of its (rank, p) points.
 
-    A test's adjusted value is the largest Simes value over all sets that hold it. Of the sets of one size that is
-    the one with the largest other values: the test and the upper end of the ordered family.
+    The upper end of size i has the least i p / (rank - (n - i)) over the ranks beyond n - i: the lowest tangent from
+    (n - i, 0), which touches a corner of the hull. Sizes go up and tangents move down, so the value falls with i.
     """
-    ok = ~np.isnan(p)
-    own, out = p[ok], np.full(len(p), np.nan)
-    ordered, worst = np.sort(own), np.array(own)
-    for size in range(2, len(own) + 1):
-        upper = ordered[-size:]
-        rest = (size * upper[1:] / np.arange(2, size + 1)).min()
-        np.maximum(worst, np.minimum(size * np.minimum(own, upper[0]), rest), out=worst)
-    out[ok] = np.minimum(worst, 1.0)
+
+    def __init__(self, rank: np.ndarray, p: np.ndarray, n: int):
+        self.rank, self.p, self.n = rank.astype(float), p, n
+        step = np.diff(p) / np.diff(self.rank)
+        self.meets = np.maximum.accumulate(self.rank[:-1] - p[:-1] / step) if len(step) else step  # where edges meet p = 0
+
+    def touch(self, size: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.meets, self.n - size, "left")
+
+    def __call__(self, size: np.ndarray) -> np.ndarray:
+        at, best = self.touch(size), np.full(len(size), np.inf)
+        for shift in (-1, 0, 1):  # rounding may put the tangent a corner off
+            k = np.clip(at + shift, 0, len(self.p) - 1)
+            far = self.rank[k] - (self.n - size)
+            best = np.where(far > 0, np.minimum(best, size * self.p[k] / np.where(far > 0, far, 1)), best)
+        return np.where(size > 0, np.where(size <= self.n, best, 0.0), np.inf)
+
+    def crossing(self, p: np.ndarray) -> np.ndarray:
+        """The least size i with i p at or above the Simes value of size i + 1."""
+        lo, hi = np.zeros(len(p)), np.full(len(p), float(self.n))
+        while (lo < hi).any():
+            mid = np.floor((lo + hi) / 2)
+            reached = mid * p >= self(mid + 1)
+            lo, hi = np.where(reached, lo, np.minimum(mid + 1, hi)), np.where(reached, mid, hi)
+        return hi
+
+    def adjust(self, p: np.ndarray) -> np.ndarray:
+        """Closed testing: a test falls at level a if the largest upper end that Simes keeps at a, of size h, has h p <= a."""
+        i = self.crossing(p)
+        return np.minimum(1.0, np.minimum(np.maximum(i * p, self(i + 1)), self(i)))
+
+
+def hommel(p: np.ndarray) -> np.ndarray:
+    """Hommel's adjustment of one family by closed testing in n log n; NaN stays."""
+    ok, out = ~np.isnan(p), np.full(len(p), np.nan)
+    if ok.any():
+        v, back, count = np.unique(p[ok], return_inverse=True, return_counts=True)
+        rank = np.cumsum(count)
+        at = lower_hull(rank, v)
+        out[ok] = Simes(rank[at], v[at], int(rank[-1])).adjust(v)[back]
     return out
 
 
+def hommel_values(t: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of `ordered_values` with `hommel`, adjusted values of their families.
+
+    Each range of values gives its hull; a task merges a family's hulls and deals every range the corners that its
+    values touch, so that only corners meet in one task.
+    """
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in t.select(*by, "part").schema)
+    corners = f"{keys}, r long, p double, n long"
+
+    def hull(a: pa.Table) -> pa.Table:
+        a = a.take(pc.sort_indices(a, [("value", "ascending")]))
+        rank, p = a["before"].to_numpy() + a["count"].to_numpy(), a["value"].to_numpy()
+        at = lower_hull(rank, p)
+        return a.select([*by, "part"]).take(pa.array(at)).append_column("r", pa.array(rank[at])).append_column("p", pa.array(p[at])).append_column("n", a["total"].take(pa.array(at)))
+
+    def deal(a: pa.Table) -> pa.Table:
+        a = a.take(pc.sort_indices(a, [("r", "ascending")]))
+        rank, p, part = a["r"].to_numpy(), a["p"].to_numpy(), a["part"].to_numpy()
+        at = lower_hull(rank, p)
+        whole = Simes(rank[at], p[at], a["n"][0].as_py())
+        first = np.flatnonzero(np.r_[True, np.diff(part) != 0])
+        last = np.r_[first[1:], len(part)] - 1
+        # A hull keeps its ends, so a range's least and greatest value are here; sizes fall as values rise.
+        most, least = whole.crossing(p[first]), whole.crossing(p[last])
+        lo = np.maximum(whole.touch(np.minimum(most + 2, whole.n)) - 2, 0)
+        hi = np.minimum(whole.touch(np.maximum(least - 1, 0)) + 2, len(at) - 1)
+        take = np.concatenate([np.arange(x, y + 1) for x, y in zip(lo, hi)])
+        owner = np.repeat(first, hi - lo + 1)
+        return a.select([*by, "part"]).take(pa.array(owner)).append_column("r", pa.array(rank[at][take])).append_column("p", pa.array(p[at][take])).append_column("n", a["n"].take(pa.array(owner)))
+
+    def adjust(a: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.take(pc.sort_indices(b, [("r", "ascending")]))
+        own = Simes(b["r"].to_numpy(), b["p"].to_numpy(), b["n"][0].as_py())
+        return a.append_column("hommel", pa.array(own.adjust(a["value"].to_numpy())))
+
+    hulls = t.groupBy(*by, "part").applyInArrow(hull, corners)
+    dealt = hulls.groupBy(*by).applyInArrow(deal, corners)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in t.schema)
+    return t.groupBy(*by, "part").cogroup(dealt.groupBy(*by, "part")).applyInArrow(adjust, f"{schema}, hommel double")
+
+
 def wilcox_conf_int(df: DataFrame, x: str, y: str | None = None, group: str | None = None, groups: tuple | None = None, conf_level: float = 0.95, exact_below: int = 50) -> DataFrame:
     """Hodges-Lehmann estimate and interval: of Walsh averages (one sample or pairs) or of differences (two groups).
 

@@ -254,11 +254,9 @@ _padj_sql = " UNION ALL ".join(f"SELECT k, '{m}' AS method, round({e}, 8) AS p_a
 
 @register(f"WITH p AS ({_P}), n AS (SELECT count(*)::DOUBLE AS n FROM p), o AS (SELECT k, p, row_number() OVER (ORDER BY p, k) AS r FROM p), h AS (SELECT sum(1.0::DOUBLE / r) AS h FROM o), r AS (SELECT k, p, n, h, r FROM o, n, h) {_padj_sql}")
 def p_adjust_methods(spark, d):
-    p, out = _p_values(spark, d), None
-    for m in _PADJ:
-        a = hypothesis.p_adjust(p, "p", m).select("k", F.lit(m).alias("method"), "p_adjusted")
-        out = a if out is None else out.unionByName(a)
-    return rounded(out, p_adjusted=8)
+    wide = hypothesis.p_adjust_many(_p_values(spark, d), "p", {m: m for m in _PADJ})
+    long = wide.select("k", F.explode(F.array(*(F.struct(F.lit(m).alias("method"), F.col(m).alias("p_adjusted")) for m in _PADJ))).alias("a"))
+    return rounded(long.select("k", "a.*"), p_adjusted=8)
 
 
 def _p_values(spark, d):
