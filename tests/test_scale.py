@@ -43,3 +43,18 @@ def test_by_adjustment_is_not_quadratic(spark):
     began = time.perf_counter()
     top = hypothesis.p_adjust(spark.range(1, 300_001).selectExpr("id", "id / 3e8 AS p"), "p", "BY").agg({"p_adjusted": "max"}).first()[0]
     assert abs(top - 0.001 * (1 / np.arange(1, 300_001)).sum()) < 1e-12 and time.perf_counter() - began < 60
+
+
+def test_hommel_of_a_large_family():
+    """Quadratic closed testing took minutes here; checked by its own definition at some tests."""
+    n = 200_000
+    p = np.sort(np.random.default_rng(5).random(n) ** 4)
+    began = time.perf_counter()
+    got = hypothesis.hommel(p)
+    assert time.perf_counter() - began < 20
+    sizes = np.unique(np.geomspace(1, n, 300).astype(int))
+    simes = np.array([(m * p[n - m :] / np.arange(1, m + 1)).min() for m in sizes])
+    for k in (0, 10, 1000, n // 2, n - 1):
+        assert got[k] >= min(1, np.minimum(sizes * p[k], simes).max()) - 1e-12
+        assert p[k] <= got[k] <= min(1, n * p[k])
+    assert (np.diff(got) >= -1e-12).all()
