@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import dist
 from lattica.functions.design import Design, build
-from lattica.plans.blocks import block_sum, tsqr
+from lattica.plans.blocks import block_sum, collapse, equal_rows, tsqr
 from lattica.plans.finish import frame
 
 
@@ -163,43 +163,89 @@ def _lgamma(v: np.ndarray) -> np.ndarray:
     return np.array([math.lgamma(x) for x in u])[back]
 
 
-def _log_lik(family: str, y: np.ndarray, mu: np.ndarray, w: np.ndarray, scale: float, theta: float | None) -> float:
-    """Log likelihood of a block; `scale` is the mean deviance. Quasi families have none."""
-    use = w > 0
-    y, mu, w = y[use], mu[use], w[use]
+def _own_lik(family: str, y: np.ndarray, w: np.ndarray, theta: float | None) -> np.ndarray:
+    """What each row adds to the log likelihood of its cell whatever the mean; see `_log_lik`."""
+    if family == "gaussian":
+        return np.log(w)
+    if family == "binomial":
+        if (w == 1).all() and ((y == 0) | (y == 1)).all():
+            return np.zeros(len(y))
+        return _lgamma(w + 1) - _lgamma(w * y + 1) - _lgamma(w - w * y + 1)
+    if family == "poisson":
+        return -w * _lgamma(y + 1)
+    if family in ("gamma", "inverse_gaussian"):
+        return w * np.log(y)
+    if family == "negative_binomial":
+        return w * (_lgamma(y + theta) - _lgamma(y + 1))
+    return np.zeros(len(y))
+
+
+def _log_lik(family: str, y: np.ndarray, mu: np.ndarray, w: np.ndarray, n: np.ndarray, own: np.ndarray, scale: float, theta: float | None) -> float:
+    """Log likelihood of cells of n rows with mean response y, total weight w and the sum `own` of `_own_lik`; `scale` is the mean deviance. Quasi families have none."""
     if family == "gaussian":  # `scale` here is the deviance by the number of rows: weights divide the variance
-        return float((-0.5 * (math.log(2 * math.pi * scale) + 1 - np.log(w))).sum())
+        return float((-0.5 * (n * (math.log(2 * math.pi * scale) + 1) - own)).sum())
     if family == "binomial":
-        return float((_lgamma(w + 1) - _lgamma(w * y + 1) - _lgamma(w - w * y + 1) + np.where(y > 0, w * y * np.log(np.where(y > 0, mu, 1.0)), 0.0) + np.where(y < 1, w * (1 - y) * np.log1p(-np.where(y < 1, mu, 0.0)), 0.0)).sum())
+        return float((own + np.where(y > 0, w * y * np.log(np.where(y > 0, mu, 1.0)), 0.0) + np.where(y < 1, w * (1 - y) * np.log1p(-np.where(y < 1, mu, 0.0)), 0.0)).sum())
     if family == "poisson":
-        return float((w * (y * np.log(mu) - mu - _lgamma(y + 1))).sum())
+        return float((w * (y * np.log(mu) - mu) + own).sum())
     if family == "gamma":
-        return float((w * ((1 / scale - 1) * np.log(y) - y / (mu * scale) - np.log(mu * scale) / scale - math.lgamma(1 / scale))).sum())
+        return float(((1 / scale - 1) * own - w * (y / (mu * scale) + np.log(mu * scale) / scale + math.lgamma(1 / scale))).sum())
     if family == "inverse_gaussian":
-        return float((-0.5 * w * (math.log(2 * math.pi * scale) + 1 + 3 * np.log(y))).sum())
+        return float((-0.5 * (w * (math.log(2 * math.pi * scale) + 1) + 3 * own)).sum())
     if family == "negative_binomial":
-        return float((w * (_lgamma(y + theta) - math.lgamma(theta) - _lgamma(y + 1) + theta * np.log(theta / (theta + mu)) + np.where(y > 0, y * np.log(mu / (theta + mu)), 0.0))).sum())
+        return float((own + w * (-math.lgamma(theta) + theta * np.log(theta / (theta + mu)) + np.where(y > 0, y * np.log(mu / (theta + mu)), 0.0))).sum())
     return math.nan
 
 
-def glm(df: DataFrame, y: str, terms: list, family: str = "binomial", link: str | None = None, weights: str | None = None, offset: str | None = None, theta: float | None = None, l2: float = 0.0, tol: float = 1e-8, max_iter: int = 25) -> Fit:
+def _cells(k: int, family: str, theta: float | None):
+    """Fold of rows (x of k columns, y, weight, offset, count) into cells of equal x and offset.
+
+    A cell holds x, the mean response, weight, offset, rows, and sums of the squares and unit deviances of its
+    responses about their mean and of `_own_lik`. The deviance of the rows about any mean is that of the
+    cell's mean response plus its own, since unit deviances are Bregman divergences; squares likewise.
+    """
+    deviance = family_of(family, theta)[2]
+
+    def fold(m: np.ndarray) -> np.ndarray:
+        if m.shape[1] == k + 4:
+            m = m[m[:, k + 1] > 0]
+            y, w, c = m[:, k], m[:, k + 1], m[:, k + 3]
+            with np.errstate(all="ignore"):
+                own = c * _own_lik(family, y, w, theta)
+            m = np.column_stack([m[:, : k + 1], w * c, m[:, k + 2], c, np.zeros(len(m)), np.zeros(len(m)), own])
+        y, w = m[:, k], m[:, k + 1]
+        if not len(m) or (family.removeprefix("quasi").strip("_") in ("gamma", "inverse_gaussian") and not (y > 0).all()):
+            return m  # responses outside the family: left for the fit to refuse
+        code, first = equal_rows(np.column_stack([m[:, :k], m[:, k + 2]]))
+        add = lambda v: np.bincount(code, v, len(first))
+        weight = add(w)
+        mean = add(w * y) / weight
+        with np.errstate(all="ignore"):
+            gap = add(m[:, k + 4] + w * (y - mean[code]) ** 2)
+            dev = add(m[:, k + 5] + w * deviance(y, mean[code]))
+        return np.column_stack([m[first, :k], mean, weight, m[first, k + 2], add(m[:, k + 3]), gap, dev, add(m[:, k + 6])])
+
+    return fold
+
+
+def glm(df: DataFrame, y: str, terms: list, family: str = "binomial", link: str | None = None, weights: str | None = None, offset: str | None = None, theta: float | None = None, l2: float = 0.0, tol: float = 1e-8, max_iter: int = 25, count: str | None = None) -> Fit:
     """Iteratively reweighted least squares; each step is one pass that sums X'WX, X'Wz and the deviance.
 
-    The design is persisted for the passes. Raises if the deviance doesn't settle in `max_iter` steps.
+    One pass over the rows folds those of equal covariates into cells (see `_cells`), which are persisted for the steps.
+    `count`: how many equal rows each row stands for. Raises if the deviance doesn't settle in `max_iter` steps.
     """
     default, variance, deviance, start, known = family_of(family, theta)
     eta_of, mu_of, slope = LINKS[link or default]
     d = build(df, terms, True)
     k = len(d.columns)
-    cols = [*d.columns, F.col(y), F.col(weights) if weights else F.lit(1.0), F.col(offset) if offset else F.lit(0.0)]
-    rows = df.select(*(c.cast("double").alias(f"c{i}") for i, c in enumerate(cols))).dropna().persist()
-    names = [f"c{i}" for i in range(k + 3)]
+    one = F.lit(1.0)
+    cols = [*d.columns, F.col(y), F.col(weights) if weights else one, F.col(offset) if offset else F.lit(0.0), F.col(count) if count else one]
+    names = [f"c{i}" for i in range(k + 7)]
+    rows = collapse(df, cols, _cells(k, family, theta), names).persist()
 
     def step(beta):
         def fold(m):
-            x, t, w, o = m[:, :k], m[:, k], m[:, k + 1], m[:, k + 2]
-            use = w > 0
-            x, t, w, o = x[use], t[use], w[use], o[use]
+            x, t, w, o, n, gap, dev = m[:, :k], *m[:, k : k + 6].T
             if beta is None:
                 mu = start(t, w)
                 eta = eta_of(mu)
@@ -209,8 +255,8 @@ def glm(df: DataFrame, y: str, terms: list, family: str = "binomial", link: str
             g = slope(eta)
             z, ww = eta - o + (t - mu) / g, w * g * g / variance(mu)
             xw = x * ww[:, None]
-            pearson = float((w * (t - mu) ** 2 / variance(mu)).sum())
-            return np.concatenate([(xw.T @ x).ravel(), xw.T @ z, [float((w * deviance(t, mu)).sum()), pearson, len(t), (w * t).sum(), w.sum()]])
+            pearson = float(((w * (t - mu) ** 2 + gap) / variance(mu)).sum())
+            return np.concatenate([(xw.T @ x).ravel(), xw.T @ z, [float((w * deviance(t, mu) + dev).sum()), pearson, n.sum(), (w * t).sum(), w.sum()]])
 
         s = block_sum(rows, names, fold)
         return s[: k * k].reshape(k, k), s[k * k : k * k + k], s[k * k + k :]
@@ -231,13 +277,14 @@ def glm(df: DataFrame, y: str, terms: list, family: str = "binomial", link: str
         scale = float(s[0] / (s[2] if family == "gaussian" else s[4]))
 
         def close(m):
+            t, w, n, dev, own = m[:, k], m[:, k + 1], m[:, k + 3], m[:, k + 5], m[:, k + 6]
             mu = mu_of(m[:, :k] @ beta + m[:, k + 2])
-            return np.array([(m[:, k + 1] * deviance(m[:, k], np.full(len(m), mean))).sum(), _log_lik(family, m[:, k], mu, m[:, k + 1], scale, theta)])
+            return np.array([(w * deviance(t, np.full(len(m), mean)) + dev).sum(), _log_lik(family, t, mu, w, n, own, scale, theta), dev.sum()])
 
-        null, ll = block_sum(rows, names, close)
+        null, ll, inner = block_sum(rows, names, close)
         if offset:
             # With an offset the null model has no common mean, so it's fitted.
-            null = glm(rows, f"c{k}", [], family, link, f"c{k + 1}", f"c{k + 2}", theta).info["deviance"] if k > 1 else s[0]
+            null = inner + glm(rows, f"c{k}", [], family, link, f"c{k + 1}", f"c{k + 2}", theta).info["deviance"] if k > 1 else s[0]
     finally:
         rows.unpersist()
     n = int(s[2])

@@ -32,12 +32,58 @@ def block_sum(df: DataFrame, cols: list, fold: Callable[[np.ndarray], np.ndarray
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["v"])
 
-    sums = rows.mapInArrow(run, "v array<double>").select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).toPandas()
+    return total(rows.mapInArrow(run, "v array<double>"))
+
+
+def total(vectors: DataFrame) -> np.ndarray:
+    """Sum by position of the rows' vectors `v`."""
+    sums = vectors.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).toPandas()
     out = np.zeros(len(sums))
     out[sums["i"].to_numpy()] = sums["x"].to_numpy()
     return out
 
 
+def equal_rows(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code, first): numbers of the distinct rows of `keys`, and for each a row that has it."""
+    code = np.zeros(len(keys), np.int64)
+    for col in keys.T:
+        if (col == col[0]).all():
+            continue
+        u, at = np.unique(col, return_inverse=True)
+        code = np.unique(code * len(u) + at, return_inverse=True)[1] if code.any() else at
+    first = np.zeros(int(code.max()) + 1, np.int64)
+    first[code[::-1]] = np.arange(len(code))[::-1]
+    return code, first
+
+
+def collapse(df: DataFrame, cols: list, fold: Callable[[np.ndarray], np.ndarray], names: list[str], hold: int = 1 << 16) -> DataFrame:
+    """Rows of `fold` over blocks of `cols` (as double, without missing values), folded again in each task while that shortens them.
+
+    `fold` maps a matrix to one with `names` as columns, and such a matrix to a shorter one. Nothing is shuffled; rows
+    that don't repeat pass through, `hold` at a time.
+    """
+    picked = [F.col(c) if isinstance(c, str) else c for c in cols]
+    rows = df.select(*(c.cast("double").alias(f"c{i}") for i, c in enumerate(picked))).dropna()
+    send = lambda m: pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(m[:, i])) for i in range(len(names))], names)
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(fold(_matrix(b)))
+                size += len(held[-1])
+            if size > hold:
+                held = [fold(np.vstack(held))]
+                size = len(held[0])
+                if size > hold // 2:
+                    yield send(held[0])
+                    held, size = [], 0
+        if size:
+            yield send(fold(np.vstack(held)))
+
+    return rows.mapInArrow(run, ", ".join(f"{n} double" for n in names))
+
+
 def tsqr(df: DataFrame, cols: list, fan_in: int = 64) -> np.ndarray:
     """R factor of the rows of `cols`: QR in each task, then of stacked factors, `fan_in` at a time."""
     picked = [F.col(c) if isinstance(c, str) else c for c in cols]

@@ -58,3 +58,38 @@ def test_hommel_of_a_large_family():
         assert got[k] >= min(1, np.minimum(sizes * p[k], simes).max()) - 1e-12
         assert p[k] <= got[k] <= min(1, n * p[k])
     assert (np.diff(got) >= -1e-12).all()
+
+
+def _repeated_rows(rng, n=4000):
+    x = rng.integers(0, 6, n) / 5
+    pdf = pd.DataFrame({"x": x, "o": rng.integers(0, 2, n) * 0.1, "w": rng.integers(0, 3, n).astype(float)})
+    mu = np.exp(0.4 + 0.8 * x)
+    return pdf.assign(count=rng.poisson(mu).astype(float), price=rng.gamma(3, mu / 3), flag=(rng.random(n) < 0.2 + 0.5 * x).astype(float), share=np.round(rng.random(n), 2))
+
+
+def test_cells_keep_deviance_likelihood_and_steps(spark, monkeypatch):
+    """Folding rows of equal covariates gives the fit over single rows."""
+    from lattica.operators import regression
+
+    df = spark.createDataFrame(_repeated_rows(np.random.default_rng(7))).repartition(3).cache()
+    models = [("price", "inverse_gaussian", "log", None, None), ("price", "gamma", "log", "w", "o"), ("count", "negative_binomial", None, None, None), ("share", "binomial", None, "w", None)]
+    fit = lambda y, family, link, w, o: regression.glm(df, y, ["x"], family, link, w, o, 2.5 if family == "negative_binomial" else None, tol=1e-13)
+    folded = [fit(*m) for m in models]
+    monkeypatch.setattr(regression, "equal_rows", lambda keys: (np.arange(len(keys)), np.arange(len(keys))))
+    for got, m in zip(folded, models):
+        want = fit(*m)
+        assert np.allclose(got.coef, want.coef, rtol=1e-6, atol=1e-8) and np.allclose(got.se, want.se, rtol=1e-6), m
+        assert got.n == want.n and np.isclose(got.dispersion, want.dispersion)
+        for c in ("deviance", "null_deviance", "pearson", "log_lik", "aic"):
+            assert np.isclose(got.info[c], want.info[c], rtol=1e-8, equal_nan=True), (m, c)
+
+
+def test_steps_read_cells_not_rows(spark, monkeypatch):
+    """A fit used to send every row to Python in each step."""
+    from lattica.operators import regression
+
+    df = spark.createDataFrame(_repeated_rows(np.random.default_rng(8))).repartition(3).cache()
+    seen, whole = [], regression.block_sum
+    monkeypatch.setattr(regression, "block_sum", lambda rows, *a: (seen.append(rows.count()), whole(rows, *a))[1])
+    regression.glm(df, "flag", ["x"], "binomial", "probit")
+    assert seen and max(seen) <= 3 * 6
