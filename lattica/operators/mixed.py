@@ -6,12 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.design import build
 from lattica.operators.regression import Fit
-from lattica.plans.blocks import block_sum
+from lattica.plans.blocks import block_sum, total
 from lattica.plans.finish import frame
 
 
@@ -183,42 +184,72 @@ def glmm(df: DataFrame, y: str, terms: list, group: str, family: str = "binomial
 
     All values of a grid of standard deviations are fitted in the same passes: each group finds its own modes
     and returns a score, a Schur complement and its Laplace term for every value; the grid then narrows.
+    Groups are gathered once, a row each with counts of its equal rows; a pass takes many groups at a time.
     """
     if family not in ("binomial", "poisson"):
         raise ValueError("family must be binomial or poisson")
     d = build(df, terms)
     p = len(d.columns)
-    rows = df.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), *(c.cast("double").alias(f"x{i}") for i, c in enumerate(d.columns)), F.col(y).cast("double").alias("y")).dropna().persist()
+    xs = [f"x{i}" for i in range(p)]
+    rows = df.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), *(c.cast("double").alias(x) for c, x in zip(d.columns, xs)), F.col(y).cast("double").alias("y")).dropna()
+    context = df.sparkSession.sparkContext
+    counts = rows.groupBy("g", *xs, "y").agg(F.count("*").cast("double").alias("n")).repartition(4 * context.defaultParallelism, "g")
+    groups = counts.groupBy("g").agg(F.flatten(F.collect_list(F.array(*xs, "y", "n"))).alias("v")).persist()
     lg = np.vectorize(math.lgamma)
+    binomial = family == "binomial"
 
     def sums(betas: np.ndarray, taus: np.ndarray) -> np.ndarray:
-        def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            x, t = pdf[[f"x{i}" for i in range(p)]].to_numpy(), pdf["y"].to_numpy()
+        prior = 1 / taus**2
+
+        def mean(eta):
+            mu = 1 / (1 + np.exp(-eta)) if binomial else np.exp(eta)
+            return mu, mu * (1 - mu) if binomial else mu
+
+        def fold(m, starts, sizes):
+            """Many groups at once: rows by values of the grid, summed over each group's rows."""
+            x, t, n = m[:, :p], m[:, p, None], m[:, p + 1, None]
+            own = np.repeat(np.arange(len(starts)), sizes)
+            over = lambda v: np.add.reduceat(v, starts, axis=0)
+            eta0, u = x @ betas.T, np.zeros((len(starts), len(taus)))
+            going = np.ones(u.shape, bool)
+            for _ in range(30):
+                mu, w = mean(np.clip(eta0 + u[own], -30, 30))
+                step = (over(n * (t - mu)) - u * prior) / (over(n * w) + prior)
+                u += np.where(going, np.clip(step, -2.0, 2.0), 0.0)
+                going &= np.abs(step) >= 1e-10
+                if not going.any():
+                    break
+            eta = np.clip(eta0 + u[own], -30, 30)
+            mu, w = mean(eta)
+            ll = (n * (t * eta - np.logaddexp(0, eta) if binomial else t * eta - mu - lg(t + 1))).sum(0)
+            w = n * w
+            h = over(w) + prior
+            laplace = ll - (u * u).sum(0) * prior / 2 - 0.5 * np.log(h * taus**2).sum(0)
+            score = (n * (t - mu)).T @ x
             out = []
-            for b, tau in zip(betas, taus):
-                eta0, u = x @ b, 0.0
-                for _ in range(30):
-                    eta = np.clip(eta0 + u, -30, 30)
-                    mu = 1 / (1 + np.exp(-eta)) if family == "binomial" else np.exp(eta)
-                    w = mu * (1 - mu) if family == "binomial" else mu
-                    step = ((t - mu).sum() - u / tau**2) / (w.sum() + 1 / tau**2)
-                    u += max(-2.0, min(2.0, step))
-                    if abs(step) < 1e-10:
-                        break
-                eta = np.clip(eta0 + u, -30, 30)
-                mu = 1 / (1 + np.exp(-eta)) if family == "binomial" else np.exp(eta)
-                w = mu * (1 - mu) if family == "binomial" else mu
-                ll = (t * eta - np.logaddexp(0, eta)).sum() if family == "binomial" else (t * eta - mu - lg(t + 1)).sum()
-                h = w.sum() + 1 / tau**2
-                xw = x.T @ w
-                schur = x.T @ (x * w[:, None]) - np.outer(xw, xw) / h
-                out += [ll - u * u / (2 * tau**2) - 0.5 * math.log(h * tau**2), *(x.T @ (t - mu)), *schur.ravel()]
-            return pd.DataFrame({"v": [out]})
-
-        got = rows.groupBy("g").applyInPandas(one, "v array<double>").select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).toPandas()
-        flat = np.zeros(len(got))
-        flat[got["i"]] = got["x"]
-        return flat.reshape(len(taus), -1)
+            for k in range(len(taus)):
+                xw = over(x * w[:, k, None])
+                schur = x.T @ (x * w[:, k, None]) - xw.T @ (xw / h[:, k, None])
+                out += [laplace[k], *score[k], *schur.ravel()]
+            return np.array(out)
+
+        def run(batches):
+            acc = None
+            for b in batches:
+                v = b.column(0)
+                ends = v.offsets.to_numpy() - v.offsets[0].as_py()
+                m = v.flatten().to_numpy(zero_copy_only=False).reshape(-1, p + 2)
+                ends = ends // (p + 2)
+                lo = 0
+                while lo < len(ends) - 1:  # about 50,000 rows at a time, a group at least
+                    hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + 50_000, "right")) - 1)
+                    part = fold(m[ends[lo] : ends[hi]], ends[lo:hi] - ends[lo], np.diff(ends[lo : hi + 1]))
+                    acc = part if acc is None else acc + part
+                    lo = hi
+            if acc is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([acc.tolist()], pa.list_(pa.float64()))], ["v"])
+
+        return total(groups.select("v").mapInArrow(run, "v array<double>")).reshape(len(taus), -1)
 
     try:
         taus, beta0 = np.geomspace(0.05, 5, 9), np.zeros(p)
@@ -235,8 +266,8 @@ def glmm(df: DataFrame, y: str, terms: list, group: str, family: str = "binomial
             beta0, lo, hi = betas[best], taus[max(best - 1, 0)], taus[min(best + 1, len(taus) - 1)]
             tau, value, info = taus[best], s[best, 0], s[best, 1 + p :].reshape(p, p)
             taus = np.geomspace(lo, hi, 9)
-        n, k = (int(v) for v in rows.agg(F.count("*"), F.countDistinct("g")).first())
+        n, k = (int(v) for v in counts.agg(F.sum("n"), F.countDistinct("g")).first())
     finally:
-        rows.unpersist()
+        groups.unpersist()
     cov = np.linalg.inv(info)
     return Fit(d.labels, beta0, np.sqrt(np.diag(cov)), cov, n, n - p, 1.0, {"tau": float(tau), "log_lik": float(value), "groups": k, "family": family}, use_t=False)

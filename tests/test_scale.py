@@ -93,3 +93,15 @@ def test_steps_read_cells_not_rows(spark, monkeypatch):
     monkeypatch.setattr(regression, "block_sum", lambda rows, *a: (seen.append(rows.count()), whole(rows, *a))[1])
     regression.glm(df, "flag", ["x"], "binomial", "probit")
     assert seen and max(seen) <= 3 * 6
+
+
+def test_mixed_model_gathers_groups_once(spark, monkeypatch):
+    """Each pass used to shuffle all rows and call Python for every group."""
+    from pyspark.sql import GroupedData
+
+    from lattica.operators import mixed
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", None)
+    df = spark.range(400).selectExpr("id % 20 AS g", "id % 4 / 4.0 AS x", "double(id % 7 < 3 + id % 20 % 2) AS y")
+    fit = mixed.glmm(df, "y", ["x"], "g", rounds=1)
+    assert fit.n == 400 and fit.info["groups"] == 20
