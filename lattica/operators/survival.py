@@ -14,6 +14,7 @@ from lattica.functions import dist
 from lattica.functions.design import build
 from lattica.operators.cox import coxph
 from lattica.operators.regression import Fit, glm
+from lattica.plans.blocks import collapse, equal_rows
 from lattica.plans.finish import frame
 
 
@@ -85,8 +86,29 @@ def person_period(df: DataFrame, time: str, event: str) -> DataFrame:
 
 
 def discrete_time(df: DataFrame, time: str, event: str, terms: list, link: str = "cloglog") -> Fit:
-    """Discrete-time hazard regression on person-periods."""
-    return glm(person_period(df, time, event), "y", ["period", *terms], "binomial", link)
+    """Discrete-time hazard regression on person-periods.
+
+    Subjects of equal time, event and covariates are counted in each task before their periods are listed.
+    """
+    if any("period" == getattr(t, "name", t) for term in terms for t in (term if isinstance(term, tuple) else (term,))):
+        return glm(person_period(df, time, event), "y", ["period", *terms], "binomial", link)
+    lives = df.where(F.col(time).cast("int") >= 1)
+    d = build(lives, terms, intercept=False)
+    k = len(d.columns)
+
+    def count(m):
+        m = np.column_stack([m, np.ones(len(m))]) if m.shape[1] == k + 2 else m
+        code, first = equal_rows(m[:, :-1])
+        return np.column_stack([m[first, :-1], np.bincount(code, m[:, -1])])
+
+    # An unknown event leaves the periods before the last, in which nothing happened.
+    died = F.coalesce((F.col(event).cast("int") == 1).cast("int"), F.lit(-1))
+    rows = collapse(lives, [F.col(time).cast("int"), died, *d.columns], count, ["t", "e", *(f"x{i}" for i in range(k)), "n"])
+    t = F.col("t").cast("int")
+    rows = rows.withColumn("period", F.explode(F.sequence(F.lit(1), t))).withColumn("y", F.when(F.col("period") < t, 0.0).when(F.col("e") >= 0, F.col("e")))
+    fit = glm(rows, "y", ["period", *(f"x{i}" for i in range(k))], "binomial", link, count="n")
+    fit.labels = ["(Intercept)", "period", *d.labels]
+    return fit
 
 
 def median_survival(curve: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -105,3 +105,22 @@ def test_mixed_model_gathers_groups_once(spark, monkeypatch):
     df = spark.range(400).selectExpr("id % 20 AS g", "id % 4 / 4.0 AS x", "double(id % 7 < 3 + id % 20 % 2) AS y")
     fit = mixed.glmm(df, "y", ["x"], "g", rounds=1)
     assert fit.n == 400 and fit.info["groups"] == 20
+
+
+def test_discrete_time_counts_equal_lives(spark):
+    """Every person-period used to be a row of the fit; the rows that it now reads number the distinct lives' periods."""
+    from lattica.operators import regression, survival
+
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"t": rng.integers(0, 5, 800), "e": rng.integers(0, 2, 800).astype(float), "x": rng.integers(0, 3, 800) / 2})
+    pdf.loc[::50, "e"] = np.nan
+    df = spark.createDataFrame(pdf).selectExpr("t", "CASE WHEN NOT isnan(e) THEN int(e) END AS e", "x").cache()
+    seen, glm = [], survival.glm
+    survival.glm = lambda rows, *a, **k: (seen.append(rows.count()), glm(rows, *a, **k))[1]
+    try:
+        got = survival.discrete_time(df, "t", "e", ["x"])
+    finally:
+        survival.glm = glm
+    want = regression.glm(survival.person_period(df, "t", "e"), "y", ["period", "x"], "binomial", "cloglog")
+    assert got.labels == want.labels and got.n == want.n and max(seen) <= 2 * 3 * 3 * 10
+    assert np.allclose(got.coef, want.coef, atol=1e-7) and np.allclose(got.se, want.se, rtol=1e-6)
