@@ -98,19 +98,30 @@ def mice(df: DataFrame, cols: list[str], m: int = 5, max_iter: int = 5, seed: in
     """Multiple imputation by chained normal regressions: (imputation, the table's columns).
 
     All chains run at once as copies of the rows with missing values; a variable's step is one pass for
-    the Gram matrices of all chains, a draw of coefficients and variance on the driver, and a column
-    expression. Noise is a hash of row, chain, step and variable, so that lost tasks redraw the same.
+    the Gram matrices of all chains over those, to which that of the complete rows, summed once, is added; then a
+    draw of coefficients and variance on the driver, and a column expression. Noise is a hash of row, chain, step
+    and variable, so that lost tasks redraw the same.
     """
     spark = df.sparkSession
     rng = np.random.default_rng(seed)
-    miss = [c for c in cols if df.where(number(c).isNull()).limit(1).count()]
+    seen = df.agg(*(F.sum(number(c).isNull().cast("long")) for c in cols), *(F.avg(number(c)) for c in cols)).first()
+    miss = [c for i, c in enumerate(cols) if seen[i]]
+    means = {c: seen[len(cols) + i] for i, c in enumerate(cols)}
     row = F.col(key).cast("string") if key else F.monotonically_increasing_id().cast("string")
     base = df.withColumns({"_row": row, **{c: number(c) for c in cols}, **{f"_m_{c}": number(c).isNull() for c in miss}})
-    means = dict(zip(miss, base.agg(*(F.avg(c) for c in miss)).first())) if miss else {}
-    data = base.withColumn("imputation", F.explode(F.sequence(F.lit(1), F.lit(m)))).withColumns({c: F.coalesce(c, F.lit(means[c])) for c in miss})
     from lattica.plans.stages import settle
 
-    data = settle(data)
+    chains = F.explode(F.sequence(F.lit(1), F.lit(m)))
+    holes = F.lit(False)
+    for c in miss:
+        holes = holes | F.col(f"_m_{c}")
+    whole = base.where(~holes)
+    data = base.where(holes).withColumns({c: F.coalesce(c, F.lit(means[c])) for c in miss})
+    # A small file is one task's; the copies are dealt to all.
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    data = settle(data.repartition(tasks, "_row").withColumn("imputation", chains))
+    parts = block_sum(whole, [F.lit(1.0), *cols], lambda z: z.T @ z)
+    fixed = parts.reshape(len(cols) + 1, -1) if len(parts) else np.zeros((len(cols) + 1, len(cols) + 1))
 
     def uniform(*salt) -> F.Column:
         return (F.shiftrightunsigned(F.xxhash64("_row", "imputation", *(F.lit(s) for s in salt)), 11).cast("double") + 0.5) / float(1 << 53)
@@ -120,6 +131,7 @@ def mice(df: DataFrame, cols: list[str], m: int = 5, max_iter: int = 5, seed: in
             others = [o for o in cols if o != c]
             k = len(others) + 2
             x = [F.lit(1.0), *others, c]
+            at = [0, *(1 + cols.index(o) for o in others), 1 + cols.index(c)]
 
             def fold(mat, k=k):
                 out = np.zeros((m, k, k))
@@ -128,7 +140,8 @@ def mice(df: DataFrame, cols: list[str], m: int = 5, max_iter: int = 5, seed: in
                     out[i] = z.T @ z
                 return out
 
-            g = block_sum(data.where(f"not `_m_{c}`"), ["imputation", *x], fold).reshape(m, k, k)
+            g = block_sum(data.where(f"not `_m_{c}`"), ["imputation", *x], fold)
+            g = (g.reshape(m, k, k) if len(g) else np.zeros((m, k, k))) + fixed[np.ix_(at, at)]
             pred = None
             for i in range(m):
                 a = g[i][:-1, :-1] + 1e-5 * np.diag(np.diag(g[i][:-1, :-1]))
@@ -143,7 +156,7 @@ def mice(df: DataFrame, cols: list[str], m: int = 5, max_iter: int = 5, seed: in
                 pred = F.when(F.col("imputation") == i + 1, line + noise) if pred is None else pred.when(F.col("imputation") == i + 1, line + noise)
             data = data.withColumn(c, F.when(F.col(f"_m_{c}"), pred).otherwise(F.col(c)))
         data = settle(data)
-    return data.drop("_row", *(f"_m_{c}" for c in miss))
+    return data.unionByName(whole.withColumn("imputation", chains)).drop("_row", *(f"_m_{c}" for c in miss))
 
 
 def pool(estimates: DataFrame, by: list[str], estimate: str = "estimate", std_error: str = "std_error", df_complete: float = math.inf) -> DataFrame:

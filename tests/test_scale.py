@@ -124,3 +124,15 @@ def test_discrete_time_counts_equal_lives(spark):
     want = regression.glm(survival.person_period(df, "t", "e"), "y", ["period", "x"], "binomial", "cloglog")
     assert got.labels == want.labels and got.n == want.n and max(seen) <= 2 * 3 * 3 * 10
     assert np.allclose(got.coef, want.coef, atol=1e-7) and np.allclose(got.se, want.se, rtol=1e-6)
+
+
+def test_mice_copies_only_incomplete_rows(spark, monkeypatch):
+    from lattica.operators import missing
+    from lattica.plans import stages
+
+    df = spark.range(300).selectExpr("id", "double(id % 17) AS a", "CASE WHEN id % 10 > 0 THEN id % 17 * 2.0 + id % 3 END AS b")
+    seen, settle = [], stages.settle
+    monkeypatch.setattr(stages, "settle", lambda d: (seen.append(d.count()), settle(d))[1])
+    got = missing.mice(df, ["a", "b"], m=3, max_iter=1, key="id")
+    assert max(seen) == 3 * 30 and got.count() == 900 and got.where("b is null").count() == 0
+    assert got.where("id % 10 > 0").selectExpr("sum(b - id % 17 * 2 - id % 3)").first()[0] == 0
